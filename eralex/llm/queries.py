@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralex.llm import chunking, leakage, templates
+from eralex.llm import chunking, fusion, leakage, packing, templates
 from eralex.runtime import table
 
 # Problem 4
@@ -40,6 +40,36 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return templates.without_repeated_lines(table(spark, d, "dense_docs"), *LINES).withColumnRenamed("row_id", "ord")
 
 
+# Problem 7
+TEXTS = "title petitioner respondent description judge author_judge citation case_id cnr decision_date disposal_nature court available_languages path nc_display".split()
+
+
+def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
+    plain = {c: F.upper(F.regexp_replace(F.trim(c), r"\s+", " ")) for c in TEXTS}
+    plain["title"] = F.regexp_replace(plain["title"], r" (VERSUS|VS\.?|V\.?) ", " V. ")
+    plain["cnr"], plain["decision_date"] = fusion.group_key("cnr"), fusion.valid_date("decision_date", "scraped_at")
+    return fusion.fuse(table(spark, d, "metadata"), "cnr", "rec_id", "feed", "decision_date", "scraped_at", TEXTS, plain)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_survivors(spark, d).select("group_rec_id", "best_rec_id")
+
+
+# Problem 8
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r[0]: r[1] for r in table(spark, d, "size_limits").where("limit_name like 'pack%'").select("limit_name", "capacity").collect()}
+
+
+def p8_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"), _capacities(spark, d))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(p8_assignments(spark, d), _capacities(spark, d))
+
+
 # Problem 9
 
 
@@ -59,7 +89,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), "doc_id", "text", _passages(spark, d)).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_templates, p6_clean, p9_found, p9_matches, p9_clean)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_templates, p6_clean, p7_found, p7_survivors, p8_assignments, p8_containers, p9_found, p9_matches, p9_clean)}
 
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LINES = r"""parts AS (SELECT ord, doc_id, court, string_split(text, chr(10)) AS ls FROM dense_docs
@@ -85,6 +115,13 @@ gone AS (SELECT ord, count(*) AS n_removed, list(line_no) AS nos FROM hit GROUP
 kept AS (SELECT ord, string_agg(line, chr(10) ORDER BY line_no) AS t FROM keyed JOIN gone USING (ord) WHERE NOT list_contains(nos, line_no) GROUP BY ord)
 SELECT d.ord, CASE WHEN g.ord IS NULL THEN d.text ELSE coalesce(k.t, '') END AS clean_text, coalesce(n_removed, 0)::INTEGER AS n_removed
 FROM dense_docs d LEFT JOIN gone g ON d.ord = g.ord LEFT JOIN kept k ON d.ord = k.ord""",
+    "p7_found": f"""WITH r AS (SELECT *, regexp_replace(upper(cnr), '[^A-Z0-9]', '', 'g') AS k,
+  coalesce(CAST(try_strptime(substr(decision_date, 1, 10), '%Y-%m-%d') AS DATE), CAST(try_strptime(decision_date, '%d-%m-%Y') AS DATE)) AS dt,
+  {" + ".join(f"(coalesce(regexp_matches({c}, '[^ ]'), false))::INT" for c in TEXTS)} AS filled FROM metadata),
+v AS (SELECT *, CASE WHEN dt > CAST(scraped_at AT TIME ZONE 'UTC' AS DATE) THEN NULL ELSE dt END AS ok FROM r WHERE k <> ''),
+n AS (SELECT *, count(*) OVER (PARTITION BY k) AS c, min(rec_id) OVER (PARTITION BY k) AS group_rec_id,
+  row_number() OVER (PARTITION BY k ORDER BY ok DESC NULLS LAST, filled DESC, scraped_at DESC NULLS LAST, rec_id) AS i FROM v)
+SELECT group_rec_id, rec_id AS best_rec_id FROM n WHERE c > 1 AND i = 1""",
     "p9_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM leaks",
     "p9_clean": f"WITH {_GRAMS} SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)",
 }

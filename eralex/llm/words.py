@@ -7,7 +7,7 @@ import sys
 import unicodedata
 
 #: Every Unicode White_Space character, no-break spaces included.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0" + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 NON_SPACE = re.compile(f"[^{SPACES}]+")
 JAVA_NON_SPACE = r"[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
