@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralex.llm import chunking, encoding, fusion, leakage, packing, templates
+from eralex.llm import abuse, chunking, encoding, fusion, leakage, packing, templates
 from eralex.runtime import table
 
 # Problem 2
@@ -100,7 +100,28 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), "doc_id", "text", _passages(spark, d)).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_pieces, p6_found, p6_templates, p6_clean, p7_found, p7_survivors, p8_assignments, p8_containers, p9_found, p9_matches, p9_clean)}
+# Problem 10
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = abuse.fit(documents, "doc_id", "text", table(spark, d, "review_labels"), "doc_id", "flagged")
+    return abuse.score(documents, model, ["doc_id", "source"], "text")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("score > 0.5").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d), "source")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_pieces, p6_found, p6_templates, p6_clean, p7_found, p7_survivors, p8_assignments, p8_containers, p9_found, p9_matches, p9_clean, p10_found, p10_scores, p10_rates)}
 
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LINES = r"""parts AS (SELECT ord, doc_id, court, string_split(text, chr(10)) AS ls FROM dense_docs
