@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralex.llm import abuse, chunking, encoding, fusion, leakage, packing, templates
+from eralex.llm import abuse, chunking, encoding, fusion, leakage, packing, scans, templates
 from eralex.runtime import table
 
 # Problem 2
@@ -35,6 +35,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece_no = 0").select("ord")
 
 
+# Problem 5
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "dense_docs"), "ord", ["text"], ["case_name"]).withColumnRenamed("row_id", "ord")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_repaired(spark, d).select("ord", "field_name")
+
+
 # Problem 6
 LINES = ("ord", "doc_id", "court", "text")
 
@@ -121,7 +132,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_pieces, p6_found, p6_templates, p6_clean, p7_found, p7_survivors, p8_assignments, p8_containers, p9_found, p9_matches, p9_clean, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_pieces, p5_found, p5_repaired, p6_found, p6_templates, p6_clean, p7_found, p7_survivors, p8_assignments, p8_containers, p9_found, p9_matches, p9_clean, p10_found, p10_scores, p10_rates)}
 
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LINES = r"""parts AS (SELECT ord, doc_id, court, string_split(text, chr(10)) AS ls FROM dense_docs
