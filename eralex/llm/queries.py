@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralex.llm import abuse, chunking, encoding, fusion, leakage, packing, scans, templates
+from eralex.llm import abuse, chunking, encoding, fusion, leakage, packing, personal, scans, templates
 from eralex.runtime import table
 
 # Problem 2
@@ -19,6 +19,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_repaired(spark, d).select("ord")
 
 
+# Problem 3
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    parties = table(spark, d, "metadata")
+    model = personal.train(*personal.name_lists(parties, ["petitioner", "respondent"]))
+    docs = personal.redact(table(spark, d, "dense_docs"), "ord", ["text"], model).select(F.lit("dense_docs").alias("table_name"), "*")
+    return docs.unionByName(personal.redact(parties, "rec_id", ["petitioner", "respondent"], model).select(F.lit("metadata").alias("table_name"), "*")).withColumnRenamed("row_id", "row_key")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_redacted(spark, d).select("table_name", "row_key", "field_name", F.explode("pii_types").alias("pii_type"))
+
+
 # Problem 4
 
 
@@ -132,7 +146,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_pieces, p5_found, p5_repaired, p6_found, p6_templates, p6_clean, p7_found, p7_survivors, p8_assignments, p8_containers, p9_found, p9_matches, p9_clean, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_repaired, p6_found, p6_templates, p6_clean, p7_found, p7_survivors, p8_assignments, p8_containers, p9_found, p9_matches, p9_clean, p10_found, p10_scores, p10_rates)}
 
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LINES = r"""parts AS (SELECT ord, doc_id, court, string_split(text, chr(10)) AS ls FROM dense_docs
