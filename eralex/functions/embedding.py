@@ -22,22 +22,43 @@ class Hasher:
     def __init__(self, dim: int):
         self.dim, self.known = dim, {}
 
-    def place(self, w: str) -> tuple[int, int]:
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            h = int(hashlib.sha256(w.encode()).hexdigest(), 16)
-            got = self.known[w] = (h % self.dim, 1 if (h // self.dim) % 2 == 0 else -1)
-        return got
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) > 500_000:
+            self.known.clear()
+        for w in words:
+            if w not in self.known:
+                h = int(hashlib.sha256(w.encode()).hexdigest(), 16)
+                self.known[w] = h % self.dim + self.dim * ((h // self.dim) % 2)
 
     def vector(self, text: str | None) -> np.ndarray:
-        v = np.zeros(self.dim)
-        for w in _WORD.findall((text or "").lower()):
-            i, s = self.place(w)
-            v[i] += s
-        n = np.linalg.norm(v)
-        return v / n if n else v
+        words = _WORD.findall((text or "").lower())
+        try:
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            self._learn(words)
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        n = np.bincount(at, minlength=2 * self.dim)
+        v = (n[: self.dim] - n[self.dim :]).astype(float)
+        size = np.linalg.norm(v)
+        return v / size if size else v
+
+
+def best(sim: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the k greatest of each row; ties go to the smaller id, -inf is left out."""
+    if sim.shape[1] > 4 * k:  # nothing under the k-th greatest can be among them
+        kth = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+        some = np.flatnonzero((sim >= kth).any(0))
+        sim, picked = sim[:, some], some
+    else:
+        picked = np.arange(sim.shape[1])
+    by_id = np.argsort(own[picked], kind="stable")
+    top = by_id[np.argsort(-sim[:, by_id], axis=1, kind="stable")[:, :k]]
+    value = np.take_along_axis(sim, top, 1)
+    ok = np.isfinite(value)
+    return np.nonzero(ok)[0], picked[top[ok]], value[ok]
+
+
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
 
 
 def vectors(df: DataFrame, keep: list[str], text: str, dim: int = DIM) -> DataFrame:
@@ -86,14 +107,10 @@ def search(docs: DataFrame, doc_id: str, vec: str, queries: DataFrame, query_id:
                 sim = np.round(q @ (m / np.where(n == 0, 1, n)).T, 6)
                 if without_self:
                     sim[names[:, None] == own[None]] = -np.inf
-                by_id = np.argsort(own, kind="stable")
-                best = by_id[np.argsort(-sim[:, by_id], axis=1, kind="stable")[:, :k]]
-                top = np.take_along_axis(sim, best, 1)
-                ok = np.isfinite(top)
-                rows_, _ = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows_].tolist(), out_arrow), b.column(0).take(pa.array(best[ok])), pa.array(top[ok] + 0.0)], names=out_schema.names)
-
-        out_arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[queries.schema[query_id].dataType.simpleString()]
+                row, column, value = best(sim, own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(names[row].tolist(), out_arrow), b.column(0).take(pa.array(column)), pa.array(value + 0.0)], names=out_schema.names)
+
+        out_arrow = ARROW[queries.schema[query_id].dataType.simpleString()]
         one = docs.select(doc_id, vec).mapInArrow(run, out_schema)
         found = one if found is None else found.unionByName(one)
     w = W.partitionBy(query_id).orderBy(F.desc("sim"), doc_id)

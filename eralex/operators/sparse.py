@@ -1,14 +1,23 @@
-"""BM25 over postings: one tokenisation, statistics by aggregation, scores by an equi-join on terms."""
+"""BM25: term statistics by aggregation, scores of a stated query set in blocks."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from eralex.functions.text import tokens
+from eralex.functions.embedding import ARROW, best
+from eralex.functions.text import STOPWORDS, tokens
 
 K1, B, EPSILON, POOL = 1.5, 0.75, 0.25, 50
+_WORD = re.compile("[a-z0-9]+")
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -30,37 +39,58 @@ def term_stats(post: DataFrame, n_docs: int) -> DataFrame:
     return df.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    """(query_id, term, qtf)."""
-    return queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-
-
-def scores(post: DataFrame, stats: DataFrame, avgdl: float, terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of the documents that share a term with the query."""
-    weighted = terms.join(stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    tf = F.col("tf")
-    part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return post.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def pool(scored: DataFrame, queries: DataFrame, query_id: str, docs: DataFrame, doc_id: str, size: int = POOL) -> DataFrame:
+def query_weights(docs: DataFrame, text: str, queries: DataFrame, query_id: str, question: str) -> tuple[list, dict[str, int], np.ndarray, float]:
+    """(query ids, terms, weights of terms by queries, mean length): what a task needs to score any document."""
+    n, avgdl = corpus_size(docs, text)
+    asked = [(r[0], Counter(r[1] or ())) for r in queries.select(query_id, tokens(question)).toLocalIterator()]
+    terms = {t: i for i, t in enumerate(sorted({t for _, c in asked for t in c}))}
+    each = docs.select(F.explode(F.array_distinct(tokens(F.coalesce(text, F.lit(""))))).alias("term"))
+    raw = each.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    listed = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string").withColumn("asked", F.lit(True))
+    r = raw.join(listed, "term", "left").agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("own")).head()
+    weights = np.zeros((len(terms), len(asked)))
+    idf = {x.term: x.raw if x.raw >= 0 else EPSILON * r.mean for x in r.own}
+    for q, (_, c) in enumerate(asked):
+        for t, k in c.items():
+            weights[terms[t], q] = k * idf.get(t, 0.0)
+    return [q for q, _ in asked], terms, weights, avgdl
+
+
+def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, question: str, size: int = POOL, block: int = 2_000) -> DataFrame:
     """(query_id, doc_id, score, rank): the best of all documents, those of score 0 included.
 
-    Where a query matches fewer than ``size`` documents, the first documents by id that it
-    does not match follow with score 0: among the first ``size`` of them there are enough.
+    The stated queries are scored in blocks against each batch of documents: term frequencies
+    of a batch times the weights of the queries is one matrix product. A batch
+    sends on its ``size`` best for each query, so no posting is ever shuffled.
     """
+    spark = docs.sparkSession
+    out_schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
+    names, terms, weights, avgdl = query_weights(docs, text, queries, query_id, question)
+    kind = ARROW[queries.schema[query_id].dataType.simpleString()]
+    stop = frozenset(STOPWORDS)
+    found = None
+    for at in range(0, len(names), block):
+        shared = spark.sparkContext.broadcast((names[at : at + block], terms, weights[:, at : at + block]))
+
+        def run(batches, shared=shared):
+            ids, terms, w = shared.value
+            ids, v = np.array(ids), len(terms)
+            number = {**terms, **dict.fromkeys(stop, v + 1)}.get
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 1_000):
+                    b = whole.slice(lo, 1_000)
+                    parts = [np.fromiter(map(number, _WORD.findall((t or "").lower()), repeat(v)), np.int64) for t in b.column(1).to_pylist()]
+                    at = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                    tf = np.bincount(at * (v + 2) + np.concatenate(parts), minlength=len(parts) * (v + 2)).reshape(len(parts), v + 2).astype(float)
+                    dl = tf.sum(1) - tf[:, v + 1]
+                    tf = tf[:, :v]
+                    sim = np.round(w.T @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[:, None] / (avgdl or 1.0)))).T, 6) + 0.0
+                    row, column, value = best(sim, b.column(0).to_numpy(zero_copy_only=False), size)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row].tolist(), kind), b.column(0).take(pa.array(column)), pa.array(value)], names=out_schema.names)
+
+        one = docs.select(doc_id, text).mapInArrow(run, out_schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], out_schema)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    hits = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
-    first = docs.select(F.col(doc_id).alias("doc_id")).orderBy("doc_id").limit(size).withColumn("pos", F.row_number().over(W.orderBy("doc_id")))
-    short = queries.select(F.col(query_id).alias("query_id")).join(hits.groupBy("query_id").agg(F.count("*").alias("h")), "query_id", "left").where(F.coalesce("h", F.lit(0)) < size)
-    pad = short.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("pos")).join(F.broadcast(first), "pos").select("query_id", "doc_id", F.lit(0.0).alias("score"))
-    pad = pad.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    both = hits.select("query_id", "doc_id", "score").unionByName(pad)
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
-
-
-def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, question: str, size: int = POOL) -> DataFrame:
-    n, avgdl = corpus_size(docs, text)
-    post = postings(docs, doc_id, text)
-    scored = scores(post, term_stats(post, n), avgdl, query_terms(queries, query_id, question))
-    return pool(scored, queries, query_id, docs, doc_id, size)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
