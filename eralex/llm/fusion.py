@@ -116,11 +116,14 @@ def estimate(cl: DataFrame, rounds: int = 3) -> tuple[dict[str, float], dict[tup
     names = [r[0] for r in cl.select(each.alias("s")).distinct().limit(MOST_SOURCES + 1).collect()]
     if len(names) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    accuracy, dependent = dict.fromkeys(names, 0.8), {}
+    accuracy = dict.fromkeys(names, 0.8)
     parts = F.split("sources", "\x1f")
     ordered = F.flatten(F.transform(parts, lambda a: F.transform(F.filter(parts, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     both = cl.groupBy("key", "field").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(parts)))), "\x1f").alias("sources"))
     common = {(r.a, r.b): r.n for r in both.select(F.explode(ordered).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n")).collect()}
+    # before anything is known of accuracies, agreement alone tells copies: shared values count as true
+    agreed = cl.select(F.explode(ordered).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n")).collect()
+    dependent = {(r.a, r.b): copy_probability(r.n, 0, common[(r.a, r.b)] - r.n, 0.8, 0.8) for r in agreed}
     for _ in range(rounds):
         post = with_posterior(cl, accuracy, dependent)
         gain = post.select(each.alias("s"), "p").groupBy("s").agg(F.avg("p").alias("a")).collect()
