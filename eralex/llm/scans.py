@@ -50,9 +50,10 @@ _BY_SEEN: dict[str, list[str]] = {}
 for _true, _seen in CONFUSIONS:
     _BY_SEEN.setdefault(_seen, []).append(_true)
 _SYMBOL = "0-9!|@$"
-TOKEN = re.compile(f"[^\\W_!|@$]*[^\\W\\d_][^\\W_]*(?:[{_SYMBOL}]+[^\\W_]+)*|[{_SYMBOL}]+[^\\W\\d_][^\\W_]*(?:[!|@$][^\\W_]+)*")
+TOKEN = re.compile(r"[!|@$]?\d*[^\W\d_][^\W_]*(?:[!|@$]+[^\W_]+)*[!|@$]?")
 HYPHENATED = re.compile(r"[^\W\d_]+-[^\W\d_]+")
-BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t]*(?=[^\W\d_])")
+#: A hyphen, soft hyphen or not sign at the end of a line.
+BREAK = re.compile("(?<=[^\\W\\d_])([-\xad\xac\u2010\u2011])[ \\t]*\\n[ \\t]*(?=[^\\W\\d_])")
 _LAST, _FIRST = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
 _NUMBER = r"(?:\[ ?\d{1,4} ?\]|\( ?\d{1,4} ?\)|[-–—] ?\d{1,4} ?[-–—]|p ?a ?g ?e\.? ?\d{1,4}(?: ?(?:of|/) ?\d{1,4})?|pg\.? ?\d{1,4}|p\. ?\d{1,4}|\.{3,} ?\d{1,4}|\d{1,4} ?/ ?\d{1,4}|\d{1,4})"
 PAGE_LINE = re.compile(rf"^[ \t]*{_NUMBER}[ \t]*$", re.I)
@@ -64,8 +65,8 @@ CAPS_TITLE = re.compile(r"^[^a-z]{3,110}\sV\.? [^a-z]{2,80}$")
 ADDRESS_LIKE = re.compile(r"[\w.+\-]+ ?@ ?[\w\-]+\.[\w.\-]+|https?://\S+|www\.\S+")
 
 
-def tokens(text: str) -> list[str]:
-    return [t.strip("!|$@") for t in TOKEN.findall(text.lower())]
+def tokens(lex: "Lexicon", text: str) -> list[str]:
+    return [lex.bare(t) for t in TOKEN.findall(text.lower())]
 
 
 def variants(word: str) -> list[str]:
@@ -149,6 +150,15 @@ class Lexicon:
                 for x in deletes(w, 2 if len(w) > 4 else 1):
                     self.index.setdefault(x, []).append(w)
 
+    def bare(self, word: str) -> str:
+        """Without a mark at its end that is no part of it."""
+        if word[-1] in "!|@$" and (word[-1] == "!" and not self._read(word) or word[:-1] in self.words):
+            return word[:-1]
+        return word
+
+    def _read(self, word: str) -> bool:
+        return word[:-1] not in self.words and any(v in self.words for v in variants(word))
+
     def candidates(self, word: str) -> list[str]:
         """Corrections of a word, best first; empty for a word that stands."""
         letters = sum(c.isalpha() for c in word)
@@ -218,7 +228,7 @@ def _odd(w: str) -> bool:
 def mend_words(lex: Lexicon, text: str, name: bool) -> tuple[str, int]:
     """Repair misread words; number of repairs."""
     fresh = set(text.split()) - lex.raw
-    stands = {r for r in fresh if not any(lex.look(w) or _odd(w) for w in tokens(r))}
+    stands = {r for r in fresh if not any(lex.look(w) or _odd(w) for w in tokens(lex, r))}
     if len(lex.raw) > 300_000:
         lex.raw.clear()
     lex.raw |= stands
@@ -231,7 +241,7 @@ def mend_words(lex: Lexicon, text: str, name: bool) -> tuple[str, int]:
     parts, last, n, before = [], 0, 0, ""
     found = list(TOKEN.finditer(low))
     for k, m in enumerate(found):
-        w = m.group().strip("!|$@")
+        w = lex.bare(m.group())
         options = lex.look(w)
         if (options or _odd(w)) and not any(a <= m.start() < b for a, b in skip):
             start = m.start() + m.group().find(w)
@@ -269,14 +279,14 @@ def drop_page_lines(text: str) -> tuple[str, int]:
 
 
 def join_cuts(lex: Lexicon, text: str) -> tuple[str, int]:
-    if "-\n" not in text and "- " not in text:
+    if "\n" not in text or not any(c in text for c in "-\xad\xac\u2010\u2011"):
         return text, 0
     n = 0
 
     def put(m):
         nonlocal n
         a, b = _LAST.search(text[max(0, m.start() - 40) : m.start()]).group(), _FIRST.match(text[m.end() : m.end() + 40]).group()
-        if not lex.is_cut(a.lower(), b.lower()):
+        if m.group(1) == "-" and not lex.is_cut(a.lower(), b.lower()):
             return "-"
         n += 1
         return ""
@@ -364,7 +374,8 @@ def lexicon(df: DataFrame, fields: list[str], share: float = SHARE) -> Lexicon:
     for kind, n in floor.items():
         keep |= (F.col("kind") == kind) & (F.col("n") >= n)
     for r in counts.where(keep).toLocalIterator():
-        got[r.kind][r.term.strip("!|$@")] = max(r.n, got[r.kind].get(r.term.strip("!|$@"), 0))
+        term = r.term.rstrip("!")
+        got[r.kind][term] = r.n + got[r.kind].get(term, 0)
     return Lexicon(got["w"], got["h"], got["b"], least)
 
 
