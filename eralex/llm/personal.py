@@ -300,7 +300,7 @@ def exact(text: str, a: int, b: int, label: int) -> list[tuple[int, int]]:
         a += m.end()
     for m in _PERSON.finditer(text, a, b):
         after, before = text[m.end() : m.end() + 24], text[max(0, m.start() - 12) : m.start()]
-        if set(re.findall(r"[^\W\d_]+", m.group().lower())) & _PLAIN or _FIRM.match(after) or re.match(r"\s+(?:v|vs|versus)\b", after, re.I) or _TITLE.search(before):
+        if set(re.findall(r"[^\W\d_]{2,}", m.group().lower())) & _PLAIN or _FIRM.match(after) or re.match(r"\s+(?:v|vs|versus)\b", after, re.I) or _TITLE.search(before):
             continue
         got.append(m.span())
     return got
@@ -310,7 +310,7 @@ def exact(text: str, a: int, b: int, label: int) -> list[tuple[int, int]]:
 CASES = """According to {n} the gate was open.|PW-{d} {n} did not support the case.|The house was let to {n} a year earlier.|It was {n} who carried the parcel.|The statement of {n} was recorded the next day.|{n}, aged {d} years, was seen near the well.|Money was handed to {n} in the presence of {n}.|The loan was taken by {n}, {rel} {n}, without security.
 The deceased lived at {a} with two others.|Notice was pasted on the door of {a} in the morning.|The raid took place at {a} at night.|Residing at {a}.|Summons went to {n}, R/o {a}.|The tenant of {a} left early.
 He could be reached on {t} only after dusk.|The number {t} stood in the name of the driver.|Calls were traced to {t} for most of that night.|Mob. {t}.|Ph: {t}|A message from {t} was deleted.
-Contact: {e}.|Service was effected by e-mail ({e}).|The messages came from {e} and were printed.|A copy was sent to {e} on the same day.|email {e}|A copy was sent to {e} the same evening.|{e} the same evening.
+Contact: {e}.|Service was effected by e-mail ({e}).|The messages came from {e} and were printed.|A copy was sent to {e} on the same day.|email {e}|A copy was sent to {e} the same evening.|{e} the same evening.|{n0} v. {f}    C.R.P. {d}/{y}\n{e} and were printed.|{d}  {n0} v. {n0}\n{e} the same evening.
 Identity No. {i} was entered in the form.|ID: {i}.|The card bearing {i} was seized.|The proof offered was {i}, which did not match.|His number {i} was not on the list.|UID {i}"""
 PARTIES = "{n}|{n} & Ors.|{n} & Anr.|{n} and another|{h} {n}|{n}, {rel} {n}|Minor {n} through guardian {n}|{n}, R/o {a}|{n} resident of {a}|{n}, {t}|{n} ({t})|{n}, Ph: {t}|{n}, Mob. {t}|{n}, email {e}|{n} <{e}>|{n}, {e}|{n}, {i}|{n} (UID {i})|{n}, ID {i}|{f}|{f}, {a}|{f}, R/o {a}|{f} resident of {a}|{f}, {t}|{f} ({t})|{f}, Ph: {t}|{f}, Mob. {t}|{f}, email {e}|{f} <{e}>|{f}, {i}|{f} (UID {i})|{f}, ID {i}|{f}, ID {i}, Mob. {t}|{f}|{f}|X (minor victim)|Victim 'B'|Unknown legal heirs|Prosecutrix (name withheld)|ABC|{f}, {e}"
 NO_CASES = """Justice {s} had taken the same view.|Reliance was placed on {s} v. State of {p} ({y}).|{n0} v. {n0}    W.P.(C) {d}/{y}|{d}  {n0} v. {n0}|{n0} v. {f}    Crl.A. {d}/{y}|{d}  {f} v. {n0}|{f} v. {f}    C.R.P. {d}/{y}|{N0} V. {N0}|{F0} V. {F0}|{N0} V. {F0}|The case of {n0} v. {f} was cited.|{d}  {f} v.
@@ -342,7 +342,7 @@ class Maker:
         r, x = self.r, self.r.random()
         if x < 0.2:
             n = f"{self.s()}, {self.g()}"
-        elif x < 0.35:
+        elif x < 0.42:
             n = " ".join(f"{c}." for c in r.sample("ABCDGHIJKLMNPRSTUVY", r.choice([1, 2, 2]))) + " " + self.s()
         else:
             n = f"{self.g()} {self.s()}"
@@ -413,7 +413,7 @@ class Maker:
         return out
 
 
-def train(given: list[str], surnames: list[str], size: int = 2_400, epochs: int = 14, seed: int = 5) -> Crf:
+def train(given: list[str], surnames: list[str], size: int = 3_000, epochs: int = 14, seed: int = 5) -> Crf:
     k = len(LABELS)
     maker, tk = Maker(given, surnames, seed), Tokens(set(given), set(surnames))
     feats, ys, same, differ = [], [], 1.0, 1.0
