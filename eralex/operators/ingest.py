@@ -43,8 +43,8 @@ def rejected(df: DataFrame, order: list[str]) -> DataFrame:
 def filter_if_any(df: DataFrame, condition: Column) -> DataFrame:
     """Rows that meet the condition if any row does, else all rows."""
     met = F.coalesce(condition, F.lit(False))
-    some = df.agg(F.coalesce(F.max(met), F.lit(False)).alias("__any"))
-    return df.join(F.broadcast(some)).where(~F.col("__any") | met).drop("__any")
+    some = df.agg(F.coalesce(F.max(met), F.lit(False))).scalar()
+    return df.where(~some | met)
 
 
 def equals_if_there(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -75,3 +75,15 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def pending(all_rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows still to be done: what a resumed run takes up."""
     return all_rows.join(done.select(key), key, "left_anti")
+
+
+def count_between(df: DataFrame, low: int, high: int) -> tuple[int, bool]:
+    """Number of rows, and whether it is within the range that is expected."""
+    n = df.count()
+    return n, low <= n <= high
+
+
+def described(source: Column, statute: Column, section: Column, case: Column, text: Column, width: int = 150) -> Column:
+    """A one-line label by source, and the beginning of the text."""
+    label = F.when(source == "statute", F.concat_ws(" ", statute, F.concat(F.lit("Section "), section))).otherwise(case)
+    return F.concat_ws(": ", label, F.substring(text, 1, width))

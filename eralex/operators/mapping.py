@@ -43,8 +43,8 @@ def review(votes: DataFrame, official: str) -> DataFrame:
 
 def apply_review(pending: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, remaining). decisions: (ipc_section, seq, choice): an index accepts, "q" ends, all else skips."""
-    stop = decisions.where("choice = 'q'").agg(F.min("seq").alias("stop"))
-    open_ = decisions.join(F.broadcast(stop)).where("stop is null or seq < stop")
+    stop = decisions.where("choice = 'q'").agg(F.min("seq")).scalar()
+    open_ = decisions.where(stop.isNull() | (F.col("seq") < stop))
     joined = pending.join(open_.select("ipc_section", "choice"), "ipc_section", "left")
     index = F.expr("try_cast(choice as int)")
     chosen = joined.withColumn("bns_section", F.when(index >= 0, F.get("candidates", index)))

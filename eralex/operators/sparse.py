@@ -35,8 +35,8 @@ def corpus_size(docs: DataFrame, text: str) -> tuple[int, float]:
 def term_stats(post: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, idf); a negative idf becomes EPSILON times the mean idf of all terms."""
     df = post.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean"))
-    return df.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    mean = df.agg(F.avg("raw")).scalar()
+    return df.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def query_weights(docs: DataFrame, text: str, queries: DataFrame, query_id: str, question: str) -> tuple[list, dict[str, int], np.ndarray, float]:

@@ -59,6 +59,13 @@ def numbered_sections(s: SparkSession, d: str) -> DataFrame:
     return x.select("ord", "pos", "x.section_no", F.length("x.text").alias("n"), (F.length("x.text") < 10).alias("needs_review"))
 
 
+def titled_sections(s: SparkSession, d: str) -> DataFrame:
+    """Provisions written as "NUM. Title--text" and split again."""
+    note = F.coalesce(F.nullif(F.trim("marginal_note"), F.lit("")), F.lit("Note"))
+    c = table(s, d, "corpus").where("text is not null").select("ord", F.concat(F.lit("7. "), note, F.lit("--"), "text").alias("t"))
+    return c.select("ord", F.explode(X.split_titled("t")).alias("x")).select("ord", "x.section_no", "x.title", F.length("x.text").alias("n"))
+
+
 def parse_cells(s: SparkSession, d: str) -> DataFrame:
     j = table(s, d, "judgments").select(F.explode("sections_cited").alias("c"), "disposal").select(F.concat("c.section_no", F.lit(" . "), F.coalesce("disposal", F.lit("x")), F.lit("..")).alias("cell")).distinct()
     return j.select("cell", X.parse_cell("cell").alias("p")).select("cell", "p.section", "p.description")
@@ -82,7 +89,7 @@ def line_units(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (segment_lines, heading_split, reasoning_and_holding, case_mentions, signal_class, resolve_names, chunk_fixed, numbered_sections, parse_cells, sections_in_text, disposal_read, line_units)
+    for f in (segment_lines, heading_split, reasoning_and_holding, case_mentions, signal_class, resolve_names, chunk_fixed, numbered_sections, titled_sections, parse_cells, sections_in_text, disposal_read, line_units)
 }
 
 
@@ -131,6 +138,7 @@ UNION ALL SELECT ord, doc_id || '::w' || k, doc_id, md5(array_to_string(ws[k * 5
 p AS (SELECT ord, string_split(t, chr(1))[2:] AS ps FROM m), e AS (SELECT ord, unnest(range(len(ps))) AS pos, unnest(ps) AS x FROM p),
 b AS (SELECT ord, pos::INTEGER AS pos, split_part(x, chr(2), 1) AS section_no, trim(regexp_replace(split_part(x, chr(2), 2), '[%s]+', ' ', 'g')) AS body FROM e)
 SELECT ord, pos, section_no, length(body)::INTEGER AS n, length(body) < 10 AS needs_review FROM b""" % _SP,
+    "titled_sections": f"SELECT ord, '7' AS section_no, coalesce(nullif(trim(marginal_note), ''), 'Note') AS title, length(trim(regexp_replace(text, '[{_SP}]+', ' ', 'g')))::INTEGER AS n FROM corpus WHERE text IS NOT NULL",
     "parse_cells": r"""WITH c AS (SELECT DISTINCT c.section_no || ' . ' || coalesce(disposal, 'x') || '..' AS cell FROM (SELECT unnest(sections_cited) AS c, disposal FROM judgments)),
 x AS (SELECT cell, trim(cell) AS t, '^(\d+[A-Za-z]{0,3})((?:\s*\([A-Za-z0-9]{1,5}\))*)\s*\.?\s*(.*)$' AS p FROM c)
 SELECT cell, CASE WHEN regexp_matches(t, p) THEN regexp_extract(t, p, 1) || replace(regexp_extract(t, p, 2), ' ', '') END AS section, CASE WHEN regexp_matches(t, p) THEN regexp_replace(trim(regexp_extract(t, p, 3)), '\.+$', '') END AS description FROM x""",
