@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eralex.config import Settings
 from eralex.llm import abuse, chunking, encoding, fusion, leakage, packing, personal, scans, templates
 from eralex.runtime import table
 
@@ -99,7 +100,7 @@ def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
 
 
 def p8_assignments(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"), _capacities(spark, d))
+    return packing.pack(packing.token_counts(table(spark, d, "documents"), "doc_id", "text", Settings.read(spark).tokenizer), _capacities(spark, d))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

@@ -373,7 +373,7 @@ def lexicon(df: DataFrame, fields: list[str], share: float = SHARE) -> Lexicon:
     keep = F.lit(False)
     for kind, n in floor.items():
         keep |= (F.col("kind") == kind) & (F.col("n") >= n)
-    for r in counts.where(keep).toLocalIterator():
+    for r in counts.where(keep).collect():
         term = r.term.rstrip("!")
         got[r.kind][term] = r.n + got[r.kind].get(term, 0)
     return Lexicon(got["w"], got["h"], got["b"], least)
