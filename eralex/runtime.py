@@ -28,6 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_MADE: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` has written in this process, once their readers are done."""
+    n = len(_MADE)
+    jvm = spark._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a compressed columnar table in the shared folder and read it back.
 
@@ -37,6 +50,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_split(df: DataFrame, condition: Column, kept: str, rest: str) -> None:
-    """Rows that meet the condition and the others, each to its folder, partitioned in one pass over the data."""
+    """Rows that meet the condition and the others, each to its folder; null counts as not met."""
     marked = df.withColumn("__kept", F.coalesce(condition, F.lit(False)))
     marked.where("__kept").drop("__kept").write.mode("overwrite").parquet(kept)
     marked.where("not __kept").drop("__kept").write.mode("overwrite").parquet(rest)

@@ -8,3 +8,11 @@ def test_order_of_settings(spark, monkeypatch):
     spark.conf.set("eralex.pool", "9")
     assert Settings.read(spark).pool == 9
     spark.conf.unset("eralex.pool")
+
+
+def test_cut_and_drop(spark):
+    from eralex.runtime import cut, drop_cuts
+
+    drop_cuts(spark)
+    df = cut(spark.range(5), "t")
+    assert df.count() == 5 and drop_cuts(spark) == 1 and drop_cuts(spark) == 0
