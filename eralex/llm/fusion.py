@@ -67,12 +67,8 @@ def claims(df: DataFrame, groups: DataFrame, key: Column, source: str, fields: d
     fields: name -> expression of the comparable form; "shown" is the most frequent spelling.
     """
     each = F.array(*[F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"), F.col(f).cast("string").alias("raw")) for f, v in fields.items()])
-    rows = (
-        df.select(key.alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.explode(each).alias("x"))
-        .select("key", "source", "x.*")
-        .where(r"value rlike '\\S'")
-        .join(groups.select("key"), "key", "left_semi")
-    )
+    own = df.select(key.alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), each.alias("each")).where("key is not null")
+    rows = own.join(groups.select("key"), "key", "left_semi").select("key", "source", F.explode("each").alias("x")).select("key", "source", "x.*").where(r"value rlike '\\S'")
     spelled = rows.groupBy("key", "field", "value", "raw").agg(F.count("*").alias("n"), F.collect_set("source").alias("s"))
     return spelled.groupBy("key", "field", "value").agg(F.max_by("raw", F.struct("n", "raw")).alias("shown"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))), "\x1f").alias("sources"))
 
