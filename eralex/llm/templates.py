@@ -35,7 +35,7 @@ def canonical(line: str | Column) -> Column:
     return F.translate(F.regexp_replace(spaced, "[0-9]+", MARK), " ", "")
 
 
-def tree_lines(df: DataFrame, row_id: str, doc: str, source: str, text: str, letters: int, more: tuple[str, ...] = ()) -> DataFrame:
+def tree_lines(df: DataFrame, row_id: str, doc: str, source: str, text: str, letters: int) -> DataFrame:
     """(row_id, line_no, doc, source, leaf, k1, k2): each countable line at its leaf of the tree.
 
     k1 and k2 are two independent hashes that stand for the canonical line.
@@ -53,7 +53,6 @@ def tree_lines(df: DataFrame, row_id: str, doc: str, source: str, text: str, let
         F.xxhash64(marks, F.substring("key", 1, DEPTH)).alias("leaf"),
         F.xxhash64("key").alias("k1"),
         F.xxhash64(F.lit(1), F.reverse("key")).alias("k2"),
-        *more,
     )
 
 
@@ -92,11 +91,13 @@ def templates(df: DataFrame, row_id: str, doc: str, source: str, text: str, lett
     Lines of one leaf and word count are merged slot by slot: a slot where all words agree
     keeps the word, any other becomes "<*>".
     """
-    _, _, repeated = _kept(df, row_id, doc, source, text, letters, least, share)
-    # the repeated lines are few; texts are read again rather than shuffled
-    hits = tree_lines(df, row_id, doc, source, text, letters, ("line",)).join(repeated.select("source", "k1", "k2", "n_docs"), ["source", "k1", "k2"])
+    kept, _, repeated = _kept(df, row_id, doc, source, text, letters, least, share)
+    hits = kept.join(repeated.select("source", "k1", "k2", "n_docs"), ["source", "k1", "k2"])
+    rows = hits.groupBy("row_id").agg(F.collect_list(F.struct("line_no", "source", "leaf", "doc", "n_docs")).alias("hits"))
+    texts = df.select(F.col(row_id).alias("row_id"), F.split(text, "\n").alias("lines"))
+    lines = rows.join(texts, "row_id").select(F.explode("hits").alias("x"), "lines").select("x.source", "x.leaf", "x.doc", "x.n_docs", F.element_at("lines", F.col("x.line_no").cast("int")).alias("line"))
     spaced = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), r"[^\p{L}0-9]+", " "), "[0-9]+", MARK))
-    words = hits.select("source", "leaf", "doc", "n_docs", F.split(spaced, " ").alias("words")).withColumn("n_words", F.size("words"))
+    words = cut(lines.select("source", "leaf", "doc", "n_docs", F.split(spaced, " ").alias("words")), "repeated").withColumn("n_words", F.size("words"))
     cover = words.groupBy("source", "leaf", "n_words", "doc").agg(F.count("*").alias("n")).groupBy("source", "leaf", "n_words").agg(F.count("*").alias("n_docs_with"), F.sum("n").alias("n_lines"))
     slots = words.select("source", "leaf", "n_words", "n_docs", F.posexplode("words").alias("slot", "word")).groupBy("source", "leaf", "n_words", "n_docs", "slot").agg(F.min("word").alias("a"), F.max("word").alias("b"))
     slot = F.struct("slot", F.when((F.col("a") == F.col("b")) & (F.col("a") != MARK), F.col("a")).otherwise("<*>").alias("w"))
