@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eralex.functions import embedding as E
 from eralex.functions.text import CLAIM_STOPWORDS
 from eralex.operators import benchgen, chunking, faithfulness, fusion, metrics, sparse, validity
+from eralex.operators.references import key_of
 from eralex.plans.ingest import clean_judgments
 from eralex.plans.mapping import QA, TRUSTED, qa_pairs, section_mapping
 from eralex.plans.retrieval import _ERA, _HEAD, ITEMS, sql_bm25, sql_dense, validity_topk
@@ -64,15 +66,41 @@ def ir_metrics(s: SparkSession, d: str) -> DataFrame:
     return metrics.ranking(validity_topk(s, d).join(docs, "ord"), _gold(s, d), 10)
 
 
+def _searched(s: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, statute, jid, full): every section of corpus, then the rest of dense_docs; doc_id leads with the order.
+
+    A section that dense_docs repeats counts once, as corpus has it. Only the repeated sections meet
+    the ids of corpus, so no judgment text is shuffled. A judgment is of no code: its statute is "".
+    """
+    corpus, dense = table(s, d, "corpus"), table(s, d, "dense_docs")
+    section = F.coalesce(F.col("source") == "statute", F.lit(False))
+    rest = dense.where(~section).unionByName(dense.where(section).join(corpus.select("doc_id"), "doc_id", "left_anti").select(*dense.columns))
+    key = lambda part: F.concat_ws("|", F.concat(F.lit(part), F.lpad(F.col("ord").cast("string"), 12, "0")), "doc_id").alias("doc_id")
+    own = corpus.select(key("0"), F.lit("statute").alias("source"), F.coalesce("statute", F.lit("")).alias("statute"), F.lit(None).cast("string").alias("jid"), F.trim(F.concat_ws(" ", F.nullif("marginal_note", F.lit("")), "text")).alias("full"))
+    return own.unionByName(rest.select(key("1"), "source", F.coalesce("statute", F.lit("")).alias("statute"), key_of("judgment_id").alias("jid"), F.coalesce("text", F.lit("")).alias("full")))
+
+
+def _lawful(s: SparkSession, d: str, seen: DataFrame, items: DataFrame) -> DataFrame:
+    """Ranked documents with first (0 for sections) and lawful: the score, lowered for a section of the wrong code or a judgment no longer good law."""
+    seen = cut(seen.join(items.select("query_id", "query_date"), "query_id"), "seen")
+    judged = validity.good_law(seen, _edges(s, d), "jid", "query_date")
+    section = F.coalesce(F.col("source") == "statute", F.lit(False))
+    wrong = F.when(section, F.col("statute") != validity.statute_on("query_date")).otherwise(~F.col("good_law"))
+    return judged.withColumn("first", F.when(section, 0).otherwise(1)).withColumn("lawful", validity.demoted(F.col("score"), wrong))
+
+
+def _doc(key: str) -> Column:
+    return F.split_part(F.col(key), F.lit("|"), F.lit(2))
+
+
 def _ablated(s: SparkSession, d: str) -> DataFrame:
     """(chunking, retriever, validity, query_id, doc, statute, rank): all configurations as columns of one result.
 
     Each chunking is scored once; fusion and demotion derive the others from its pools.
     """
     b = table(s, d, "bench_items").withColumnRenamed("item_id", "query_id")
-    c = table(s, d, "corpus").select("ord", "doc_id", "statute", F.trim(F.concat_ws(" ", F.nullif("marginal_note", F.lit("")), "text")).alias("full"))
-    whole = c.select(F.lit("structure_aware").alias("chunking"), F.concat_ws("|", F.lpad(F.col("ord").cast("string"), 12, "0"), "doc_id").alias("doc_id"), "statute", "full")
-    fixed = chunking.fixed_windows(c, "doc_id", "full").select(F.lit("fixed_512").alias("chunking"), F.concat_ws("|", F.lpad(F.col("ord").cast("string"), 12, "0"), "chunk_doc_id").alias("doc_id"), "statute", "full")
+    whole = _searched(s, d)
+    fixed = chunking.fixed_windows(whole, "doc_id", "full").select(F.col("chunk_doc_id").alias("doc_id"), "source", "statute", "jid", "full")
     out = None
     q = E.vectors(b, ["query_id"], "question").withColumnRenamed("vec", "qv")
     for name, docs in (("structure_aware", whole), ("fixed_512", fixed)):
@@ -80,14 +108,14 @@ def _ablated(s: SparkSession, d: str) -> DataFrame:
         lex = cut(lex.select("query_id", "doc_id", "score", "rank"), "pool")
         den = cut(E.search(E.vectors(docs, ["doc_id"], "full"), "doc_id", "vec", q, "query_id", "qv", sparse.POOL).select("query_id", "doc_id", F.col("sim").alias("score"), "rank"), "pool")
         hyb = validity.rerank(fusion.rrf(lex, den), "score", "doc_id")
-        for r, x in (("bm25", lex), ("dense", den), ("hybrid", hyb)):
-            one = x.select("query_id", "doc_id", "score", "rank", F.lit(name).alias("chunking"), F.lit(r).alias("retriever")).join(docs.select("doc_id", "statute"), "doc_id")
-            out = one if out is None else out.unionByName(one)
-    wrong = F.col("statute") != validity.statute_on("query_date")
-    both = out.join(b.select("query_id", "query_date"), "query_id").withColumn("validity", F.explode(F.array(F.lit("on"), F.lit("off"))))
-    both = both.withColumn("score", F.round(F.when(F.col("validity") == "on", validity.demoted(F.col("score"), wrong)).otherwise(F.col("score")), 9))
-    w = W.partitionBy("chunking", "retriever", "validity", "query_id").orderBy(F.desc("score"), "rank")
-    return both.withColumn("new", F.row_number().over(w)).where("new <= 10").select("chunking", "retriever", "validity", "query_id", F.split_part("doc_id", F.lit("|"), F.lit(2)).alias("doc"), "statute", F.col("new").alias("rank"))
+        lists = [x.select("query_id", "doc_id", "score", "rank", F.lit(r).alias("retriever")) for r, x in (("bm25", lex), ("dense", den), ("hybrid", hyb))]
+        one = reduce(DataFrame.unionByName, lists).join(docs.select("doc_id", "source", "statute", "jid"), "doc_id").withColumn("chunking", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    both = _lawful(s, d, out, b).withColumn("validity", F.explode(F.array(F.lit("on"), F.lit("off"))))
+    on = F.col("validity") == "on"
+    both = both.withColumn("score", F.round(F.when(on, F.col("lawful")).otherwise(F.col("score")), 9))
+    w = W.partitionBy("chunking", "retriever", "validity", "query_id").orderBy(F.desc("score"), F.when(on, F.col("first")), "rank")
+    return both.withColumn("new", F.row_number().over(w)).where("new <= 10").select("chunking", "retriever", "validity", "query_id", _doc("doc_id").alias("doc"), "statute", F.col("new").alias("rank"))
 
 
 CONFIG = ["chunking", "retriever", "validity"]
