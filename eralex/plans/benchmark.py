@@ -61,11 +61,6 @@ def _gold(s: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.col("gold_evidence_ids").alias("gold"), F.coalesce("applicable_era", F.lit("")).alias("era"))
 
 
-def ir_metrics(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "corpus").select("ord", F.col("doc_id").alias("doc"))
-    return metrics.ranking(validity_topk(s, d).join(docs, "ord"), _gold(s, d), 10)
-
-
 def _searched(s: SparkSession, d: str) -> DataFrame:
     """(doc_id, source, statute, jid, full): every section of corpus, then the rest of dense_docs; doc_id leads with the order.
 
@@ -118,6 +113,15 @@ def _ablated(s: SparkSession, d: str) -> DataFrame:
     return both.withColumn("new", F.row_number().over(w)).where("new <= 10").select("chunking", "retriever", "validity", "query_id", _doc("doc_id").alias("doc"), "statute", F.col("new").alias("rank"))
 
 
+def ir_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Dated BM25 over sections and judgment chunks, against the evidence."""
+    b = table(s, d, "bench_items").withColumnRenamed("item_id", "query_id")
+    docs = _searched(s, d)
+    pool = sparse.bm25(docs, "doc_id", "full", b, "query_id", "question").join(docs.select("doc_id", "source", "statute", "jid"), "doc_id").withColumnRenamed("rank", "prior")
+    shown = _lawful(s, d, pool, b).withColumn("lawful", F.round("lawful", 6))
+    return metrics.ranking(validity.rerank(shown, "lawful", "first", "prior").withColumn("doc", _doc("doc_id")), _gold(s, d), 10)
+
+
 CONFIG = ["chunking", "retriever", "validity"]
 
 

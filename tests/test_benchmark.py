@@ -109,3 +109,18 @@ def test_era_of_a_judgment_is_wrong_not_missing(spark, sf):
     rows = {(r.chunking, r.retriever, r.validity): r.n_excluded for r in benchmark.ablation_grid(spark, sf).where("metric = 'era_ok'").collect()}
     no_era = spark.read.parquet(f"{sf}/bench_items.parquet").where("is_answerable and size(gold_evidence_ids) > 0 and coalesce(applicable_era, '') = ''").count()
     assert len(rows) == 12 and set(rows.values()) == {no_era}
+
+
+def test_ir_metrics_rank_judgments_too(spark, sf, world):
+    docs, items, bad = world
+    want = {}
+    for item, (lex, _) in zip(items, _pools(docs, [x["question"] for x in items])):
+        gold = item["gold_evidence_ids"] or []
+        if item["is_answerable"] and gold:
+            at = [(r, x["id"]) for r, x in enumerate(_top(docs, lex, item, bad, True, 6), 1) if x["id"] in gold]
+            ideal = sum(1 / math.log2(r + 1) for r in range(1, min(len(gold), 10) + 1))
+            want[item["item_id"]] = (round(len({x for _, x in at}) / len(gold), 6), round(1 / at[0][0], 6) if at else 0.0, pytest.approx(sum(1 / math.log2(r + 1) for r, _ in at) / ideal, abs=1e-6))
+    got = {r.query_id: (r.recall, r.mrr, r.ndcg) for r in benchmark.ir_metrics(spark, sf).collect()}
+    assert got == want
+    judged = {x["item_id"] for x in items if x["slice"] in ("precedent", "multihop")}
+    assert any(got[k][0] > 0 for k in judged)
