@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MODULUS, FACTOR = 2_147_483_647, 48_271
+MODULUS, FACTOR, BLOCK = 2_147_483_647, 48_271, 250
 
 
 def parent_of(doc_id: Column) -> Column:
@@ -53,20 +56,35 @@ def summary(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return long.groupBy(*by, "metric").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"), F.count("x").alias("n"), F.count(F.when(F.col("x").isNull(), 1)).alias("n_excluded"))
 
 
-def draw(rep: Column, i: Column, n: Column) -> Column:
-    """A deterministic index below n for a replicate and a draw, equal in every engine."""
+def draw(rep: int, i: np.ndarray, n: int) -> np.ndarray:
+    """Deterministic indices below n for a replicate and its draws, equal in every engine."""
     x = (rep * 1000 + i + 1) * FACTOR % MODULUS
     x = (x * FACTOR + rep) % MODULUS
     return (x * FACTOR + i) % MODULUS % n
 
 
 def replicates(scores: DataFrame, by: list[str], order: str, value: str, reps: int) -> DataFrame:
-    """(by..., rep, mean, n, obs): bootstrap means. The scores of one evaluation are one small array per configuration."""
+    """(by..., rep, mean, n, obs): bootstrap means. The scores of one evaluation are one small array per configuration.
+
+    Blocks of replicates are spread over the tasks; a replicate is one vector of draws.
+    """
     arr = scores.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"].cast("double")).alias("a"))
     arr = arr.withColumn("n", F.size("a").cast("long")).withColumn("obs", F.aggregate("a", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    rep = arr.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("rep", F.col("rep").cast("long"))
-    total = F.aggregate(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(0.0), lambda s, i: s + F.get("a", draw(F.col("rep"), i.cast("long"), F.col("n")).cast("int")))
-    return rep.select(*by, "rep", F.round(total / F.col("n"), 9).alias("mean"), "n", "obs")
+    parts = arr.select(*by, "n", "obs", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK))).alias("start"), "a").repartition(4 * scores.sparkSession.sparkContext.defaultParallelism)
+    kept = len(by) + 2
+    schema = T.StructType([*parts.schema.fields[:kept], T.StructField("rep", T.LongType()), T.StructField("total", T.DoubleType())])
+
+    def run(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                start = b.column(kept)[row].as_py()
+                a = b.column(kept + 1)[row].values.to_numpy(zero_copy_only=False)
+                own, i = range(start, min(start + BLOCK, reps)), np.arange(len(a), dtype=np.int64)
+                same = pa.array(np.full(len(own), row))
+                total = np.array([a[draw(rep, i, len(a))].sum() for rep in own])
+                yield pa.RecordBatch.from_arrays([*[c.take(same) for c in b.columns[:kept]], pa.array(own, pa.int64()), pa.array(total, from_pandas=True)], names=schema.names)
+
+    return parts.mapInArrow(run, schema).select(*by, "rep", F.round(F.col("total") / F.col("n"), 9).alias("mean"), "n", "obs")
 
 
 def bootstrap_ci(scores: DataFrame, by: list[str], order: str, value: str, reps: int, level: float = 0.95) -> DataFrame:

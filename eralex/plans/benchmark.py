@@ -21,7 +21,7 @@ from eralex.runtime import cut, table
 
 TRAP_SECTIONS = [("IPC", "871"), ("IPC", "700Z"), ("BNS", "640"), ("CrPC", "777")]
 TRAP_CASES = ["Harbour Lights Trust v. Moonlit Tramways (2020)", "Anand Kalpit v. State of Nowhere (2018)"]
-REPS = 1000
+REPS = 10_000
 
 
 def bench_slices(s: SparkSession, d: str) -> DataFrame:

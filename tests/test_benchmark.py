@@ -124,3 +124,35 @@ def test_ir_metrics_rank_judgments_too(spark, sf, world):
     assert got == want
     judged = {x["item_id"] for x in items if x["slice"] in ("precedent", "multihop")}
     assert any(got[k][0] > 0 for k in judged)
+
+
+def _replicate_means(values, reps):
+    """In Python's own integers, draw by draw."""
+    n, m, f = len(values), 2_147_483_647, 48_271
+    out = []
+    for rep in range(reps):
+        total = 0.0
+        for i in range(n):
+            x = (rep * 1000 + i + 1) * f % m
+            x = (x * f + rep) % m
+            total += values[(x * f + i) % m % n]
+        out.append(round(total / n, 9))
+    return out
+
+
+def test_statistics_take_ten_thousand_replicates(spark, tmp_path):
+    d = str(tmp_path)
+    votes = [(r, f"d{i:02}", int(i * k % 7 < 2)) for r, k in (("a", 3), ("b", 5)) for i in range(20)]
+    spark.createDataFrame(votes, "rater string, doc_id string, flagged int").write.parquet(f"{d}/review_labels.parquet")
+    assert benchmark.REPS == 10_000
+    got = {r.rater: (r["mean"], r.low, r.high, r.n) for r in benchmark.bootstrap_ci(spark, d).collect()}
+    for rater in "ab":
+        own = [float(v) for r, _, v in votes if r == rater]
+        means = sorted(_replicate_means(own, 10_000))
+        assert got[rater] == (round(sum(own) / 20, 6), round(means[250], 6), round(means[9749], 6), 20)
+    by = {(r, i): v for r, i, v in votes}
+    diff = [float(abs(by["a", f"d{i:02}"] - by["b", f"d{i:02}"])) for i in range(20)]
+    obs = sum(diff) / 20
+    p = sum(abs(m - obs) >= abs(obs) - 1e-12 for m in _replicate_means(diff, 10_000)) / 10_000
+    row = benchmark.paired_bootstrap(spark, d).head()
+    assert (row["diff"], row.p) == (round(obs, 6), pytest.approx(p, abs=1e-6))
