@@ -1,29 +1,37 @@
 """Personal information inside free text, by a skip-chain conditional random field.
 
-Windows around anything that could be personal (digit groups, "@", address words, pairs of
-capitalised words) are cut out of a text; the rest can hold no case. Each window is a linear chain of
-tokens; equal capitalised tokens anywhere in the document are linked by skip edges, each
-occurrence to the one before, so a document has no more skip edges than tokens. Sum-product messages are
-passed over chain and skip edges until labels of a document agree, all documents of a
-batch at once. Labels are then held against the exact form of their type.
-
-The chain is fitted on synthetic sentences whose slots are filled with invented persons,
-numbers and addresses, and on look-alikes that are no case; the skip potential is the
-log-odds of agreement between equal tokens in synthetic documents. Name lists come from
-a column of party names as counts (at most ``LIST`` words); everything runs in one scan per field.
+A document is a linear chain over all its tokens. Repeated or similar tokens (equal letters,
+or equal but for vowels, doubled letters and usual scanner confusions) are linked by skip
+edges, each occurrence to the one before, so a document has no more skip edges than tokens.
+Loopy sum-product passes messages over chain and skip edges; an entity that its context
+betrays once is found where its context says little. Labels are then held against the exact
+form of their type.
+
+Potentials of a token and its neighbours are sums of hashed features. What depends on one
+token is added up once per distinct token and looked up afterwards; a few pair features are
+added per place. A token whose own potentials prefer "no case" by more than all messages
+together could turn (the spread of the chain and skip potentials bounds that, up to
+``SURE`` in log-odds) keeps it, and messages run over the other tokens only. So the whole text is
+read, and nothing is cut around patterns.
+
+Potentials, chain and skips are fitted jointly on synthetic documents (``synthetic``): invented
+persons, numbers and addresses in sentences written for this module, look-alikes that are no
+case, and entities that come again. Names of the party columns are one feature: a bit field of
+2^24 bits filled by aggregation, of one size whatever the number of names.
 
 Defined results
 * null and blank fields hold nothing; repeated rows are reported each;
 * judges, institutions, firms and parties in case titles are no private names, and a
   name inside an e-mail address belongs to the address;
-* placeholders replace the found spans and leave the text around them unchanged.
+* placeholders replace the found spans and leave the text around them unchanged;
+* an empty table gives an empty result; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
-import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,40 +39,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABELS = ["O", "email", "phone", "identity", "address", "name"]
-O, EMAIL, PHONE, IDENTITY, ADDRESS, NAME = range(6)
+from eralex.llm import synthetic
+from eralex.llm.synthetic import ADDRESS, EMAIL, IDENTITY, NAME, PHONE, LABELS, O
+
 PLACEHOLDER = {EMAIL: "[EMAIL]", PHONE: "[PHONE]", IDENTITY: "[IDENTITY NUMBER]", ADDRESS: "[ADDRESS]", NAME: "[NAME]"}
-BITS, LIST, MARGIN = 16, 50_000, 45
-_ADDR = r"h\.? ?no|house no|plot|flat|door|sector|pin|road|street|lane|marg|avenue|nagar|colony|layout|enclave|apartments|towers|vihar|r/o|residing|resident of"
+BITS, LIST_BITS, K = 17, 24, len(LABELS)
+#: Log-odds left over when a token is held to be no case without messages.
+SURE = 6.0
+#: A word; one that is cut at a line end counts as one.
+SPLIT = re.compile(r"((?<!-)\s+|(?<=-)(?!\n[a-z])\s+)")
 TOKEN = re.compile(r"[^\s,;()<>\"\[\]]+?-\n[a-z]+|[^\s,;()<>\"\[\]]*[^\s,;()<>\"\[\].:!?](?:[.](?=(?:\s|,|$)))?|[^\s]")
-ANCHOR = re.compile(
-    r"@|[(\[]at[)\]]|(?<![\d.\-/,])(?!\d{1,2}[.\-/]\d{1,2}[.\-/]\d{4})\d[\d .()\-+\n]{7,}\d|(?<![A-Z])[A-Z]{1,5}\d{4}|(?<![A-Z])[A-Z]{2}-\d\d|\b[A-Z]\.\s{0,2}[A-Z]|[A-Z][a-z]+(?:-\n[a-z]+)?,?\s+[A-Z][a-z]|[A-Z]{3},?\s+[A-Z]{3}"
-)
-PLACE = re.compile(r"\b(?:" + _ADDR + r")\b", re.I)
+_FOLD_DIGITS = str.maketrans("123456789", "000000000")
 _VERSUS = ("v.", "v", "vs.", "vs", "versus")
+SPAN = 3  # tokens on either side that bear on a token
 
 
-class Tokens:
-    """Cached attributes of token strings: lower case, shape, ending, list membership."""
-
-    def __init__(self, given: set[str], surnames: set[str]):
-        self.given, self.surnames, self.known = given, surnames, {}
-
-    def of(self, t: str) -> tuple[int, int, int, int, int]:
-        got = self.known.get(t)
-        if got is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            w = t.replace("-\n", "").lower()
-            s = re.sub(r"[a-z]{2,}", "aa", re.sub(r"[A-Z]{6,}", "AAAAAA", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", t.replace("-\n", ""))))))
-            if s[0] == "A":
-                s = re.sub(r"A{3,}(?!9)", "AAA", s)
-            bare = w.strip(".")
-            g = (bare in self.given) + 2 * (bare in self.surnames)
-            low = re.sub(r"\d", "0", w)
-            link = zlib.crc32(bare.encode()) if t[0].isupper() and len(bare) > 3 and bare.isalpha() else 0
-            got = self.known[t] = (zlib.crc32(low.encode()), zlib.crc32(s[:24].encode()), zlib.crc32(bare[-3:].encode()), g, link)
-        return got
+def skeleton(word: str) -> str:
+    """What similar spellings of a name share."""
+    w = word.replace("rn", "m").replace("cl", "d").replace("vv", "w")
+    w = w[:1] + re.sub(r"[aeiouyl0]", "", w[1:])
+    return re.sub(r"(.)\1+", r"\1", w)
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -72,203 +66,310 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
         x = (x + np.uint64(salt * 0x9E3779B1)) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(31)
         x = x * np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(64 - BITS)).astype(np.int64)
+    return (x >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def features(attr: np.ndarray, seq: np.ndarray, edge: np.ndarray, drop: np.ndarray | None = None) -> np.ndarray:
-    """(tokens, features) buckets. attr: columns of Tokens.of; seq: window of each token; edge: 1 line start, 2 line end."""
-    n = len(attr)
-    low, shape, tail, lists = (attr[:, k].astype(np.uint64) for k in range(4))
-    if drop is not None:
-        lists = np.where(drop, np.uint64(0), lists)
-
-    def at(a: np.ndarray, k: int) -> np.ndarray:
-        out = np.full(n, np.uint64(77))
-        if k > 0 and n > k:
-            ok = seq[k:] == seq[:-k]
-            out[:-k][ok] = a[k:][ok]
-        elif k < 0 and n > -k:
-            ok = seq[-k:] == seq[:k]
-            out[-k:][ok] = a[:k][ok]
-        elif k == 0:
-            out = a
-        return out
+class Grown:
+    """A numpy array that grows by doubling."""
 
-    with np.errstate(over="ignore"):
-        p = np.uint64(1_000_003)
-        l1, l2, r1, r2 = at(low, -1), at(low, -2), at(low, 1), at(low, 2)
-        s1, s2, t1, t2 = at(shape, -1), at(shape, -2), at(shape, 1), at(shape, 2)
-        g1, h1 = at(lists, -1), at(lists, 1)
-        versus = np.isin(low, [zlib.crc32(w.encode()) for w in _VERSUS])
-        near = np.zeros(n, np.uint64)
-        for k in range(1, 8):
-            near |= (at(versus.astype(np.uint64), k) == 1).astype(np.uint64) | ((at(versus.astype(np.uint64), -k) == 1).astype(np.uint64) << np.uint64(1))
-        e = edge.astype(np.uint64)
-        cols = [low, shape, tail, lists * p + shape, l1, r1, l2, r2, s1, t1, s2, t2, g1 * p + lists, lists * p + h1, l1 * p + shape, shape * p + r1, s1 * p + shape, shape * p + t1, (s1 * p + shape) * p + t1, e * p + shape, near * p + shape, near, at(low, -3) * p + shape, at(low, 3), (l2 * p + l1) * p + shape, (shape * p + r1) * p + r2]
-    return np.stack([_mix(c, k + 1) for k, c in enumerate(cols)], 1)
-
-
-_CAP, _CAPS, _DIGITS, _STRONG = 1, 2, 4, 8
-_RAW_STRONG = re.compile(r"@|[(\[]at[)\]]|[A-Z]{1,5}\d{4}|[A-Z]{2}-\d\d|[A-Z]\.[A-Z]|-\n")
-_DATE = re.compile(r"\D*\d{1,2}[.\-/]\d{1,2}[.\-/]\d{4}\D*")
-
-
-def _raw_flags(t: str) -> int:
-    """What a raw word may be part of; never 0 for a word that ``ANCHOR`` or ``PLACE`` could use."""
-    f = _STRONG if _RAW_STRONG.search(t) or PLACE.search(t) else 0
-    if re.search(r"[A-Z][a-z]|^\W*[A-Z]\.", t):
-        f |= _CAP
-    if re.search(r"[A-Z]{3}", t):
-        f |= _CAPS
-    n = sum(c.isdigit() for c in t)
-    if n and not _DATE.fullmatch(t):
-        f |= _DIGITS if n >= 2 else 0
-        if n >= 8 and "," not in t.strip(",.;:()"):
-            f |= _STRONG
-    return f
-
-
-class Likely:
-    """Which texts can have an anchor, by flags of their raw words."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        words, counts = [], []
-        for t in texts:
-            w = t.split() if t else []
-            words += w
-            counts.append(len(w))
-        known = self.known
-        try:
-            flags = np.fromiter(map(known.__getitem__, words), np.uint8, len(words))
-        except KeyError:
-            if len(known) > 400_000:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = _raw_flags(w)
-            flags = np.fromiter(map(known.__getitem__, words), np.uint8, len(words))
-        hit = (flags & _STRONG) > 0
-        hit[:-1] |= (flags[:-1] & flags[1:] & (_CAP | _CAPS | _DIGITS)) > 0
-        return np.bincount(np.repeat(np.arange(len(texts)), counts), hit, len(texts)) > 0
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    spans = [m.span() for m in ANCHOR.finditer(text)]
-    if any(c in text for c in "/0123456789"):
-        spans = sorted(spans + [m.span() for m in PLACE.finditer(text)])
-    for a, b in spans:
-        a, b = max(0, a - MARGIN), min(len(text), b + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    spans = []
-    for a, b in out:
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        spans.append((a, b))
-    return spans
+    def __init__(self, width: tuple, dtype):
+        self.a, self.n = np.zeros((1024, *width), dtype), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        n = self.n + len(rows)
+        if n > len(self.a):
+            self.a = np.concatenate([self.a, np.zeros((max(n, 2 * len(self.a)) - len(self.a), *self.a.shape[1:]), self.a.dtype)])
+        self.a[self.n : n] = rows
+        self.n = n
+
+
+def attributes(token: str, names: np.ndarray | None) -> tuple[int, int, int, int, int, int, int]:
+    """(low, shape, tail, listed, link, similar, versus) of a token with digits folded.
 
+    tail: the last letters, or of a code its make-up; listed: bit 1 a given name, bit 2 a surname.
+    """
+    t = token.replace("-\n", "")
+    coded = "0" in t or "@" in t
+    if coded and len(t) > 1:
+        t = t.rstrip(".")
+    w = t.lower()
+    s = re.sub(r"[^\W\d_A-Z]{2,}", "aa", re.sub(r"[A-Z]{6,}", "AAAAAA", re.sub(r"[^\W\d_A-Z]", "a", re.sub("[A-Z]", "A", w if "@" in t else t))))
+    if s[0] == "A":
+        s = re.sub(r"A{3,}(?!0)", "AAA", s)
+    bare = w.strip(".'’")
+    bare = bare[:-2] if bare.endswith(("'s", "’s")) else bare
+    listed = sum(1 << i for i in (0, 1) if names is not None and _listed(names, i, bare))
+    capital = t[0].isupper() and len(bare) > 3 and sum(c.isalpha() for c in bare) >= len(bare) - 1
+    link = zlib.crc32(bare.encode("utf-8", "replace")) | 1 if capital else 0
+    bones = skeleton(bare) if capital else ""
+    similar = zlib.crc32(bones.encode("utf-8", "replace")) | 1 if len(bones) > 2 else link
+    tail = bare[-3:] if not coded else "@" if "@" in t else f"{t.count('0')}{any(c.isalpha() for c in t)}"
+    return zlib.crc32(w.encode("utf-8", "replace")), zlib.crc32(s[:24].encode("utf-8", "replace")), zlib.crc32(tail.encode("utf-8", "replace")), listed, link, similar, int(w in _VERSUS)
 
-def tokenize(text: str, a: int = 0, b: int | None = None) -> list[tuple[str, int, int]]:
-    return [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text, a, len(text) if b is None else b)]
 
+def _place(which: int, word: str) -> int:
+    return zlib.crc32(f"{which}{word}".encode("utf-8", "replace")) >> (32 - LIST_BITS)
 
-def line_edges(text: str, toks: list[tuple[str, int, int]]) -> list[int]:
+
+def _listed(names: np.ndarray, which: int, word: str) -> bool:
+    k = _place(which, word)
+    return bool(names[k >> 3] >> (k & 7) & 1)
+
+
+def _hash(attr: np.ndarray) -> list[np.ndarray]:
+    return [attr[:, k].astype(np.uint64) for k in range(4)]
+
+
+P = np.uint64(1_000_003)
+
+
+def own_features(attr: np.ndarray) -> list[np.ndarray]:
+    """Buckets by which a token bears on the tokens -SPAN .. SPAN away from itself; (tokens, features) each."""
+    low, shape, tail, listed = _hash(attr)
     out = []
-    for _, s, e in toks:
-        before, after = text[max(0, s - 3) : s], text[e : e + 3]
-        out.append((s == 0 or "\n" in before or before == "   "[: len(before)] and len(before) == 3) + 2 * (e >= len(text) or "\n" in after))
+    with np.errstate(over="ignore"):
+        for o in range(-SPAN, SPAN + 1):
+            if o == 0:
+                cols = [low, shape, tail, listed * P + shape, listed]
+            elif abs(o) == 1:
+                cols = [low, shape, listed, tail]
+            else:
+                cols = [low, shape] if abs(o) == 2 else [low]
+            out.append(np.stack([_mix(c, 16 * (o + SPAN) + k + 1) for k, c in enumerate(cols)], 1))
     return out
 
 
-def _exp(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
+def _at(a: np.ndarray, k: int) -> np.ndarray:
+    """The value k places on; outside, 0."""
+    out = np.zeros_like(a)
+    if k > 0:
+        out[:-k] = a[k:]
+    elif k < 0:
+        out[-k:] = a[:k]
+    else:
+        out = a
+    return out
+
+
+def pair_features(attr: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+    """Buckets of features that join a token with its neighbours. edge: 1 a line starts, 2 a line ends here."""
+    low, shape, _, listed = _hash(attr)
+    with np.errstate(over="ignore"):
+        versus = attr[:, 6].astype(np.int64)
+        reach = np.concatenate(([0], np.cumsum(versus)))
+        n, at = len(attr), np.arange(len(attr))
+        ahead = reach[np.minimum(at + 9, n)] > reach[np.minimum(at + 1, n)]
+        behind = reach[at] > reach[np.maximum(at - 8, 0)]
+        near = ahead.astype(np.uint64) + np.uint64(2) * behind.astype(np.uint64)
+        s1, t1, l1, r1 = _at(shape, -1), _at(shape, 1), _at(low, -1), _at(low, 1)
+        left = s1 * P + shape
+        right = shape * P + t1
+        cols = [left, right, left * P + t1, l1 * P + shape, shape * P + r1, _at(listed, -1) * P + listed, listed * P + _at(listed, 1), edge.astype(np.uint64) * P + shape, near * P + shape, right * P + _at(shape, 2), left * P + _at(shape, -2)]
+        return [_mix(c, 128 + k) for k, c in enumerate(cols)]
+
+
+def skip_edges(doc: np.ndarray, attr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, 2) of linked tokens, each occurrence to the one before in its document, and their kinds.
+
+    Kind: 1 if the spellings differ, plus 2 if just one of the two stands beside a "v.".
+    """
+    at = np.flatnonzero(attr[:, 5])
+    order = at[np.lexsort((at, attr[at, 5], doc[at]))]
+    if len(order) < 2:
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    same = (doc[order[1:]] == doc[order[:-1]]) & (attr[order[1:], 5] == attr[order[:-1], 5])
+    edges = np.stack([order[:-1][same], order[1:][same]], 1)
+    reach = np.concatenate(([0], np.cumsum(attr[:, 6])))
+    n = len(attr)
+    beside = reach[np.minimum(edges + 9, n)] > reach[np.maximum(edges - 8, 0)]
+    return edges, (attr[edges[:, 0], 4] != attr[edges[:, 1], 4]) + 2 * (beside[:, 0] != beside[:, 1])
+
+
+def messages(unary: np.ndarray, chain: np.ndarray, left: np.ndarray, skips: np.ndarray, agree: np.ndarray, rounds: int):
+    """Loopy sum-product. left: tokens chained to the next one; agree: (edges, labels) log potential where both ends have a label.
+
+    Returns the beliefs (log, not normed) and for chain edges and skip edges the
+    beliefs of both ends without the message over that edge.
+    """
+    n, k = unary.shape
+    c, s = len(left), len(skips)
+    src = np.concatenate([left, left + 1, skips[:, 0], skips[:, 1]])
+    dst = np.concatenate([left + 1, left, skips[:, 1], skips[:, 0]])
+    back = np.concatenate([np.arange(c, 2 * c), np.arange(c), np.arange(2 * c + s, 2 * c + 2 * s), np.arange(2 * c, 2 * c + s)])
+    top = chain.max()
+    fwd, bwd, diag = np.exp(chain - top), np.exp(chain.T - top), np.exp(np.concatenate([agree, agree])) - 1
+    msg = np.zeros((len(src), k), unary.dtype)
+
+    def beliefs():
+        out = unary.copy()
+        out[left + 1] += msg[:c]
+        out[left] += msg[c : 2 * c]
+        if s:
+            out += np.stack([np.bincount(dst[2 * c :], msg[2 * c :, j], n) for j in range(k)], 1)
+        return out
+
+    for r in range(rounds):
+        out = beliefs()[src] - msg[back]
+        out = np.exp(out - out.max(1, keepdims=True))
+        new = np.concatenate([out[:c] @ fwd, out[c : 2 * c] @ bwd, out[2 * c :].sum(1, keepdims=True) + out[2 * c :] * diag])
+        new = np.log(new / new.sum(1, keepdims=True) + 1e-12)
+        msg = (0.5 * msg + 0.5 * new if s and r else new).astype(unary.dtype)
+    b = beliefs()
+    return b, (b[left] - msg[c : 2 * c], b[left + 1] - msg[:c]), (b[skips[:, 0]] - msg[2 * c + s :], b[skips[:, 1]] - msg[2 * c : 2 * c + s])
 
 
 class Crf:
-    def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: float, given: set[str], surnames: set[str]):
-        self.weights, self.chain, self.skip, self.given, self.surnames = weights, chain, skip, given, surnames
-        self.tokens: Tokens | None = None
-        self.likely = Likely()
+    """Fitted potentials. names: bit field of listed names, or None."""
+
+    def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray, names: np.ndarray | None = None):
+        self.weights, self.chain, self.skip, self.names = weights, chain, skip, names
+        self._forget()
 
     def __getstate__(self):
-        return self.weights, self.chain, self.skip, self.given, self.surnames
+        return self.weights, self.chain, self.skip, self.names
 
     def __setstate__(self, s):
         self.__init__(*s)
 
-    def marginals(self, unary: np.ndarray, seq: np.ndarray, skips: np.ndarray, rounds: int = 10) -> np.ndarray:
-        """Loopy sum-product; skips: (edges, 2) linked tokens."""
-        n, k = unary.shape
-        left = np.flatnonzero(seq[1:] == seq[:-1]) if n > 1 else np.zeros(0, np.int64)
-        src = np.concatenate([left, left + 1, skips[:, 0], skips[:, 1]])
-        dst = np.concatenate([left + 1, left, skips[:, 1], skips[:, 0]])
-        c, s = len(left), len(skips)
-        back = np.concatenate([np.arange(c, 2 * c), np.arange(c), np.arange(2 * c + s, 2 * c + 2 * s), np.arange(2 * c, 2 * c + s)])
-        fwd, bwd = np.exp(self.chain - self.chain.max()), np.exp(self.chain.T - self.chain.max())
-        agree = np.exp(self.skip * np.eye(k))
-        msg = np.zeros((len(src), k))
-        for r in range(rounds):
-            belief = unary + np.stack([np.bincount(dst, msg[:, j], n) for j in range(k)], 1)
-            out = belief[src] - msg[back]
-            out = np.exp(out - out.max(1, keepdims=True))
-            new = np.concatenate([out[:c] @ fwd, out[c : 2 * c] @ bwd, out[2 * c :] @ agree])
-            new = np.log(new / new.sum(1, keepdims=True) + 1e-12)
-            msg = new if r == 0 else 0.5 * msg + 0.5 * new if s else new
-        belief = unary + np.stack([np.bincount(dst, msg[:, j], n) for j in range(k)], 1)
-        p = np.exp(belief - belief.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+    def with_names(self, names: np.ndarray | None) -> Crf:
+        return Crf(self.weights, self.chain, self.skip, names)
+
+    def _forget(self) -> None:
+        """Empty the caches of words and tokens; number 0 is the gap between documents."""
+        self.raw: dict[str, int] = {}
+        self.types: dict[str, int] = {}
+        self.raw_at, self.raw_n = Grown((), np.int64), Grown((), np.int64)
+        self.sub = Grown((3,), np.int64)  # token, start and end in the word
+        self.attr, self.own = Grown((7,), np.int64), Grown((2 * SPAN + 1, K), np.float32)
+        self._add_types([(1, 1, 1, 0, 0, 0, 0)])
+
+    def _add_types(self, rows: list[tuple]) -> None:
+        a = np.array(rows, np.int64)
+        self.attr.add(a)
+        self.own.add(np.stack([self.weights[f].sum(1) for f in own_features(a)], 1))
+
+    def _learn(self, words: set[str]) -> None:
+        at, n, sub, new = [], [], [], []
+        for w in words:
+            self.raw[w] = self.raw_at.n + len(at)
+            at.append(self.sub.n + len(sub))
+            for m in TOKEN.finditer(w):
+                k = self.types.get(m.group())
+                if k is None:
+                    k = self.types[m.group()] = self.attr.n + len(new)
+                    new.append(attributes(m.group(), self.names))
+                sub.append((k, m.start(), m.end()))
+            n.append(self.sub.n + len(sub) - at[-1])
+        self.raw_at.add(np.array(at))
+        self.raw_n.add(np.array(n))
+        if sub:
+            self.sub.add(np.array(sub))
+        if new:
+            self._add_types(new)
+
+    def stream(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(type, doc, start, end, edge) of all tokens of the texts, SPAN gaps before and after each text."""
+        if len(self.raw) > 250_000:
+            self._forget()
+        words, gaps, counts = [], [], []
+        for t in texts:
+            parts = SPLIT.split(t.translate(_FOLD_DIGITS))
+            words += parts[::2]
+            gaps += parts[1::2]
+            gaps.append("\n")
+            counts.append(len(parts) // 2 + 1)
+        known = self.raw
+        fresh = set(words) - known.keys()
+        if fresh:
+            self._learn(fresh)
+        raw = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        size, gap = np.fromiter(map(len, words), np.int64, len(words)), np.fromiter(map(len, gaps), np.int64, len(words))
+        broken = np.fromiter(("\n" in g or len(g) > 2 for g in gaps), bool, len(words))
+        counts = np.array(counts)
+        first = np.cumsum(counts) - counts
+        ends = np.cumsum(size + gap)
+        start = ends - size - gap
+        base = start[first]
+        starts_line = np.ones(len(words), bool)
+        starts_line[1:] = broken[:-1]
+        starts_line[first] = True
+        n = self.raw_n.a[raw]
+        total = n.sum()
+        which = np.repeat(np.arange(len(words)), n)
+        inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+        sub = self.sub.a[self.raw_at.a[raw][which] + inner]
+        owner = np.repeat(np.arange(len(texts)), counts)[which]
+        edge = (starts_line[which] & (inner == 0)) + 2 * (broken[which] & (inner == n[which] - 1))
+        spot = np.arange(total) + SPAN * (owner + 1)
+        whole = total + SPAN * (len(texts) + 1)
+        cols = []
+        for values in (sub[:, 0], owner, start[which] - base[owner] + sub[:, 1], start[which] - base[owner] + sub[:, 2], edge):
+            c = np.zeros(whole, np.int64)
+            c[spot] = values
+            cols.append(c)
+        cols[1][cols[0] == 0] = -1
+        return tuple(cols)
+
+    def potentials(self, types: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """(tokens, labels) sums of all features."""
+        out = np.zeros((len(types), K), np.float32)
+        for o in range(-SPAN, SPAN + 1):  # a token bears on those o away
+            rows = self.own.a[types, o + SPAN]
+            if o > 0:
+                out[o:] += rows[:-o]
+            elif o < 0:
+                out[:o] += rows[-o:]
+            else:
+                out += rows
+        for f in pair_features(self.attr.a[types], edge):
+            out += self.weights[f]
+        return out
+
+    def label(self, unary: np.ndarray, types: np.ndarray, doc: np.ndarray, rounds: int = 12) -> np.ndarray:
+        """Most likely label of each token."""
+        edges, kind = skip_edges(doc, self.attr.a[types])
+        chain, reach = self.chain, np.zeros(K)
+        reach += (chain - chain[:, :1]).max(0) + (chain - chain[:1]).max(1)
+        turn = unary - unary[:, :1] + reach.astype(np.float32)
+        gain = np.abs(self.skip[kind]).max(1) if len(edges) else np.zeros(0)
+        linked = np.bincount(edges.ravel(), np.repeat(gain * 2, 2), len(types)) if len(edges) else 0.0
+        open_ = (turn[:, 1:].max(1) + linked > -SURE) & (types > 0)
+        out = np.zeros(len(types), np.int64)
+        at = np.flatnonzero(open_)
+        if not len(at):
+            return out
+        number = np.full(len(types), -1)
+        number[at] = np.arange(len(at))
+        own = unary[at].astype(np.float64)
+        settled = (number < 0) & (types > 0)
+        own += np.where(settled[at - 1][:, None], chain[0], 0) + np.where(settled[at + 1][:, None], chain[:, 0], 0)
+        left = np.flatnonzero(np.diff(at) == 1)
+        a, b = number[edges[:, 0]], number[edges[:, 1]]
+        for x, y in ((a, b), (b, a)):
+            half = (x >= 0) & (y < 0)
+            np.add.at(own, (x[half], O), self.skip[kind[half], O])
+        both = (a >= 0) & (b >= 0)
+        beliefs, _, _ = messages(own, chain, left, np.stack([a[both], b[both]], 1), self.skip[kind[both]], rounds)
+        out[at] = beliefs.argmax(1)
+        return out
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(start, end, label) of each case in each text."""
-        if self.tokens is None:
-            self.tokens = Tokens(self.given, self.surnames)
-        toks, attr, seq, edge, links, w = [], [], [], [], [], 0
-        for i in np.flatnonzero(self.likely(texts)).tolist():
-            t = texts[i]
-            last: dict[int, int] = {}
-            for a, b in windows(t):
-                got = tokenize(t, a, b)
-                for (x, s, e), ed in zip(got, line_edges(t, got)):
-                    at = self.tokens.of(x)
-                    if at[4]:
-                        if at[4] in last:
-                            links.append((last[at[4]], len(toks)))
-                        last[at[4]] = len(toks)
-                    toks.append((i, s, e))
-                    attr.append(at)
-                    seq.append(w)
-                    edge.append(ed)
-                w += 1
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        if not toks:
+        full = [i for i, t in enumerate(texts) if t and not t.isspace()]
+        if not full:
+            return out
+        types, doc, start, end, edge = self.stream([texts[i] for i in full])
+        label = self.label(self.potentials(types, edge), types, doc)
+        at = np.flatnonzero(label)
+        if not len(at):
             return out
-        seq = np.array(seq)
-        f = features(np.array(attr, np.int64), seq, np.array(edge))
-        unary = self.weights[f[:, 0]].copy()
-        for j in range(1, f.shape[1]):
-            unary += self.weights[f[:, j]]
-        p = self.marginals(unary, seq, np.array(links, np.int64).reshape(-1, 2))
-        label = p.argmax(1)
-        k = 0
-        while k < len(toks):
-            y = label[k]
-            e = k + 1
-            while e < len(toks) and label[e] == y and seq[e] == seq[k]:
-                e += 1
-            if y != O:
-                i = toks[k][0]
-                for a, b in exact(texts[i], toks[k][1], toks[e - 1][2], int(y)):
-                    out[i].append((a, b, int(y)))
-            k = e
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) > 1) | (label[at][1:] != label[at][:-1])
+        begin = np.flatnonzero(new)
+        for a, b in zip(at[begin], at[np.append(begin[1:], len(at)) - 1]):
+            i, y = full[doc[a]], int(label[a])
+            out[i] += [(x, e, y) for x, e in exact(texts[i], int(start[a]), int(end[b]), y)]
         return out
 
 
@@ -306,206 +407,108 @@ def exact(text: str, a: int, b: int, label: int) -> list[tuple[int, int]]:
     return got
 
 
-# Synthetic sentences. {n}: person, {s}: surname, {p}: place; other slots by name.
-CASES = """According to {n} the gate was open.|PW-{d} {n} did not support the case.|The house was let to {n} a year earlier.|It was {n} who carried the parcel.|The statement of {n} was recorded the next day.|{n}, aged {d} years, was seen near the well.|Money was handed to {n} in the presence of {n}.|The loan was taken by {n}, {rel} {n}, without security.
-The deceased lived at {a} with two others.|Notice was pasted on the door of {a} in the morning.|The raid took place at {a} at night.|Residing at {a}.|Summons went to {n}, R/o {a}.|The tenant of {a} left early.
-He could be reached on {t} only after dusk.|The number {t} stood in the name of the driver.|Calls were traced to {t} for most of that night.|Mob. {t}.|Ph: {t}|A message from {t} was deleted.
-Contact: {e}.|Service was effected by e-mail ({e}).|The messages came from {e} and were printed.|A copy was sent to {e} on the same day.|email {e}|A copy was sent to {e} the same evening.|{e} the same evening.|{n0} v. {f}    C.R.P. {d}/{y}\n{e} and were printed.|{d}  {n0} v. {n0}\n{e} the same evening.
-Identity No. {i} was entered in the form.|ID: {i}.|The card bearing {i} was seized.|The proof offered was {i}, which did not match.|His number {i} was not on the list.|UID {i}"""
-PARTIES = "{n}|{n} & Ors.|{n} & Anr.|{n} and another|{h} {n}|{n}, {rel} {n}|Minor {n} through guardian {n}|{n}, R/o {a}|{n} resident of {a}|{n}, {t}|{n} ({t})|{n}, Ph: {t}|{n}, Mob. {t}|{n}, email {e}|{n} <{e}>|{n}, {e}|{n}, {i}|{n} (UID {i})|{n}, ID {i}|{f}|{f}, {a}|{f}, R/o {a}|{f} resident of {a}|{f}, {t}|{f} ({t})|{f}, Ph: {t}|{f}, Mob. {t}|{f}, email {e}|{f} <{e}>|{f}, {i}|{f} (UID {i})|{f}, ID {i}|{f}, ID {i}, Mob. {t}|{f}|{f}|X (minor victim)|Victim 'B'|Unknown legal heirs|Prosecutrix (name withheld)|ABC|{f}, {e}"
-NO_CASES = """Justice {s} had taken the same view.|Reliance was placed on {s} v. State of {p} ({y}).|{n0} v. {n0}    W.P.(C) {d}/{y}|{d}  {n0} v. {n0}|{n0} v. {f}    Crl.A. {d}/{y}|{d}  {f} v. {n0}|{f} v. {f}    C.R.P. {d}/{y}|{N0} V. {N0}|{F0} V. {F0}|{N0} V. {F0}|The case of {n0} v. {f} was cited.|{d}  {f} v.
-The tender reference was TR-{d10}.|The consignment weighed {d8} grams.|The deposit of Rs. 5,50,{d2},000 was made in account head {d}.|The amount of Rs. {d3},{d3} had already been deposited.|Crl. Appeal No. {d} of {y} was heard together.|cnr {cnr} was registered|The receipt of {f} was lost.|Report No. {d8} was filed by the Bench Two law desk.|Reported by the Bench Two law desk|REPORTED BY THE BENCH TWO LAW DESK|FOR OFFICIAL USE WITHIN THE ESTABLISHMENT|SIGNATURE NOT VERIFIED - DIGITALLY SIGNED COPY ON FILE|Downloaded on {d2}-{d2}-{y} from the case status page|ALL RIGHTS IN THIS TRANSCRIPT REST WITH THE REGISTRY, {y}|Road works at {p} were delayed.|The vehicle was found near {p} Road.|A street light at {p} was broken.|High Court of {p}|Before Mr. Justice {s} and Justice {s}|The {p} Gazette of {d2} March {y}|Learned Counsel for the State of {p}|The file returned from {p} was incomplete.|the entry dated {d2}-{d2}-{y} remained unproved|the order of {d2} January {y} attained finality|Unit {d} Textiles Ltd. was closed.|the plot and the flat were sold|{g} Any person who omits to publish a notice|{g} Every licensee who falsifies a mark shall be liable|{g} Whoever obstructs an officer|{g} of officers An occupier who alters the marks|the sector of the road"""
-FILL = "The appellant without demur relied upon the sale deed,|It is seen that the insurer produced the site plan because|the vehicle was found near {p}.|The magistrate in fairness doubted the audit note.|Admittedly, the receiver filed an objection, although|a delay of {d} days stood unexplained.|on the ground that exhibit P-{d} carried no signature.|As regards the second limb, the tribunal was silent.|{d}. Equally, the landlord misread the charge sheet.|the register at {p} showed a contrary figure.|the amount of Rs. {d3},{d3} was outstanding|In our view, the employer accepted the report.|Crl.|Learned counsel for the respondent"
-_GIVEN = "An Ba Chi De El Fa Gi Ha In Ja Ka La Ma Na Om Pa Ra Sa Ta Um Va Ya".split()
-_MID, _END = "ra li na mi to vi shu ne ga di".split(), "n t sh l k a i m".split()
-
-
-class Maker:
-    """Fills slots and keeps labels."""
-
-    def __init__(self, given: list[str], surnames: list[str], seed: int):
-        self.r, self.given, self.surnames = random.Random(seed), given, surnames
-
-    def made(self) -> str:
-        return self.r.choice(_GIVEN) + "".join(self.r.choice(_MID) for _ in range(self.r.randint(1, 2))) + self.r.choice(_END)
-
-    def g(self) -> str:
-        return self.r.choice(self.given).title() if self.given and self.r.random() < 0.6 else self.made()
-
-    def s(self) -> str:
-        return self.r.choice(self.surnames).title() if self.surnames and self.r.random() < 0.6 else self.made() + self.r.choice(["kar", "wala", "ani", "esan", "ulu"])
-
-    def d(self, n: int) -> str:
-        return "".join(self.r.choice("0123456789") for _ in range(n))
-
-    def person(self) -> str:
-        r, x = self.r, self.r.random()
-        if x < 0.2:
-            n = f"{self.s()}, {self.g()}"
-        elif x < 0.42:
-            n = " ".join(f"{c}." for c in r.sample("ABCDGHIJKLMNPRSTUVY", r.choice([1, 2, 2]))) + " " + self.s()
-        else:
-            n = f"{self.g()} {self.s()}"
-        return n.upper() if r.random() < 0.15 else n
-
-    def slot(self, k: str) -> tuple[str, int]:
-        r = self.r
-        place = lambda: r.choice("Kelmora Varsapur Hathipur Belmandi Noravali Jharvani".split()) if r.random() < 0.5 else self.made() + "pur"
-        way = lambda: f"{r.choice(['Old Mill', 'Station', 'Potters', 'Temple', 'Fort Hill', 'Canal Bank', 'Quarry', self.made(), self.made()])} {r.choice(['Road', 'Street', 'Lane', 'Marg', 'Avenue'])}"
-        area = lambda: f"{r.choice(['Lotus', 'Sunder', 'Mint', 'Old', 'Indravan', self.made(), self.made()])} {r.choice(['Towers', 'Vihar', 'Layout', 'Barracks', 'Colony', 'Nagar', 'Enclave', 'Apartments'])}"
-        n = r.randint(1, 399)
-        if k == "n":
-            return self.person(), NAME
-        if k in ("n0", "N0"):
-            x = f"{self.g()} {self.s()}"
-            return (x.upper() if k == "N0" else x), O
-        if k == "s":
-            return self.s(), O
-        if k == "p":
-            return place(), O
-        if k == "g":
-            return r.choice(["Abetment", "Obstruction", "Penalty", "Definitions", "Savings", self.made()]), O
-        if k == "h":
-            return r.choice(["Shri", "Smt.", "Mr.", "Ms.", "Mrs.", "Kum.", "Dr."]), O
-        if k == "rel":
-            return r.choice(["s/o", "d/o", "w/o", "S/o", "D/o", "W/o", "son of", "daughter of", "wife of"]), O
-        if k == "y":
-            return str(r.randint(1990, 2025)), O
-        if k == "d":
-            return str(n), O
-        if k == "cnr":
-            return r.choice(["TVHC", "APEX", "KMHC"]) + self.d(12), O
-        if k[0] == "d":
-            return self.d(int(k[1:])), O
-        if k in ("f", "F0"):
-            f = r.choice([f"State of {place()}", f"{self.s()} Charitable Trust", f"M/s {self.s()} Brothers", f"{self.s()} & Sons Pvt. Ltd.", f"{place()} Development Authority", f"The Registrar, {place()} University", f"Collector, {place()} District", f"Municipal Board, {place()}", f"Route {n} Transport Ltd.", f"Unit {n} Textiles Ltd.", f"M/s {place()} Cotton Mills Ltd.", f"Ward No. {n} Residents Association", "The Commissioner of Excise", "Union of Provinces", f"{place()} Co-operative Bank", f"{place()} Power Distribution Co.", f"{self.made()} Foundation"])
-            return (f.upper() if k == "F0" or r.random() < 0.2 else f), O
-        if k == "t":
-            a, b = f"5{self.d(4)}", self.d(5)
-            return r.choice([a + b, f"+91 {a} {b}", f"+91-{a}{b}", f"0{self.d(3)}-{self.d(7)}", f"({self.d(3)}) {self.d(3)}-{self.d(4)}", f"0091 {self.d(2)} {self.d(4)} {self.d(4)}", f"{self.d(3)}.{self.d(3)}.{self.d(4)}", f"{a} {b}", f"{r.choice('6789')}{self.d(9)}"]), PHONE
-        if k == "i":
-            return r.choice([f"{self.d(4)} {self.d(4)} {self.d(4)}", f"{self.d(4)}-{self.d(4)}-{self.d(4)}", self.d(12), "".join(r.choice("ABCXTZ") for _ in range(5)) + self.d(4) + r.choice("KRQ"), r.choice("ZQX") + self.d(7), "".join(r.choice("ABKQTX") for _ in range(3)) + self.d(7), f"{r.choice(['KM', 'TV', 'VR'])}-{self.d(2)}-{r.randint(1990, 2023)}-{self.d(7)}"]), IDENTITY
-        if k == "e":
-            who = r.choice([f"{self.g()}{self.d(2)}", f"{self.g()}.{self.s()}", f"{self.s()}_{self.g()}", f"{self.g()[0]}{self.s()}", f"{self.g()}.{self.s()}+case"]).lower()
-            e = f"{who}{r.choice(['@', '@', '@', '@', ' @ ', '(at)'])}{r.choice(['mail.example.com', 'post.example.org', 'lawdesk.test', 'inbox.example.net', self.made().lower() + '.invalid'])}"
-            return (e.upper() if r.random() < 0.25 else e), EMAIL
-        a = r.choice([f"Flat {n % 99}{r.choice('ABCD')}, {area()}, {way()}, {place()}", f"H.No. {n}-{n % 17}/{n % 9}, {area()}, {place()} - 0{self.d(5)}", f"Plot No. {n}, Sector {n % 40}, {area()}, {place()}", f"Door {n}, near {way()}, {place()} PIN 0{self.d(2)} {self.d(3)}", f"{n}, {way()}, {place()} 0{self.d(5)}", f"{n}/{n % 9} {way()}, {place()}".upper(), f"{n}/{n % 9}, {way()}, {place()}", f"House No. {n}, {way()}, {place()}"])
-        return a, ADDRESS
-
-    def text(self, pattern: str) -> list[tuple[str, int]]:
-        parts, last = [], 0
-        for m in re.finditer(r"\{(\w+)\}", pattern):
-            if m.start() > last:
-                parts.append((pattern[last : m.start()], O))
-            parts.append(self.slot(m.group(1)))
-            last = m.end()
-        parts.append((pattern[last:], O))
-        return [x for x in parts if x[0]]
-
-    def sample(self, party: bool) -> list[tuple[str, int]]:
-        r = self.r
-        if party:
-            return self.text(r.choice(PARTIES.split("|")))
-        cases, no, fill = re.split(r"[|\n]", CASES), re.split(r"[|\n]", NO_CASES), FILL.split("|")
-        out = []
-        for pool in ([fill], [cases if r.random() < 0.6 else no], [fill if r.random() < 0.7 else cases if r.random() < 0.5 else no]):
-            out += [*self.text(r.choice(pool[0])), (r.choice([" ", " ", "\n"]), O)]
-        return out
-
-
-def train(given: list[str], surnames: list[str], size: int = 3_000, epochs: int = 14, seed: int = 5) -> Crf:
-    k = len(LABELS)
-    maker, tk = Maker(given, surnames, seed), Tokens(set(given), set(surnames))
-    feats, ys, same, differ = [], [], 1.0, 1.0
+@lru_cache(maxsize=4)
+def train(size: int = 4_000, epochs: int = 6, seed: int = 5, skips: bool = True) -> Crf:
+    """Potentials fitted jointly to synthetic documents by the gradient of the loopy likelihood (AdaGrad)."""
     rng = np.random.default_rng(seed)
-    for j in range(size):
-        parts = maker.sample(j % 4 == 0)
-        text, spans = "", []
-        for t, y in parts:
-            spans.append((len(text), len(text) + len(t), y))
-            text += t
-        toks = tokenize(text)
-        if not toks:
-            continue
-        y = np.array([next((lab for a, b, lab in spans if a <= s < b), O) for _, s, _ in toks])
-        at = np.array([tk.of(t) for t, _, _ in toks], np.int64)
-        drop = np.full(len(toks), rng.random() < 0.3)
-        feats.append(features(at, np.zeros(len(toks), int), np.array(line_edges(text, toks)), drop))
-        ys.append(y)
-        seen: dict[int, int] = {}
-        for i, a in enumerate(at[:, 4]):
-            if a:
-                if a in seen:
-                    same, differ = same + (seen[a] == y[i]), differ + (seen[a] != y[i])
-                seen[a] = y[i]
-    w, g2 = np.zeros((1 << BITS, k)), np.full((1 << BITS, k), 1e-3)
-    chain, c2 = np.zeros((k, k)), np.full((k, k), 1e-3)
-    for _ in range(epochs):
-        order = rng.permutation(len(ys))
-        for b in range(0, len(order), 160):
-            rows = order[b : b + 160]
-            most = max(len(ys[i]) for i in rows)
-            f = np.concatenate([feats[i] for i in rows])
-            length = np.array([len(ys[i]) for i in rows])
-            unary = np.zeros((len(rows), most, k))
-            mask = np.arange(most)[None] < length[:, None]
-            unary[mask] = w[f].sum(1)
-            yy = np.zeros((len(rows), most), int)
-            yy[mask] = np.concatenate([ys[i] for i in rows])
-            fwd, bwd = np.zeros_like(unary), np.zeros_like(unary)
-            fwd[:, 0] = unary[:, 0]
-            for t in range(1, most):
-                step = _exp(fwd[:, t - 1, :, None] + chain[None], 1) + unary[:, t]
-                fwd[:, t] = np.where(mask[:, t, None], step, fwd[:, t - 1])
-            for t in range(most - 2, -1, -1):
-                step = _exp(chain[None] + (unary[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
-                bwd[:, t] = np.where(mask[:, t + 1, None], step, 0)
-            z = _exp(fwd[np.arange(len(rows)), length - 1], 1)
-            p = np.exp(np.clip(fwd + bwd - z[:, None, None], -50, 0))
-            err = (p - np.eye(k)[yy])[mask] / len(rows)
-            pair = np.exp(np.clip(fwd[:, :-1, :, None] + chain + (unary + bwd)[:, 1:, None, :] - z[:, None, None, None], -50, 0)) * mask[:, 1:, None, None]
-            true = np.zeros((k, k))
-            np.add.at(true, (yy[:, :-1][mask[:, 1:]], yy[:, 1:][mask[:, 1:]]), 1)
-            gc = (pair.sum((0, 1)) - true) / len(rows) + 1e-4 * chain
-            flat, wide = f.ravel(), f.shape[1]
-            gw = np.stack([np.bincount(flat, np.repeat(err[:, j], wide), 1 << BITS) for j in range(k)], 1)
-            gw += 1e-5 * w * (gw != 0)
+    maker = synthetic.Maker(seed)
+    model = Crf(np.zeros((1 << BITS, K), np.float32), np.zeros((K, K)), np.zeros((4, K)))
+    texts, spans, lists = zip(*(maker.document() for _ in range(size)))
+    w, g2 = np.zeros((1 << BITS, K), np.float32), np.full((1 << BITS, K), 1e-3, np.float32)
+    chain, c2 = np.zeros((K, K)), np.full((K, K), 1e-3)
+    skip, s2 = np.zeros((4, K)), np.full((4, K), 1e-2)
+    for epoch in range(epochs):
+        order = rng.permutation(size)
+        for lo in range(0, size, 150):
+            rows = order[lo : lo + 150]
+            types, doc, start, _, edge = model.stream([texts[i] for i in rows])
+            attr = model.attr.a[types].copy()
+            y = np.zeros(len(types), np.int64)
+            for j, i in enumerate(rows):
+                mine = np.flatnonzero(doc == j)
+                s = start[mine]
+                for a, b, lab in spans[i]:
+                    y[mine[np.searchsorted(s, a) : np.searchsorted(s, b)]] = lab
+                for a, b, bits in lists[i]:
+                    attr[mine[np.searchsorted(s, a) : np.searchsorted(s, b)], 3] = bits
+            own = own_features(attr)
+            f = np.concatenate([*[np.stack([_at(c, -o) for c in x.T], 1) for o, x in zip(range(-SPAN, SPAN + 1), own)], np.stack(pair_features(attr, edge), 1)], 1)
+            unary = w[f].sum(1)
+            real = types > 0
+            left = np.flatnonzero(real[:-1] & real[1:])
+            edges, kind = skip_edges(doc, attr)
+            if not skips:
+                edges, kind = edges[:0], kind[:0]
+            belief, (ca, cb), (sa, sb) = messages(unary.astype(np.float64), chain, left, edges, skip[kind], 8)
+            p = np.exp(belief - belief.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            err = (p - np.eye(K)[y]) * real[:, None] / len(rows)
+            flat, wide = f[real].ravel(), f.shape[1]
+            gw = np.stack([np.bincount(flat, np.repeat(err[real, j], wide), 1 << BITS) for j in range(K)], 1)
+            gw += 2e-5 * w * (gw != 0)
+            pair = ca[:, :, None] + chain[None] + cb[:, None, :]
+            pair = np.exp(pair - pair.max((1, 2), keepdims=True))
+            pair /= pair.sum((1, 2), keepdims=True)
+            true = np.zeros((K, K))
+            np.add.at(true, (y[left], y[left + 1]), 1)
+            gc = (pair.sum(0) - true) / len(rows) + 1e-4 * chain
+            if len(edges):
+                joint = sa[:, :, None] + sb[:, None, :]
+                joint[:, range(K), range(K)] += skip[kind]
+                joint = np.exp(joint - joint.max((1, 2), keepdims=True))
+                joint /= joint.sum((1, 2), keepdims=True)
+                d = joint[:, range(K), range(K)]
+                d[np.arange(len(edges)), y[edges[:, 0]]] -= y[edges[:, 0]] == y[edges[:, 1]]
+                gs = np.stack([np.bincount(kind, d[:, j], 4) for j in range(K)], 1) / len(rows) + 1e-4 * skip
+                s2 += gs * gs
+                skip -= 0.3 * gs / np.sqrt(s2)
             g2 += gw * gw
             c2 += gc * gc
-            w -= 0.15 * gw / np.sqrt(g2)
+            w -= (0.15 * gw / np.sqrt(g2)).astype(np.float32)
             chain -= 0.15 * gc / np.sqrt(c2)
-    skip = float(np.clip(np.log(same / differ), 0, 1.0))
-    return Crf(w.astype(np.float32), chain, skip, set(given), set(surnames))
+    return Crf(w, chain, skip)
+
 
+def name_field(parties: DataFrame, columns: list[str]) -> np.ndarray:
+    """Bit field of given names and surnames: the two words of party values of the form "Xxxx Yyyy".
 
-def name_lists(parties: DataFrame, columns: list[str], bound: int = LIST) -> tuple[list[str], list[str]]:
-    """Given names and surnames: both words of party values of the form "Xxxx Yyyy"."""
+    The bits are put together by aggregation into at most 2^24 / 64 rows, so what the driver gets is bounded.
+    """
     each = parties.select(F.explode(F.array(*[F.trim(c) for c in columns])).alias("v")).where(r"v rlike '^[A-Z][a-z]{2,} [A-Z][a-z]{2,}$'")
     parts = F.split(F.lower("v"), " ")
-
-    def top(i: int) -> list[str]:
-        return [r[0] for r in each.groupBy(parts[i].alias("w")).count().orderBy(F.desc("count"), "w").limit(bound).select("w").toLocalIterator()]
-
-    return sorted(top(0)), sorted(top(1))
+    words = each.select(F.explode(F.array(F.concat(F.lit("0"), parts[0]), F.concat(F.lit("1"), parts[1]))).alias("w"))
+    place = F.shiftright(F.crc32("w"), 32 - LIST_BITS)
+    rows = words.select(F.shiftright(place, 6).cast("int").alias("k"), F.expr("shiftleft(1L, cast(%s & 63 as int))" % f"(crc32(w) >> {32 - LIST_BITS})").alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(1 << (LIST_BITS - 6), np.int64)
+    for r in rows.toLocalIterator():
+        out[r.k] = r.b
+    return out.view(np.uint8)
 
 
 RESULT = "field_name string, pii_types array<string>, n_spans int, redacted string"
 
 
-def redact(df: DataFrame, row_id: str, fields: list[str], model: Crf, batch: int = 1_000) -> DataFrame:
-    """(row_id, field_name, pii_types, n_spans, redacted) of each field value with personal data."""
+def redact(df: DataFrame, row_id: str, fields: list[str], model: Crf, chars: int = 600_000) -> DataFrame:
+    """(row_id, field_name, pii_types, n_spans, redacted) of each field value with personal data.
+
+    chars: characters labelled at once, which bounds a task's memory; a text is never cut.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("row_id", df.schema[row_id].dataType), *T._parse_datatype_string(RESULT).fields])
 
     def run(batches):
         m = shared.value
         for b in batches:
-            for lo in range(0, b.num_rows, batch):
-                part = b.slice(lo, batch)
-                keep, out = [], []
-                for j, name in enumerate(fields):
-                    texts = [t or "" for t in part.column(j + 1).to_pylist()]
-                    for i, spans in enumerate(m.find(texts)):
+            for j, name in enumerate(fields):
+                texts = [t or "" for t in b.column(j + 1).to_pylist()]
+                lo = 0
+                while lo < len(texts):
+                    hi, size = lo + 1, len(texts[lo])
+                    while hi < len(texts) and size + len(texts[hi]) <= chars:
+                        size += len(texts[hi])
+                        hi += 1
+                    keep, out = [], []
+                    for i, spans in enumerate(m.find(texts[lo:hi]), lo):
                         if not spans:
                             continue
                         t, parts, last, n = texts[i], [], 0, 0
@@ -516,8 +519,9 @@ def redact(df: DataFrame, row_id: str, fields: list[str], model: Crf, batch: int
                             last, n = e, n + 1
                         keep.append(i)
                         out.append((name, sorted({LABELS[y] for _, _, y in spans}), n, "".join([*parts, t[last:]])))
-                if keep:
-                    kinds = (pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]], names=schema.names)
+                    if keep:
+                        kinds = (pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]], names=schema.names)
+                    lo = hi
 
     return df.select(F.col(row_id).alias("row_id"), *fields).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     parties = table(spark, d, "metadata")
-    model = personal.train(*personal.name_lists(parties, ["petitioner", "respondent"]))
+    model = personal.train().with_names(personal.name_field(parties, ["petitioner", "respondent"]))
     docs = personal.redact(table(spark, d, "dense_docs"), "ord", ["text"], model).select(F.lit("dense_docs").alias("table_name"), "*")
     return docs.unionByName(personal.redact(parties, "rec_id", ["petitioner", "respondent"], model).select(F.lit("metadata").alias("table_name"), "*")).withColumnRenamed("row_id", "row_key")
 
