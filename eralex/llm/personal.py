@@ -9,9 +9,9 @@ form of their type.
 
 Potentials of a token and its neighbours are sums of hashed features. What depends on one
 token is added up once per distinct token and looked up afterwards; a few pair features are
-added per place. A token whose own potentials prefer "no case" by more than all messages
-together could turn (the spread of the chain and skip potentials bounds that, up to
-``SURE`` in log-odds) keeps it, and messages run over the other tokens only. So the whole text is
+added per place. A token whose potentials prefer "no case" by more than all messages
+together could turn keeps it, and messages run over the other tokens only; the bound comes from the chain
+and skip potentials and from what the neighbours may be at most, up to ``SURE`` in log-odds. So the whole text is
 read, and nothing is cut around patterns.
 
 Potentials, chain and skips are fitted jointly on synthetic documents (``synthetic``): invented
@@ -218,6 +218,16 @@ def messages(unary: np.ndarray, chain: np.ndarray, left: np.ndarray, skips: np.n
     return b, (b[left] - msg[c : 2 * c], b[left + 1] - msg[:c]), (b[skips[:, 0]] - msg[2 * c + s :], b[skips[:, 1]] - msg[2 * c : 2 * c + s])
 
 
+class Breaks(dict):
+    """Whether white space ends a line; filled on demand."""
+
+    def __missing__(self, gap: str) -> bool:
+        end = "\n" in gap or len(gap) > 2
+        if len(gap) < 9:
+            self[gap] = end
+        return end
+
+
 class Crf:
     """Fitted potentials. names: bit field of listed names, or None."""
 
@@ -236,6 +246,7 @@ class Crf:
 
     def _forget(self) -> None:
         """Empty the caches of words and tokens; number 0 is the gap between documents."""
+        self.breaks = Breaks()
         self.raw: dict[str, int] = {}
         self.types: dict[str, int] = {}
         self.raw_at, self.raw_n = Grown((), np.int64), Grown((), np.int64)
@@ -284,7 +295,7 @@ class Crf:
             self._learn(fresh)
         raw = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         size, gap = np.fromiter(map(len, words), np.int64, len(words)), np.fromiter(map(len, gaps), np.int64, len(words))
-        broken = np.fromiter(("\n" in g or len(g) > 2 for g in gaps), bool, len(words))
+        broken = np.fromiter(map(self.breaks.__getitem__, gaps), bool, len(words))
         counts = np.array(counts)
         first = np.cumsum(counts) - counts
         ends = np.cumsum(size + gap)
@@ -328,28 +339,35 @@ class Crf:
     def label(self, unary: np.ndarray, types: np.ndarray, doc: np.ndarray, rounds: int = 12) -> np.ndarray:
         """Most likely label of each token."""
         edges, kind = skip_edges(doc, self.attr.a[types])
-        chain, reach = self.chain, np.zeros(K)
-        reach += (chain - chain[:, :1]).max(0) + (chain - chain[:1]).max(1)
-        turn = unary - unary[:, :1] + reach.astype(np.float32)
+        chain = self.chain
         gain = np.abs(self.skip[kind]).max(1) if len(edges) else np.zeros(0)
-        linked = np.bincount(edges.ravel(), np.repeat(gain * 2, 2), len(types)) if len(edges) else 0.0
-        open_ = (turn[:, 1:].max(1) + linked > -SURE) & (types > 0)
+        linked = np.bincount(edges.ravel(), np.repeat(gain * 2, 2), len(types)).astype(np.float32)[:, None] if len(edges) else np.float32(0)
+        own = unary - unary[:, :1] + linked
+        most = own + ((chain - chain[:, :1]).max(0) + (chain - chain[:1]).max(1)).astype(np.float32)
+        ahead, behind = np.exp(chain - chain[O, O]).astype(np.float32), np.exp(chain.T - chain[O, O]).astype(np.float32)
+        for _ in range(2):  # a neighbour can support a label by no more than it may have labels itself
+            odds = np.exp(np.minimum(most, 30))
+            odds[:, O] = 1
+            most = own.copy()
+            most[1:] += np.log(odds[:-1] @ ahead)
+            most[:-1] += np.log(odds[1:] @ behind)
+        open_ = (most[:, 1:].max(1) > -SURE) & (types > 0)
         out = np.zeros(len(types), np.int64)
         at = np.flatnonzero(open_)
         if not len(at):
             return out
         number = np.full(len(types), -1)
         number[at] = np.arange(len(at))
-        own = unary[at].astype(np.float64)
+        field = unary[at].astype(np.float64)
         settled = (number < 0) & (types > 0)
-        own += np.where(settled[at - 1][:, None], chain[0], 0) + np.where(settled[at + 1][:, None], chain[:, 0], 0)
+        field += np.where(settled[at - 1][:, None], chain[0], 0) + np.where(settled[at + 1][:, None], chain[:, 0], 0)
         left = np.flatnonzero(np.diff(at) == 1)
         a, b = number[edges[:, 0]], number[edges[:, 1]]
         for x, y in ((a, b), (b, a)):
             half = (x >= 0) & (y < 0)
-            np.add.at(own, (x[half], O), self.skip[kind[half], O])
+            np.add.at(field, (x[half], O), self.skip[kind[half], O])
         both = (a >= 0) & (b >= 0)
-        beliefs, _, _ = messages(own, chain, left, np.stack([a[both], b[both]], 1), self.skip[kind[both]], rounds)
+        beliefs, _, _ = messages(field, chain, left, np.stack([a[both], b[both]], 1), self.skip[kind[both]], rounds)
         out[at] = beliefs.argmax(1)
         return out
 
