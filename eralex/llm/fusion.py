@@ -6,35 +6,42 @@ sum over its sources of ln(n A / (1 - A)), where a source that may have copied f
 more accurate one of the same value votes by the rest; values of one item compete by
 softmax; an accuracy is the mean probability of the source's claims; and shared false values
 speak for copying more than shared true ones. The survivor takes the value of maximum
-posterior field by field, and names the record it stands on by a fixed order.
+posterior field by field. The record it stands on, and with it the date, follows a fixed order
+(latest date, most fields, latest scrape, smallest id), held against the fused group at the end.
 
-What depends on the data's size is aggregated in the JVM with map-side combine: a group, even
-one with a third of all rows, shrinks to its distinct values, and nothing is windowed over
-it. Only one number per source and per pair of sources goes to the driver; sources are
-few by nature, and more than ``MOST_SOURCES`` are refused.
+What depends on the data's size is aggregated in the JVM with map-side combine. Values claimed
+by the same sources have the same vote, so a group, even one with a third of all rows, shrinks
+to one row per field and set of sources. Posteriors depend only on an item's sets of sources: the
+estimation runs over a table of distinct patterns of sets with their counts. One number per
+source and per pair of sources that meet in an item goes to the driver, for any number of sources.
 
 Defined results
 * keys are upper case without anything but A-Z and 0-9; a null or empty key belongs to
-  no group, and groups of one row are left out;
+  no group; a group of one row is returned as it stands;
 * null and blank values claim nothing; a field without a claim is null in the survivor;
-* ties in posterior fall to the value with more records, then to the greater value;
-* a null source counts as one source of its own; repeated rows are members each.
+* a value is shown as in its latest row; ties in posterior fall to the value with more
+  records, then to the greater value;
+* a null source counts as one source of its own; repeated rows are members each;
+* an empty table gives an empty result; columns not named are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eralex.runtime import cut
 
-MOST_SOURCES = 64
 #: Number of wrong values an item may have, prior of copying, share copied by a copier.
 N_FALSE, ALPHA, COPIED = 10, 0.2, 0.8
+_S, _C, _M = "\x1f", "\x1e", "\x1d"  # between sources of a set, between sets of a pattern, before a number of values
 
 
 def group_key(c: str) -> Column:
@@ -52,25 +59,47 @@ def filled(c: str) -> Column:
     return F.coalesce(F.col(c).rlike(r"\S"), F.lit(False))
 
 
-def standing(df: DataFrame, key: Column, row_id: str, date: str, seen: str, fields: list[str]) -> DataFrame:
-    """(key, group_rec_id, best_rec_id, n_records) by latest date, most fields, latest scrape, smallest id."""
-    rows = df.select(
-        key.alias("key"), F.col(row_id).alias("id"), valid_date(date, seen).alias("d"), sum(filled(c).cast("int") for c in fields).alias("n"), F.col(seen).alias("seen")
-    ).where("key is not null")
-    best = F.max(F.struct("d", "n", "seen", (-F.col("id")).alias("neg")))
-    return rows.groupBy("key").agg(F.min("id").alias("group_rec_id"), best.alias("b"), F.count("*").alias("n_records")).where("n_records > 1").select("key", "group_rec_id", (-F.col("b.neg")).alias("best_rec_id"), "n_records")
+def grouped(df: DataFrame, key: Column, row_id: str, source: str, date: str, seen: str, complete: list[str], fields: dict[str, Column]) -> DataFrame:
+    """One row per group: (key, group_rec_id, best_rec_id, best_date, n_records, items).
 
-
-def claims(df: DataFrame, groups: DataFrame, key: Column, source: str, fields: dict[str, Column]) -> DataFrame:
-    """(key, field, value, shown, n, sources): the distinct values of each item.
-
-    fields: name -> expression of the comparable form; "shown" is the most frequent spelling.
+    items: (field, sources, n_values, n, shown) per field and set of sources that claim the
+    same values; n and shown are of its value with the most records.
+    fields: name -> expression of the comparable form.
     """
-    each = F.array(*[F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"), F.col(f).cast("string").alias("raw")) for f, v in fields.items()])
-    own = df.select(key.alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), each.alias("each")).where("key is not null")
-    rows = own.join(groups.select("key"), "key", "left_semi").select("key", "source", F.explode("each").alias("x")).select("key", "source", "x.*").where(r"value rlike '\\S'")
-    spelled = rows.groupBy("key", "field", "value", "raw").agg(F.count("*").alias("n"), F.collect_set("source").alias("s"))
-    return spelled.groupBy("key", "field", "value").agg(F.max_by("raw", F.struct("n", "raw")).alias("shown"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))), "\x1f").alias("sources"))
+    rank = F.struct(valid_date(date, seen).alias("d"), sum(filled(c).cast("int") for c in complete).alias("n"), F.col(seen).alias("seen"), (-F.col(row_id)).alias("neg"), F.col(date).alias("raw"))
+    member = F.struct(F.lit("").alias("field"), F.lit("").alias("value"), F.lit("").alias("raw"))
+    each = F.array(member, *[F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"), F.col(f).cast("string").alias("raw")) for f, v in fields.items()])
+    own = df.select(key.alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(row_id).alias("id"), F.col(seen).alias("seen"), rank.alias("rank"), each.alias("each")).where("key is not null")
+    rows = own.select("key", "source", "id", "seen", "rank", F.explode("each").alias("x"))
+    whole = F.col("x.field") == ""
+    claim = rows.where(whole | F.col("x.value").rlike(r"\S")).select("key", "x.field", "x.value", F.when(whole, "").otherwise(F.col("source")).alias("source"), F.struct("seen", "x.raw").alias("shown"), F.when(whole, F.col("rank")).alias("rank"), F.when(whole, F.col("id")).alias("id"))
+    values = claim.groupBy("key", "field", "value").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"), F.max("shown").alias("shown"), F.max("rank").alias("rank"), F.min("id").alias("id"))
+    alike = values.groupBy("key", "field", "sources").agg(F.count("*").alias("n_values"), F.max(F.struct("n", F.col("shown.raw").alias("raw"))).alias("best"), F.max("rank").alias("rank"), F.min("id").alias("id"), F.sum("n").alias("rows"))
+    item = F.when(F.col("field") != "", F.struct("field", F.array_join("sources", _S).alias("sources"), "n_values", F.col("best.n").alias("n"), F.col("best.raw").alias("shown")))
+    return alike.groupBy("key").agg(
+        F.min("id").alias("group_rec_id"), F.max("rank").alias("rank"), F.sum(F.when(F.col("field") == "", F.col("rows"))).alias("n_records"), F.collect_list(item).alias("items")
+    ).select("key", "group_rec_id", (-F.col("rank.neg")).alias("best_rec_id"), F.when(F.col("rank.d").isNotNull(), F.col("rank.raw")).alias("best_date"), "n_records", "items")
+
+
+def pattern_of(sets: list[tuple[str, int]]) -> str:
+    """The sets of sources of one item with their numbers of values, in order."""
+    return _C.join(f"{s}{_M}{m}" for s, m in sorted(sets))
+
+
+def patterns(groups: DataFrame) -> DataFrame:
+    """(pattern, n): how many items of groups with several rows have which sets of sources."""
+
+    def run(batches):
+        for batch in batches:
+            seen: Counter = Counter()
+            for items in batch.column(0).to_pylist():
+                by = defaultdict(list)
+                for x in items:
+                    by[x["field"]].append((x["sources"], x["n_values"]))
+                seen.update(pattern_of(v) for v in by.values())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+
+    return groups.where("n_records > 1").select("items").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def copy_probability(kt: float, kf: float, kd: float, a: float, b: float) -> float:
@@ -86,7 +115,7 @@ def copy_probability(kt: float, kf: float, kd: float, a: float, b: float) -> flo
 def vote(sources: str, accuracy: dict[str, float], dependent: dict[tuple[str, str], float]) -> float:
     """Vote of a value, copied shares discounted, in falling order of accuracy."""
     total, before = 0.0, []
-    for s in sorted(sources.split("\x1f"), key=lambda s: (-accuracy[s], s)):
+    for s in sorted(sources.split(_S), key=lambda s: (-accuracy[s], s)):
         share = 1.0
         for o in before:
             share *= 1 - COPIED * dependent.get((min(s, o), max(s, o)), 0.0)
@@ -95,49 +124,97 @@ def vote(sources: str, accuracy: dict[str, float], dependent: dict[tuple[str, st
     return total
 
 
-def with_posterior(cl: DataFrame, accuracy: dict[str, float], dependent: dict[tuple[str, str], float]) -> DataFrame:
-    @F.pandas_udf("double")
-    def votes(s: pd.Series) -> pd.Series:
-        cached = lru_cache(maxsize=100_000)(lambda x: vote(x, accuracy, dependent))
-        return s.map(cached)
-
-    scored = cl.withColumn("e", F.exp(votes("sources")))  # at most MOST_SOURCES * ln(1000) < 700
-    whole = scored.groupBy("key", "field").agg(F.sum("e").alias("whole"))
-    return scored.join(whole, ["key", "field"]).withColumn("p", F.col("e") / (F.col("whole") + N_FALSE)).drop("e", "whole")
-
-
-def estimate(cl: DataFrame, rounds: int = 3) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
-    """Accuracies and dependences of the sources. cl: a written table of claims."""
-    each = F.explode(F.split("sources", "\x1f"))
-    names = [r[0] for r in cl.select(each.alias("s")).distinct().limit(MOST_SOURCES + 1).collect()]
-    if len(names) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    accuracy = dict.fromkeys(names, 0.8)
-    parts = F.split("sources", "\x1f")
-    ordered = F.flatten(F.transform(parts, lambda a: F.transform(F.filter(parts, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    both = cl.groupBy("key", "field").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(parts)))), "\x1f").alias("sources"))
-    common = {(r.a, r.b): r.n for r in both.select(F.explode(ordered).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n")).collect()}
-    # before anything is known of accuracies, agreement alone tells copies: shared values count as true
-    agreed = cl.select(F.explode(ordered).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n")).collect()
-    dependent = {(r.a, r.b): copy_probability(r.n, 0, common[(r.a, r.b)] - r.n, 0.8, 0.8) for r in agreed}
+def posteriors(pattern: str, accuracy: dict[str, float], dependent: dict[tuple[str, str], float]) -> list[tuple[str, int, float]]:
+    """(set of sources, number of values, probability of each such value) of an item."""
+    sets = [(s, int(m)) for s, m in (x.rsplit(_M, 1) for x in pattern.split(_C))]
+    votes = [vote(s, accuracy, dependent) for s, _ in sets]
+    top = max(0.0, *votes)
+    whole = sum(m * math.exp(v - top) for v, (_, m) in zip(votes, sets)) + N_FALSE * math.exp(-top)
+    return [(s, m, math.exp(v - top) / whole) for v, (s, m) in zip(votes, sets)]
+
+
+def _tally(pats: DataFrame, accuracy: dict[str, float] | None, dependent: dict[tuple[str, str], float]) -> list:
+    """(a, b, true, false, common) of each pair of sources, with b = a the claims of one source.
+
+    Without accuracies every shared value counts as true.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            t: Counter = Counter()
+            f: Counter = Counter()
+            both: Counter = Counter()
+            for pattern, n in zip(pdf["pattern"], pdf["n"]):
+                if accuracy is None:
+                    post = [(s, int(m), 1.0) for s, m in (x.rsplit(_M, 1) for x in pattern.split(_C))]
+                else:
+                    post = posteriors(pattern, accuracy, dependent)
+                present = set()
+                for s, m, p in post:
+                    names = s.split(_S)
+                    present.update(names)
+                    for i, a in enumerate(names):
+                        for b in names[i:]:
+                            k = (min(a, b), max(a, b))
+                            t[k] += n * m * p
+                            f[k] += n * m * (1 - p)
+                for a in present:
+                    for b in present:
+                        if a < b:
+                            both[(a, b)] += n
+            keys = list(t.keys() | both.keys())
+            yield pd.DataFrame({"a": [k[0] for k in keys], "b": [k[1] for k in keys], "t": [float(t[k]) for k in keys], "f": [float(f[k]) for k in keys], "c": [float(both[k]) for k in keys]})
+
+    return pats.mapInPandas(run, "a string, b string, t double, f double, c double").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("f").alias("f"), F.sum("c").alias("c")).collect()
+
+
+def estimate(pats: DataFrame, rounds: int = 3) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
+    """Accuracies and dependences of the sources. pats: a written table of patterns."""
+    rows = _tally(pats, None, {})
+    accuracy = {r.a: 0.8 for r in rows if r.a == r.b}
+    # before anything is known of accuracies, agreement alone tells copies
+    dependent = {(r.a, r.b): copy_probability(r.t, 0, max(0.0, r.c - r.t), 0.8, 0.8) for r in rows if r.a != r.b}
     for _ in range(rounds):
-        post = with_posterior(cl, accuracy, dependent)
-        gain = post.select(each.alias("s"), "p").groupBy("s").agg(F.avg("p").alias("a")).collect()
-        shared = post.select(F.explode(ordered).alias("x"), "p").groupBy("x.a", "x.b").agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("f")).collect()
-        accuracy = {r.s: min(0.99, max(0.01, r.a)) for r in gain}
-        dependent = {}
-        for r in shared:
-            rest = max(0.0, common[(r.a, r.b)] - r.t - r.f)
-            dependent[(r.a, r.b)] = copy_probability(r.t, r.f, rest, accuracy[r.a], accuracy[r.b])
+        rows = _tally(pats, accuracy, dependent)
+        accuracy = {r.a: min(0.99, max(0.01, r.t / (r.t + r.f))) for r in rows if r.a == r.b}
+        dependent = {(r.a, r.b): copy_probability(r.t, r.f, max(0.0, r.c - r.t - r.f), accuracy[r.a], accuracy[r.b]) for r in rows if r.a != r.b}
     return accuracy, dependent
 
 
 def fuse(df: DataFrame, key_column: str, row_id: str, source: str, date: str, seen: str, complete: list[str], fields: dict[str, Column], rounds: int = 3) -> DataFrame:
-    """One row per group: (key, group_rec_id, best_rec_id, n_records, the fields, min_posterior)."""
-    key = group_key(key_column)
-    groups = standing(df, key, row_id, date, seen, complete)
-    cl = cut(claims(df, groups, key, source, fields), "claims")
-    post = with_posterior(cl, *estimate(cl, rounds))
-    best = post.groupBy("key", "field").agg(F.max(F.struct("p", "n", "shown")).alias("b"))
-    wide = best.groupBy("key").agg(*[F.max(F.when(F.col("field") == f, F.col("b.shown"))).alias(f) for f in fields], F.round(F.min("b.p"), 6).alias("min_posterior"))
-    return groups.join(wide, "key", "left")
+    """One row per group: (key, group_rec_id, best_rec_id, n_records, the fields, min_posterior).
+
+    The date is that of the named record; min_posterior is over the other fields.
+    """
+    groups = cut(grouped(df, group_key(key_column), row_id, source, date, seen, complete, fields), "groups")
+    accuracy, dependent = estimate(cut(patterns(groups), "patterns"), rounds)
+    names = list(fields)
+    kind = df.schema[row_id].dataType.simpleString()
+    schema = T._parse_datatype_string(f"key string, group_rec_id {kind}, best_rec_id {kind}, n_records long, {', '.join(f'`{f}` string' for f in names)}, min_posterior double")
+
+    def run(batches):
+        known = defaultdict(lambda: 0.8, accuracy)  # a source of single rows only
+        scored = lru_cache(maxsize=100_000)(lambda p: {s: q for s, _, q in posteriors(p, known, dependent)})
+        for batch in batches:
+            out: dict[str, list] = {f: [] for f in names}
+            least = []
+            for items, best in zip(batch.column("items").to_pylist(), batch.column("best_date").to_pylist()):
+                by = defaultdict(list)
+                for x in items:
+                    by[x["field"]].append(x)
+                low = None
+                for f in names:
+                    if f == date:
+                        out[f].append(best)
+                    elif claims := by.get(f):
+                        post = scored(pattern_of([(x["sources"], x["n_values"]) for x in claims]))
+                        p, _, shown = max((post[x["sources"]], x["n"], x["shown"]) for x in claims)
+                        out[f].append(shown)
+                        low = p if low is None else min(low, p)
+                    else:
+                        out[f].append(None)
+                least.append(None if low is None else round(low, 6))
+            given = [batch.column(c) for c in ("key", "group_rec_id", "best_rec_id", "n_records")]
+            yield pa.RecordBatch.from_arrays([*given, *[pa.array(out[f], pa.string()) for f in names], pa.array(least, pa.float64())], names=schema.names)
+
+    return groups.mapInArrow(run, schema)

@@ -84,12 +84,13 @@ TEXTS = "title petitioner respondent description judge author_judge citation cas
 def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
     plain = {c: F.upper(F.regexp_replace(F.trim(c), r"\s+", " ")) for c in TEXTS}
     plain["title"] = F.regexp_replace(plain["title"], r" (VERSUS|VS\.?|V\.?) ", " V. ")
+    plain["year"] = F.col("year")
     plain["cnr"], plain["decision_date"] = fusion.group_key("cnr"), fusion.valid_date("decision_date", "scraped_at")
     return fusion.fuse(table(spark, d, "metadata"), "cnr", "rec_id", "feed", "decision_date", "scraped_at", TEXTS, plain)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_survivors(spark, d).select("group_rec_id", "best_rec_id")
+    return p7_survivors(spark, d).where("n_records > 1").select("group_rec_id", "best_rec_id")
 
 
 # Problem 8
