@@ -17,7 +17,7 @@ source and per pair of sources that meet in an item goes to the driver, for any
 
 Defined results
 * keys are upper case without anything but A-Z and 0-9; a null or empty key belongs to
-  no group; a group of one row is returned as it stands;
+  no group; a group of one row stands as it is;
 * null and blank values claim nothing; a field without a claim is null in the survivor;
 * a value is shown as in its latest row; ties in posterior fall to the value with more
   records, then to the greater value;
@@ -59,26 +59,44 @@ def filled(c: str) -> Column:
     return F.coalesce(F.col(c).rlike(r"\S"), F.lit(False))
 
 
-def grouped(df: DataFrame, key: Column, row_id: str, source: str, date: str, seen: str, complete: list[str], fields: dict[str, Column]) -> DataFrame:
-    """One row per group: (key, group_rec_id, best_rec_id, best_date, n_records, items).
+def standing(df: DataFrame, key: Column, row_id: str, date: str, seen: str, complete: list[str]) -> DataFrame:
+    """(key, group_rec_id, best_rec_id, best_date, n_records) by latest date, most fields, latest scrape, smallest id."""
+    rank = F.struct(valid_date(date, seen).alias("d"), sum(filled(c).cast("int") for c in complete).alias("n"), F.col(seen).alias("seen"), (-F.col(row_id)).alias("neg"), F.col(date).cast("string").alias("raw"))
+    rows = df.select(key.alias("key"), F.col(row_id).alias("id"), rank.alias("rank")).where("key is not null")
+    return rows.groupBy("key").agg(F.min("id").alias("group_rec_id"), F.max("rank").alias("rank"), F.count("*").alias("n_records")).select(
+        "key", "group_rec_id", (-F.col("rank.neg")).alias("best_rec_id"), F.when(F.col("rank.d").isNotNull(), F.col("rank.raw")).alias("best_date"), "n_records"
+    )
+
+
+def _members(df: DataFrame, key: Column, source: str, seen: str, fields: dict[str, Column]) -> DataFrame:
+    """The columns that claims need, unchanged, so that rows without a group leave before values are compared."""
+    used = [c for c in df.columns if c in {*fields, source, seen}]
+    return df.select(key.alias("__key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), *used).where("__key is not null")
+
+
+def grouped(df: DataFrame, groups: DataFrame, key: Column, source: str, seen: str, fields: dict[str, Column]) -> DataFrame:
+    """Groups of several rows with their items.
 
     items: (field, sources, n_values, n, shown) per field and set of sources that claim the
     same values; n and shown are of its value with the most records.
     fields: name -> expression of the comparable form.
     """
-    rank = F.struct(valid_date(date, seen).alias("d"), sum(filled(c).cast("int") for c in complete).alias("n"), F.col(seen).alias("seen"), (-F.col(row_id)).alias("neg"), F.col(date).alias("raw"))
-    member = F.struct(F.lit("").alias("field"), F.lit("").alias("value"), F.lit("").alias("raw"))
-    each = F.array(member, *[F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"), F.col(f).cast("string").alias("raw")) for f, v in fields.items()])
-    own = df.select(key.alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(row_id).alias("id"), F.col(seen).alias("seen"), rank.alias("rank"), each.alias("each")).where("key is not null")
-    rows = own.select("key", "source", "id", "seen", "rank", F.explode("each").alias("x"))
-    whole = F.col("x.field") == ""
-    claim = rows.where(whole | F.col("x.value").rlike(r"\S")).select("key", "x.field", "x.value", F.when(whole, "").otherwise(F.col("source")).alias("source"), F.struct("seen", "x.raw").alias("shown"), F.when(whole, F.col("rank")).alias("rank"), F.when(whole, F.col("id")).alias("id"))
-    values = claim.groupBy("key", "field", "value").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"), F.max("shown").alias("shown"), F.max("rank").alias("rank"), F.min("id").alias("id"))
-    alike = values.groupBy("key", "field", "sources").agg(F.count("*").alias("n_values"), F.max(F.struct("n", F.col("shown.raw").alias("raw"))).alias("best"), F.max("rank").alias("rank"), F.min("id").alias("id"), F.sum("n").alias("rows"))
-    item = F.when(F.col("field") != "", F.struct("field", F.array_join("sources", _S).alias("sources"), "n_values", F.col("best.n").alias("n"), F.col("best.raw").alias("shown")))
-    return alike.groupBy("key").agg(
-        F.min("id").alias("group_rec_id"), F.max("rank").alias("rank"), F.sum(F.when(F.col("field") == "", F.col("rows"))).alias("n_records"), F.collect_list(item).alias("items")
-    ).select("key", "group_rec_id", (-F.col("rank.neg")).alias("best_rec_id"), F.when(F.col("rank.d").isNotNull(), F.col("rank.raw")).alias("best_date"), "n_records", "items")
+    several = groups.where("n_records > 1")
+    rows = _members(df, key, source, seen, fields).join(several.select(F.col("key").alias("__key")), "__key", "left_semi")
+    each = F.array(*[F.struct(F.lit(i).alias("f"), v.cast("string").alias("value"), F.col(f).cast("string").alias("raw")) for i, (f, v) in enumerate(fields.items())])
+    claim = rows.select(F.col("__key").alias("key"), F.col("__source").alias("source"), F.col(seen).alias("seen"), each.alias("each")).select("key", "source", "seen", F.explode("each").alias("x")).where(F.col("x.value").rlike(r"\S"))
+    values = claim.groupBy("key", "x.f", F.xxhash64("x.value").alias("value")).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"), F.max(F.struct("seen", "x.raw")).alias("shown"))
+    alike = values.groupBy("key", "f", "sources").agg(F.count("*").alias("n_values"), F.max(F.struct("n", F.col("shown.raw").alias("raw"))).alias("best"))
+    names = F.array(*[F.lit(f) for f in fields])
+    item = F.struct(F.get(names, "f").alias("field"), F.array_join("sources", _S).alias("sources"), "n_values", F.col("best.n").alias("n"), F.col("best.raw").alias("shown"))
+    return several.join(alike.groupBy("key").agg(F.collect_list(item).alias("items")), "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<field:string,sources:string,n_values:bigint,n:bigint,shown:string>>")))
+
+
+def alone(df: DataFrame, groups: DataFrame, key: Column, source: str, seen: str, fields: dict[str, Column]) -> DataFrame:
+    """Groups of one row, its values as their items; columns as of ``grouped``."""
+    rows = _members(df, key, source, seen, fields).join(groups.where("n_records = 1").select(F.col("key").alias("__key"), "group_rec_id", "best_rec_id", "best_date", "n_records"), "__key")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col("__source").alias("sources"), F.lit(1).cast("long").alias("n_values"), F.lit(1).cast("long").alias("n"), F.when(v.cast("string").rlike(r"\S"), F.col(f).cast("string")).alias("shown")) for f, v in fields.items()])
+    return rows.select(F.col("__key").alias("key"), "group_rec_id", "best_rec_id", "best_date", "n_records", F.filter(each, lambda x: x["shown"].isNotNull()).alias("items"))
 
 
 def pattern_of(sets: list[tuple[str, int]]) -> str:
@@ -99,7 +117,7 @@ def patterns(groups: DataFrame) -> DataFrame:
                 seen.update(pattern_of(v) for v in by.values())
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    return groups.where("n_records > 1").select("items").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return groups.select("items").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def copy_probability(kt: float, kf: float, kd: float, a: float, b: float) -> float:
@@ -181,13 +199,17 @@ def estimate(pats: DataFrame, rounds: int = 3) -> tuple[dict[str, float], dict[t
     return accuracy, dependent
 
 
-def fuse(df: DataFrame, key_column: str, row_id: str, source: str, date: str, seen: str, complete: list[str], fields: dict[str, Column], rounds: int = 3) -> DataFrame:
+def fuse(df: DataFrame, key_column: str, row_id: str, source: str, date: str, seen: str, complete: list[str], fields: dict[str, Column], rounds: int = 3, single: bool = True) -> DataFrame:
     """One row per group: (key, group_rec_id, best_rec_id, n_records, the fields, min_posterior).
 
-    The date is that of the named record; min_posterior is over the other fields.
+    The date is that of the named record; min_posterior is over the other fields. single: also groups of one row.
     """
-    groups = cut(grouped(df, group_key(key_column), row_id, source, date, seen, complete, fields), "groups")
+    key = group_key(key_column)
+    first = cut(standing(df, key, row_id, date, seen, complete), "standing")
+    groups = cut(grouped(df, first, key, source, seen, fields), "groups")
     accuracy, dependent = estimate(cut(patterns(groups), "patterns"), rounds)
+    if single:
+        groups = groups.unionByName(alone(df, first, key, source, seen, fields))
     names = list(fields)
     kind = df.schema[row_id].dataType.simpleString()
     schema = T._parse_datatype_string(f"key string, group_rec_id {kind}, best_rec_id {kind}, n_records long, {', '.join(f'`{f}` string' for f in names)}, min_posterior double")

@@ -74,6 +74,7 @@ def p6_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without the lines that the exact rule confirms."""
     return templates.without_repeated_lines(table(spark, d, "dense_docs"), *LINES).withColumnRenamed("row_id", "ord")
 
 
@@ -81,16 +82,20 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
 TEXTS = "title petitioner respondent description judge author_judge citation case_id cnr decision_date disposal_nature court available_languages path nc_display".split()
 
 
-def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
+def _fused(spark: SparkSession, d: str, single: bool) -> DataFrame:
     plain = {c: F.upper(F.regexp_replace(F.trim(c), r"\s+", " ")) for c in TEXTS}
     plain["title"] = F.regexp_replace(plain["title"], r" (VERSUS|VS\.?|V\.?) ", " V. ")
     plain["year"] = F.col("year")
     plain["cnr"], plain["decision_date"] = fusion.group_key("cnr"), fusion.valid_date("decision_date", "scraped_at")
-    return fusion.fuse(table(spark, d, "metadata"), "cnr", "rec_id", "feed", "decision_date", "scraped_at", TEXTS, plain)
+    return fusion.fuse(table(spark, d, "metadata"), "cnr", "rec_id", "feed", "decision_date", "scraped_at", TEXTS, plain, single=single)
+
+
+def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d, True)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_survivors(spark, d).where("n_records > 1").select("group_rec_id", "best_rec_id")
+    return _fused(spark, d, False).select("group_rec_id", "best_rec_id")
 
 
 # Problem 8
@@ -159,6 +164,21 @@ counted AS (SELECT court, k, count(DISTINCT doc_id) AS n FROM keyed WHERE length
 sizes AS (SELECT court, count(DISTINCT doc_id) AS m FROM dense_docs GROUP BY court),
 rep AS (SELECT c.court, c.k FROM counted c JOIN sizes s USING (court) WHERE n >= 5 AND n >= 0.03 * m),
 hit AS (SELECT ord, line_no FROM keyed JOIN rep USING (court, k))"""
+_TREE = r"""parts AS (SELECT ord, doc_id, court, string_split(text, chr(10)) AS ls FROM dense_docs WHERE text IS NOT NULL AND doc_id IS NOT NULL AND trim(court) <> ''),
+raw AS (SELECT ord, doc_id, court, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM parts),
+sp AS (SELECT ord, line_no, doc_id, court, string_split(trim(regexp_replace(regexp_replace(lower(line), '[^\p{L}0-9]+', ' ', 'g'), '[0-9]+', '#', 'g')), ' ') AS ws FROM raw),
+ln AS (SELECT *, len(ws) AS n, ws[1] AS lead FROM sp WHERE length(replace(array_to_string(ws, ''), '#', '')) >= 12),
+sizes AS (SELECT court, count(DISTINCT doc_id) AS m, greatest(5.0, 0.03 * count(DISTINCT doc_id)) - 1e-9 AS need FROM dense_docs WHERE doc_id IS NOT NULL AND trim(court) <> '' GROUP BY court),
+nodes AS (SELECT court, n, lead, count(*) AS c FROM ln GROUP BY ALL),
+own AS (SELECT court, n, lead FROM nodes JOIN sizes USING (court) WHERE c >= need),
+leaves AS (SELECT court, n, lead FROM own UNION ALL
+  SELECT court, n, '<*>' FROM (SELECT court, n, sum(c) AS c FROM nodes ANTI JOIN own USING (court, n, lead) GROUP BY ALL) JOIN sizes USING (court) WHERE c >= need),
+led AS (SELECT l.* EXCLUDE (lead), CASE WHEN o.court IS NULL THEN '<*>' ELSE l.lead END AS lead FROM ln l LEFT JOIN own o ON l.court = o.court AND l.n = o.n AND l.lead = o.lead),
+placed AS (SELECT * FROM led SEMI JOIN leaves USING (court, n, lead)),
+slots AS (SELECT ord, line_no, doc_id, court, n, lead, unnest(ws) AS w, unnest(range(n)) AS slot FROM placed),
+fixed AS (SELECT court, n, lead, slot, w FROM (SELECT court, n, lead, slot, w, count(*) AS c FROM slots GROUP BY ALL) JOIN sizes USING (court) WHERE c >= need AND w <> '#'),
+told AS (SELECT s.ord, s.line_no, s.doc_id, s.court, string_agg(coalesce(f.w, '<*>'), ' ' ORDER BY s.slot) AS template, count(f.w) AS k, sum(length(coalesce(f.w, ''))) AS letters, any_value(s.n) AS n
+  FROM slots s LEFT JOIN fixed f ON s.court = f.court AND s.n = f.n AND s.lead = f.lead AND s.slot = f.slot AND s.w = f.w GROUP BY ALL)"""
 _GRAMS = r"""p AS (SELECT item_id, unnest([question, gold_answer]) AS t FROM bench_items),
 pw AS (SELECT item_id, regexp_extract_all(lower(t), '[\p{L}\p{Nd}]+') AS w FROM p WHERE t IS NOT NULL),
 pg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM pw)),
@@ -174,6 +194,9 @@ gone AS (SELECT ord, count(*) AS n_removed, list(line_no) AS nos FROM hit GROUP
 kept AS (SELECT ord, string_agg(line, chr(10) ORDER BY line_no) AS t FROM keyed JOIN gone USING (ord) WHERE NOT list_contains(nos, line_no) GROUP BY ord)
 SELECT d.ord, CASE WHEN g.ord IS NULL THEN d.text ELSE coalesce(k.t, '') END AS clean_text, coalesce(n_removed, 0)::INTEGER AS n_removed
 FROM dense_docs d LEFT JOIN gone g ON d.ord = g.ord LEFT JOIN kept k ON d.ord = k.ord""",
+    "p6_templates": f"""WITH {_TREE}
+SELECT court, template, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines, round(count(DISTINCT doc_id) / any_value(m), 6) AS share
+FROM told JOIN sizes USING (court) WHERE 2 * k >= n AND letters >= 12 GROUP BY court, template HAVING count(DISTINCT doc_id) >= any_value(need)""",
     "p7_found": f"""WITH r AS (SELECT *, regexp_replace(upper(cnr), '[^A-Z0-9]', '', 'g') AS k,
   coalesce(CAST(try_strptime(substr(decision_date, 1, 10), '%Y-%m-%d') AS DATE), CAST(try_strptime(decision_date, '%d-%m-%Y') AS DATE)) AS dt,
   {" + ".join(f"(coalesce(regexp_matches({c}, '[^ ]'), false))::INT" for c in TEXTS)} AS filled FROM metadata),

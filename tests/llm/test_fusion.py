@@ -16,6 +16,11 @@ def run(spark, rows):
     return {r.key: r for r in U.fuse(df, "cnr", "id", "feed", "day", "seen", ["title", "cnr", "day"], fields).collect()}
 
 
+def both(df, fields):
+    key = U.group_key("cnr")
+    return U.grouped(df, U.standing(df, key, "id", "day", "seen", ["title"]), key, "feed", "seen", fields)
+
+
 def test_standing_record(spark):
     rows = [
         (3, "ab-1", "x", "T", "2020-01-01", NOW, "", ""), (5, "AB1", "y", None, "02-01-2020", NOW, "", ""), (7, " a b 1", "y", "T", "2030-01-01", NOW, "", ""), (9, "AB1", "y", "T", "02-01-2020", NOW, "", ""),
@@ -61,7 +66,7 @@ def test_planted_copies_are_detected_and_posteriors_are_probabilities(spark):
         rows += [(len(rows) + i, f"K{k}", f, v, None, NOW, "", "") for i, (f, v) in enumerate(said.items())]
     df = spark.createDataFrame(rows, SCHEMA)
     fields = {"title": F.upper("title")}
-    acc, dep = U.estimate(U.patterns(U.grouped(df, U.group_key("cnr"), "id", "feed", "day", "seen", ["title"], fields)))
+    acc, dep = U.estimate(U.patterns(both(df, fields)))
     assert dep[("copier", "poor")] > 0.99 and max(v for k, v in dep.items() if k != ("copier", "poor")) < 0.01
     assert acc["good"] > acc["fair"] > acc["poor"]
     got = U.fuse(df, "cnr", "id", "feed", "day", "seen", ["title"], fields).collect()
@@ -90,7 +95,7 @@ def test_against_brute_force_with_equal_sources(spark):
     r = random.Random(4)
     rows = [(i, f"k{r.randint(0, 40)}", r.choice("abcde"), r.choice([None, "", "V1", "V2", "V3"]), None, NOW, "", "") for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)
-    groups = U.grouped(df, U.group_key("cnr"), "id", "feed", "day", "seen", ["title"], {"title": F.upper("title")}).collect()
+    groups = both(df, {"title": F.upper("title")}).collect()
     want = brute(rows, 0.8)
     for g in groups:
         if g["items"]:
