@@ -40,13 +40,35 @@ def test_against_brute_force(spark):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+NAMES = "asha ravi meena tom lila omar jaya vikram sonia arjun farid gita".split()
+
+
 def test_templates_and_removal(spark):
-    rows = [(i, f"d{i}", "A", f"Body text of chunk {'abcdefghij'[i]} here\nCertified that pages {i} to {i + 3} are in order", "x", "y") for i in range(8)] + [(90, "z", "A", None, "x", "y"), (91, "z", None, "kept", "x", "y")]
+    rows = [(i, f"d{i}", "A", f"Body text of chunk {'abcdefghij'[i] * 3} here\nCertified that pages {i} to {i + 3} are in order", "x", "y") for i in range(8)] + [(90, "z", "A", None, "x", "y"), (91, "z", None, "kept", "x", "y")]
     df = spark.createDataFrame(rows, SCHEMA)
     t = M.templates(df, "ord", "doc", "court", "text").collect()
-    assert [(r.template, r.n_docs) for r in t] == [("certified that pages <*> to <*> are in order", 8)]
+    assert sorted((r.template, r.n_docs) for r in t) == [("body text of chunk <*> here", 8), ("certified that pages <*> to <*> are in order", 8)]
     clean = {r.row_id: (r.clean_text, r.n_removed) for r in M.without_repeated_lines(df, "ord", "doc", "court", "text").collect()}
-    assert clean[0] == ("Body text of chunk a here", 1) and clean[90] == (None, 0) and clean[91] == ("kept", 0) and len(clean) == 10
+    assert clean[0] == ("Body text of chunk aaa here", 1) and clean[90] == (None, 0) and clean[91] == ("kept", 0) and len(clean) == 10
+
+
+def test_lines_that_differ_in_a_word_are_one_template_and_removed(spark):
+    """Bylines with other names, at the lead and inside: none of them is repeated by itself."""
+    rows = [(i, f"d{i}", "A", f"first {NAMES[i]} stands alone{'!' * i} as nobody {NAMES[-i]} wrote {NAMES[i] * 2}\n{NAMES[i].title()} reports for the legal desk\nPosted by {NAMES[i]} on the court blog", "x", "y") for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.template: (r.n_docs, r.n_lines) for r in M.templates(df, "ord", "doc", "court", "text").collect()}
+    assert got["<*> reports for the legal desk"] == (12, 12) and got["posted by <*> on the court blog"] == (12, 12)
+    gone = {(r.row_id, r.line_no) for r in M.covered_lines(df, "ord", "doc", "court", "text").collect()}
+    assert {(i, n) for i in range(12) for n in (2, 3)} <= gone
+    assert M.repeated_lines(df, "ord", "doc", "court", "text").count() == 0
+    assert all("blog" not in r.clean_text for r in M.without_covered_lines(df, "ord", "doc", "court", "text").collect())
+
+
+def test_lines_with_other_spaces_are_not_lost(spark):
+    """Equal letters in other words: no spacing alone stands in enough documents."""
+    forms = ["Share this page with friends", "Sharethis page with friends", "Share this pagewith friends", "SHARE THIS PAGE-WITH-FRIENDS", "Share th is page with friends"]
+    rows = [(i, f"d{i}", "A", f, "x", "y") for i, f in enumerate(forms)]
+    assert M.repeated_lines(spark.createDataFrame(rows, SCHEMA), "ord", "doc", "court", "text").count() == 5
 
 
 def test_empty(spark):
