@@ -1,15 +1,17 @@
 """Garbled text from wrong character encodings.
 
 A multinomial classifier over hashed byte bigrams predicts for each run of non-ASCII
-characters, with two characters on either side, by which chain of encodings it was
+characters, with the kinds of two characters on either side, by which chain of encodings it was
 garbled, or that it is clean. It is trained on the table's own clean runs, garbled synthetically by
 every chain. The predicted chain is inverted, and the result is taken only where it decodes strictly;
-a run garbled beyond recovery is reported and left as it is.
+a run garbled beyond recovery is reported and left as it is. Chains between single-byte encodings
+always decode: of these the result is taken only if, in such surroundings, it is more frequent
+in the table than the run as it stands, so a clean dash stays a dash.
 
-Clean runs for training come from a bounded sample of rows (``SAMPLE_ROWS``, by hash of the
-row id): runs that no chain inverts into characters known from the other runs. Everything else
-covers all rows: plain ASCII texts are set aside in the JVM, the others are decided by tasks
-that hold nothing but the model.
+Runs in their surroundings are counted over all rows by aggregation. The driver keeps those with at least
+``SHARE`` of all runs, so at most 1 / SHARE whatever the table; clean are those that no chain inverts into
+characters known from the others. Plain ASCII texts are set aside in the JVM, all others are decided
+by tasks that hold nothing but the model.
 
 Defined results
 * null, empty and ASCII texts hold no garbled run; entities such as "&mdash;" are text;
@@ -29,7 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS = 20_000
+from eralex.runtime import cut
+
+SHARE = 2e-5
+#: Share of all clean runs in which a character must occur to count as known; twice at least.
+KNOWN = 1e-4
 BUCKETS = 1 << 13
 RUN = re.compile("[^\x00-\x7f]+")
 LOST = "�"
@@ -108,7 +114,8 @@ def runs(text: str) -> list[tuple[int, int, str]]:
 
 
 def _plain(s: str, left: bool) -> str:
-    s = re.sub("[^\x00-\x7f]", "~", re.sub(r"\d", "0", re.sub(r"\s", " ", s)))
+    """Kinds of characters: letters, capitals, digits, spaces; marks stand for themselves."""
+    s = re.sub("[^\x00-\x7f]", "~", re.sub(r"\d", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\s", " ", s)))))
     return s.rjust(2) if left else s.ljust(2)
 
 
@@ -120,8 +127,11 @@ def bigrams(shown: str) -> np.ndarray:
 class Model:
     """Multinomial logistic regression over hashed byte bigrams."""
 
-    def __init__(self, classes: list[str], weights: np.ndarray):
-        self.classes, self.weights, self.known = classes, weights, {}
+    def __init__(self, classes: list[str], weights: np.ndarray, seen: dict[str, int], made: dict[str, set[str]]):
+        self.classes, self.weights, self.seen, self.made, self.known = classes, weights, seen, made, {}
+        self.total: Counter = Counter()
+        for s, n in seen.items():
+            self.total[s[3:-3]] += n
 
     def ranked(self, shown: str) -> list[str]:
         """Classes by falling probability."""
@@ -147,17 +157,36 @@ class Model:
             if chain == CLEAN:
                 break
             back = invert(run, CHAINS[chain])
+            if back is not None and single(chain) and not self._likelier(back, shown):
+                continue
             if back is not None and back != run and not any(0x80 <= ord(c) < 0xA0 or 0xE000 <= ord(c) < 0xF900 for c in back):
                 return chain, back
+        if single(ranked[0]) or not set(run) <= self.made[ranked[0]]:
+            return CLEAN, None
         return ranked[0], None
 
+    def _likelier(self, back: str, shown: str) -> bool:
+        """Whether a run is more frequent than the one that stands there: in such surroundings, or, where those are rare, five times in all."""
+        own = self.seen.get(shown, 0)
+        return self.seen.get(f"{shown[:3]}{back}{shown[-3:]}", 0) > own or own <= 2 and self.total[back] >= 5 * max(1, self.total[shown[3:-3]])
+
+
+def single(chain: str) -> bool:
+    """Whether the chain's bytes stand for any character, so that its inverse proves nothing."""
+    return not chain.startswith("utf-8")
 
-def train(texts: list[str], rounds: int = 200) -> Model:
-    """Fit on clean runs of the texts and their synthetic garblings."""
-    seen = Counter()
+
+def count_runs(texts: list[str]) -> Counter:
+    """In how many texts each run stands in its surroundings."""
+    seen: Counter = Counter()
     for t in texts:
         seen.update({x[2] for x in runs(t)})
-    seen = Counter({s: n for s, n in seen.items() if LOST not in s})
+    return seen
+
+
+def train(seen: dict[str, int], rounds: int = 200) -> Model:
+    """Fit on clean runs of the counts and their synthetic garblings."""
+    seen = Counter({s: n for s, n in sorted(seen.items()) if LOST not in s})
     back = defaultdict(list)
     for s in seen:
         for name, chain in CHAINS.items():
@@ -167,7 +196,8 @@ def train(texts: list[str], rounds: int = 200) -> Model:
     for s, n in seen.items():
         if s not in back:
             inventory.update(dict.fromkeys(s[3:-3], n))
-    clean = {s: n for s, n in seen.items() if not any(all(inventory[c] > 2 for c in r) for r in back[s])}
+    known = max(2, KNOWN * sum(n for s, n in seen.items() if s not in back))
+    clean = {s: n for s, n in seen.items() if not any(all(inventory[c] > known for c in r) for r in back[s])}
     examples: dict[str, Counter] = {CLEAN: Counter(clean)}
     for name, chain in CHAINS.items():
         made = Counter()
@@ -182,7 +212,7 @@ def train(texts: list[str], rounds: int = 200) -> Model:
     classes = list(examples)
     rows = [(k, s, n) for k, c in enumerate(classes) for s, n in examples[c].items()]
     if not rows:
-        return Model([CLEAN], np.zeros((1, BUCKETS), np.float32))
+        return Model([CLEAN], np.zeros((1, BUCKETS), np.float32), {}, {})
     used = np.unique(np.concatenate([bigrams(s) for _, s, _ in rows]))
     x = np.zeros((len(rows), len(used)), np.float32)
     for i, (_, s, _) in enumerate(rows):
@@ -202,18 +232,30 @@ def train(texts: list[str], rounds: int = 200) -> Model:
         w -= 0.5 * grad / np.sqrt(g2)
     full = np.zeros((len(classes), BUCKETS), np.float32)
     full[:, used] = w
-    return Model(classes, full)
+    return Model(classes, full, dict(seen), {c: {ch for s in examples[c] for ch in s[3:-3]} for c in classes})
 
 
 RESULT = "n_garbled int, n_restored int, chains string, restored string"
 
 
+def counted(texts: DataFrame) -> dict[str, int]:
+    """Counts of the runs with at least SHARE of all runs, over all rows of the one column."""
+
+    def run(batches):
+        for b in batches:
+            seen = count_runs([t for t in b.column(0).to_pylist() if t])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["shown", "n"])
+
+    counts = cut(texts.mapInArrow(run, "shown string, n long").groupBy("shown").agg(F.sum("n").alias("n")), "runs")
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    return {r.shown: r.n for r in counts.where(F.col("n") >= SHARE * total).collect()}
+
+
 def repair(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(row_id, n_garbled, n_restored, chains, restored): rows with at least one garbled run."""
     spark = df.sparkSession
     foreign = df.where(F.col(text).rlike("[^\\x00-\\x7F]")).select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
-    sample = [r[0] for r in foreign.orderBy(F.xxhash64("row_id"), "row_id").limit(SAMPLE_ROWS).select("text").toLocalIterator()]
-    model = spark.sparkContext.broadcast(train(sample))
+    model = spark.sparkContext.broadcast(train(counted(foreign.select("text"))))
     schema = T.StructType([T.StructField("row_id", df.schema[row_id].dataType), *T._parse_datatype_string(RESULT).fields])
 
     def run(batches):

@@ -14,7 +14,7 @@ def corpus(seed=0, n=600):
 
 @pytest.fixture(scope="module")
 def model():
-    return N.train(corpus())
+    return N.train(N.count_runs(corpus()))
 
 
 def fixed(model, t):
@@ -48,6 +48,37 @@ def test_round_trip_of_each_chain(model, chain):
     assert done > 3
 
 
+def mixed(n, seed):
+    """Clean texts, a tenth of them garbled: (stored, original)."""
+    r = random.Random(seed)
+    out = []
+    for t in corpus(seed, n):
+        g = N.garble(t, N.CHAINS[r.choice([c for c in N.CHAINS if c.startswith("utf-8") and c[-1] != "?"])]) if r.random() < 0.1 else t
+        out.append((g, t))
+    return out
+
+
+@pytest.mark.parametrize("n", [60, 300, 3000])
+def test_no_clean_mark_is_repaired_whatever_the_size(n):
+    """Dashes, quotes and letters stay when few or many texts, garbled ones among them, are counted."""
+    rows = mixed(n, n)
+    model = N.train(N.count_runs([g for g, _ in rows]))
+    held = corpus(n + 1, 400) + ["the authority at Torsa – vide notification", "from 1990 – 1995", "years 1990–95", "“Board” — so called", "a well–known rule"]
+    kept = sum(fixed(model, t) == t and all(model.decide(s)[0] == N.CLEAN for _, _, s in N.runs(t)) for t in held)
+    assert kept / len(held) >= 0.99
+    bad = [(g, t) for g, t in rows if g != t]
+    assert sum(fixed(model, g) != g or "\ufffd" in g for g, t in bad) / len(bad) >= 0.9
+
+
+def test_dash_between_single_byte_encodings(model):
+    """The same character is a clean dash between spaces and a garbled letter inside a word."""
+    texts = corpus(1, 500) + ["the Señor spoke", "in España today", "a mañana rule"] * 30
+    m = N.train(N.count_runs(texts))
+    garbled = N.garble("the Señor spoke", N.CHAINS["mac-roman>cp1252"])
+    assert "–" in garbled and fixed(m, garbled) == "the Señor spoke"
+    assert fixed(m, "paid – see note") == "paid – see note"
+
+
 def test_inversion_is_strict():
     assert N.invert("Ã", N.CHAINS["utf-8>cp1252"]) is None
     assert N.invert("é", N.CHAINS["utf-8>cp1252"]) is None
