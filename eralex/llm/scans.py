@@ -46,6 +46,10 @@ CONFUSIONS = [
     ("m", "rn"), ("rn", "m"), ("w", "vv"), ("d", "cl"), ("cl", "d"), ("u", "ii"), ("n", "ri"), ("h", "li"), ("k", "lc"),
 ]
 CHEAP = 0.3
+#: Confusions that a repair of less than one edit can hold.
+MOST_CONFUSED = 3
+#: Characters of the longest running header.
+HEADER = 200
 _BY_SEEN: dict[str, list[str]] = {}
 for _true, _seen in CONFUSIONS:
     _BY_SEEN.setdefault(_seen, []).append(_true)
@@ -70,21 +74,23 @@ def tokens(lex: "Lexicon", text: str) -> list[str]:
 
 
 def variants(word: str) -> list[str]:
-    """The word, and the word with digits and letter groups read back."""
+    """The word, and the word with digits and letter groups read back.
+
+    A correction is of letters only and less than one edit away, so every symbol must be a confusion, and of
+    more than ``MOST_CONFUSED`` symbols none can come of it: what is left out could not be taken.
+    """
+    at = [k for k, c in enumerate(word) if not c.isalpha()]
+    if len(at) > MOST_CONFUSED or not all(word[k] in _BY_SEEN for k in at):
+        return [word]
     out = {word}
+    for choice in itertools.product(*[_BY_SEEN[word[k]] for k in at]):
+        x = list(word)
+        for k, c in zip(at, choice):
+            x[k] = c
+        out.add("".join(x))
     for seen in ("vv", "ii", "cl", "rn", "li"):
-        for w in list(out):
-            if seen in w:
-                out |= {w.replace(seen, t) for t in _BY_SEEN.get(seen, [])}
-    more = set()
-    for w in list(out)[:12]:
-        at = [k for k, c in enumerate(w) if c in _BY_SEEN and not c.isalpha()]
-        for choice in itertools.islice(itertools.product(*[_BY_SEEN[w[k]] for k in at]), 16):
-            x = list(w)
-            for k, c in zip(at, choice):
-                x[k] = c
-            more.add("".join(x))
-    return list(out | more)
+        out |= {w.replace(seen, t) for w in out if seen in w for t in _BY_SEEN.get(seen, [])}
+    return sorted(out)
 
 
 def distance(seen: str, true: str, most: float = 1.0) -> float:
@@ -182,7 +188,8 @@ class Lexicon:
                     if c != word and c not in found and self.words[c] >= need:
                         found[c] = distance(word, c)
         good = [c for c in found if found[c] < 1]
-        return sorted(good, key=lambda c: (round(found[c], 2), -self.words[c]))
+        near = min((found[c] for c in good), default=0) + CHEAP + 0.01  # context decides among repairs with one confusion more
+        return sorted((c for c in good if found[c] <= near), key=lambda c: (round(found[c], 2), -self.words[c], c))
 
     def look(self, word: str) -> list[str]:
         if word in self.clean:
@@ -203,7 +210,7 @@ class Lexicon:
     def pick(self, options: list[str], before: str, after: str) -> str:
         if len(options) == 1:
             return options[0]
-        return max(options[:5], key=lambda c: (self.bigrams.get(f"{before} {c}", 0) + self.bigrams.get(f"{c} {after}", 0), self.words[c]))
+        return max(options, key=lambda c: (self.bigrams.get(f"{before} {c}", 0) + self.bigrams.get(f"{c} {after}", 0), self.words[c]))
 
     def is_cut(self, a: str, b: str) -> bool:
         """Whether "a-" and "b" on the next line are one word."""
@@ -267,11 +274,9 @@ def _misread_shape(shown: str) -> bool:
 def drop_page_lines(text: str) -> tuple[str, int]:
     """Without page numbers and running headers that stand as lines; number of them."""
     lines = text.split("\n")
-    if len(lines) < 2 and len(text) > 160:
-        return text, 0
     keep, gone = [], 0
     for ln in lines:
-        if len(ln) < 200 and ln.strip() and (PAGE_LINE.match(ln) or ((" v" in ln or " V" in ln or ln.lstrip()[:1].isdigit()) and (HEADER_LINE.match(ln) and not ln.rstrip().endswith((";", ",")) or CAPS_TITLE.match(ln)))):
+        if 0 < len(ln.strip()) < HEADER and (PAGE_LINE.match(ln) or ((" v" in ln or " V" in ln or ln.lstrip()[:1].isdigit()) and (HEADER_LINE.match(ln) and not ln.rstrip().endswith((";", ",")) or CAPS_TITLE.match(ln)))):
             gone += 1
         else:
             keep.append(ln)
