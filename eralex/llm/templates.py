@@ -37,29 +37,32 @@ from eralex.runtime import cut
 MARK, ANY = "#", "<*>"
 
 
-def spaced(line: str | Column) -> Column:
-    """The words of a line, one space between them."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[^\p{L}0-9]+", " "), "[0-9]+", MARK))
+def spaced(text: str | Column) -> Column:
+    """The words of each line with one space between them; lines stay lines."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}0-9\n]+", " "), "[0-9]+", MARK)
 
 
 def parsed_lines(df: DataFrame, row_id: str, doc: str, source: str, text: str, letters: int) -> DataFrame:
     """(row_id, line_no, doc, source, n_words, line, k1, k2): each countable line.
 
-    k1 and k2 are two independent hashes of the line's letters and marks without spaces.
+    k1 and k2 are two independent hashes of the source and the line's letters and marks without spaces.
+    A text is parsed whole before it is cut into lines, so no line is parsed again for a filter.
     """
     lines = df.where(F.col(text).isNotNull() & F.col(doc).isNotNull() & (F.trim(source) != "")).select(
-        F.col(row_id).alias("row_id"), F.col(doc).alias("doc"), F.col(source).alias("source"), F.posexplode(F.split(text, "\n")).alias("pos", "raw")
+        F.col(row_id).alias("row_id"), F.col(doc).alias("doc"), F.col(source).alias("source"), F.posexplode(F.split(spaced(text), "\n")).alias("pos", "raw")
     )
-    keyed = lines.where(F.length("raw") >= letters).withColumn("line", spaced("raw")).withColumn("key", F.translate("line", " ", ""))
-    return keyed.where(F.length(F.translate("key", MARK, "")) >= letters).select(
+    bare = lambda c, gone: F.replace(c, F.lit(gone), F.lit(""))
+    key = bare(F.col("raw"), " ")
+    counted = lines.where(F.length(bare(key, MARK)) >= letters).withColumn("line", F.trim("raw"))
+    return counted.select(
         "row_id",
         (F.col("pos") + 1).cast("long").alias("line_no"),
         "doc",
         "source",
-        (F.length("line") - F.length("key") + 1).alias("n_words"),
+        (F.length("line") - F.length(key) + 1).alias("n_words"),
         "line",
-        F.xxhash64("key").alias("k1"),
-        F.xxhash64(F.lit(1), F.reverse("key")).alias("k2"),
+        F.xxhash64("source", key).alias("k1"),
+        F.xxhash64(F.lit(1), "source", key).alias("k2"),
     )
 
 
@@ -111,14 +114,14 @@ def covered_lines(df: DataFrame, row_id: str, doc: str, source: str, text: str,
 def repeated_lines(df: DataFrame, row_id: str, doc: str, source: str, text: str, **limits) -> DataFrame:
     """(row_id, line_no) of every line of such templates whose own letters and marks stand in enough documents."""
     t = Tree(df, row_id, doc, source, text, **limits)
-    found = t.placed.join(t.covering().select("source", "template"), ["source", "template"], "left_semi").select("source", "k1", "k2")
+    found = t.placed.join(t.covering().select("source", "template"), ["source", "template"], "left_semi").select("k1", "k2")
     shape = F.xxhash64("line")
-    respaced = t.lines.groupBy("source", "k1", "k2").agg(F.min(shape).alias("a"), F.max(shape).alias("b")).where("a <> b").select("source", "k1", "k2")
+    respaced = t.lines.groupBy("k1", "k2").agg(F.min(shape).alias("a"), F.max(shape).alias("b")).where("a <> b").select("k1", "k2")
     keys = cut(found.unionByName(respaced).distinct(), "keys")
-    candidates = t.lines.join(keys, ["source", "k1", "k2"], "left_semi")
+    candidates = t.lines.join(keys, ["k1", "k2"], "left_semi")
     counts = candidates.select("source", "k1", "k2", "doc").distinct().groupBy("source", "k1", "k2").agg(F.count("*").alias("n"))
-    repeated = cut(_enough(counts, t.sizes, "n"), "repeated")
-    return t.lines.join(repeated, ["source", "k1", "k2"], "left_semi").select("row_id", "line_no")
+    repeated = cut(_enough(counts, t.sizes, "n").select("k1", "k2"), "repeated")
+    return t.lines.join(repeated, ["k1", "k2"], "left_semi").select("row_id", "line_no")
 
 
 def templates(df: DataFrame, row_id: str, doc: str, source: str, text: str, **limits) -> DataFrame:
