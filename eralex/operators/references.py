@@ -1,14 +1,17 @@
 """References to records that do not exist, by signed counts over change deltas.
 
 Existence is a stream of +1 / -1 changes per key, references a stream of +1 per key.
-A reference is an orphan when the running existence count of its key is zero at the
-moment of the reference; a key is a current orphan when its reference count is
-positive and its existence count zero after all changes.
-
-A key may be hot (a landmark record takes a large share of all references), so no
-window ever runs over all changes of a key. Changes are first summed per (key,
-moment) with map-side combine, then prefix sums are taken on two levels: over the days
-of a key (as many rows as the calendar has days) and over the moments of one day.
+The running existence count of a key, taken over its changes alone, gives the lifetimes in which
+it exists. A reference is an orphan when its moment lies in no lifetime of its key; a key is a
+current orphan when its reference count is positive and its existence count zero after all
+changes.
+
+A key may be hot (a landmark record takes a large share of all references): references are
+never windowed or sorted into one group. They meet the lifetimes of their key in one join, whose
+large side the engine splits when a key is skewed; overlapping records of a key merge into one
+lifetime, so a reference meets as many rows as its record has separate lives. Changes are
+first summed per (key, moment) with map-side combine, then prefix sums are taken on two
+levels: over the days of a key (as many rows as the calendar has days) and within a day.
 
 Defined results
 * keys are trimmed and upper-cased; a null or empty key is no reference;
@@ -55,48 +58,34 @@ def references(rows: DataFrame, row_id: str, columns: list[str], at: str) -> Dat
     )
 
 
-def orphan_moments(deltas: DataFrame, refs: DataFrame) -> DataFrame:
-    """(key, ts, n_refs): moments at which a key was referenced while it did not exist."""
-    moments = (
-        deltas.select("key", "ts", "d", F.lit(0).cast("long").alias("r"))
-        .unionByName(refs.select("key", "ts", F.lit(0).cast("long").alias("d"), F.lit(1).cast("long").alias("r")))
-        .groupBy("key", "ts")
-        .agg(F.sum("d").alias("d"), F.sum("r").alias("r"))
-        .withColumn("day", F.date_trunc("day", "ts"))
-    )
-    opening = (
-        moments.groupBy("key", "day")
-        .agg(F.sum("d").alias("net"))
-        .select("key", "day", F.coalesce(F.sum("net").over(W.partitionBy("key").orderBy(F.asc_nulls_first("day")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("opening"))
-    )
-    within = F.sum("d").over(W.partitionBy("key", "day").orderBy(F.asc_nulls_first("ts")).rowsBetween(W.unboundedPreceding, 0))
-    counted = moments.withColumn("within", within).alias("m").join(
-        opening.alias("o"), (F.col("m.key") == F.col("o.key")) & F.col("m.day").eqNullSafe(F.col("o.day"))
-    )
-    return counted.where((F.col("m.r") > 0) & (F.col("m.within") + F.col("o.opening") <= 0)).select("m.key", "m.ts", F.col("m.r").alias("n_refs"))
+def lifetimes(deltas: DataFrame) -> DataFrame:
+    """(key, since, until): the longest stretches in which a key exists; they do not overlap, until is null while it lasts."""
+    moments = deltas.groupBy("key", "ts").agg(F.sum("d").alias("d")).where("d <> 0").withColumn("day", F.date_trunc("day", "ts"))
+    before = F.sum("net").over(W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+    opening = moments.groupBy("key", "day").agg(F.sum("d").alias("net")).select("key", "day", F.coalesce(before, F.lit(0)).alias("opening"))
+    within = F.sum("d").over(W.partitionBy("key", "day").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
+    counted = moments.withColumn("within", within).join(opening, ["key", "day"]).withColumn("n", F.col("within") + F.col("opening"))
+    turns = counted.where((F.col("n") > 0) != (F.col("n") - F.col("d") > 0))
+    return turns.select("key", F.col("ts").alias("since"), F.lead("ts").over(W.partitionBy("key").orderBy("ts")).alias("until"), "n").where("n > 0").drop("n")
+
+
+def _alive() -> Column:
+    return (F.col("r.key") == F.col("l.key")) & (F.col("l.since") <= F.col("r.ts")) & (F.col("l.until").isNull() | (F.col("l.until") > F.col("r.ts")))
 
 
 def orphan_references(rows: DataFrame, row_id: str, columns: list[str], at: str, records: DataFrame, key: str, since: str, until: str) -> DataFrame:
     """(row_id, ref_column, key, ts) of every reference to a record missing at its moment."""
-    refs = references(rows, row_id, columns, at)
-    gone = orphan_moments(existence_deltas(records, key, since, until), refs)
-    return refs.alias("r").join(gone.alias("g"), (F.col("r.key") == F.col("g.key")) & F.col("r.ts").eqNullSafe(F.col("g.ts")), "left_semi")
+    refs, lives = references(rows, row_id, columns, at), lifetimes(existence_deltas(records, key, since, until))
+    return refs.alias("r").join(lives.alias("l"), _alive(), "left_anti")
 
 
 def orphan_report(table_name: str, rows: DataFrame, columns: list[str], at: str, records: DataFrame, key: str, since: str, until: str) -> DataFrame:
-    """Per table, reference column and month: references, orphans and orphan keys.
-
-    Works on counts per (column, key, moment), so nothing is joined back to single rows.
-    """
-    refs = references(rows.withColumn("__row", F.lit(0)), "__row", columns, at)
-    gone = orphan_moments(existence_deltas(records, key, since, until), refs).select("key", "ts", F.lit(1).alias("gone"))
-    counts = refs.groupBy("ref_column", "key", "ts").agg(F.count("*").alias("n"))
-    marked = counts.alias("c").join(gone.alias("g"), (F.col("c.key") == F.col("g.key")) & F.col("c.ts").eqNullSafe(F.col("g.ts")), "left")
-    lost = F.col("gone").isNotNull()
+    """Per table, reference column and month: references, orphans and orphan keys."""
+    refs, lives = references(rows.withColumn("__row", F.lit(0)), "__row", columns, at), lifetimes(existence_deltas(records, key, since, until))
+    marked = refs.alias("r").join(lives.alias("l"), _alive(), "left").select("r.ref_column", month_of("r.ts").alias("month"), F.col("r.key").alias("key"), F.col("l.since").isNull().alias("lost"))
     return (
-        marked.select("ref_column", month_of("c.ts").alias("month"), F.col("c.key").alias("key"), "n", lost.alias("lost"))
-        .groupBy("ref_column", "month", "key")
-        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lost"), F.col("n")).otherwise(0)).alias("o"))
+        marked.groupBy("ref_column", "month", "key")
+        .agg(F.count("*").alias("n"), F.count(F.when(F.col("lost"), 1)).alias("o"))
         .groupBy("ref_column", "month")
         .agg(F.sum("n").alias("n_references"), F.sum("o").alias("n_orphans"), F.count(F.when(F.col("o") > 0, 1)).alias("n_orphan_keys"))
         .select(F.lit(table_name).alias("table_name"), "ref_column", "month", "n_references", "n_orphans", "n_orphan_keys")

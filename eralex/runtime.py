@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,30 +12,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see.
+    """Folder all executors see: ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; a temporary folder is made only in local
-    mode with the setting missing, because there every task runs in this process.
+    Where it is unset and every task runs in this process, as in tests, a folder beside the warehouse is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-    made = "file://" + tempfile.mkdtemp(prefix="eralex-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-cuts"
 
 
 _MADE: list[str] = []
 
 
 def drop_cuts(spark: SparkSession) -> int:
-    """Delete the tables that ``cut`` has written in this process, once their readers are done."""
+    """Delete the tables that ``cut`` has written in this process, once their last reader is done."""
     n = len(_MADE)
-    jvm = spark._jvm
     while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
@@ -45,12 +40,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a compressed columnar table in the shared folder and read it back.
 
     The files survive the loss of an executor, carry statistics for the join planner
-    and take less room than serialized checkpoint blocks.
+    and take less room than serialized checkpoint blocks. They are deleted by ``drop_cuts``, or when
+    the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _MADE.append(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -43,6 +43,20 @@ def test_bounds_hot_key_and_repeats(spark):
     assert found(spark, cites, recs) == [(2, "a"), (3, "a"), (3, "a"), (4, "a")]
 
 
+def test_a_hot_key_in_one_day(spark):
+    """A landmark takes most references within one day, while its record comes and goes."""
+    rng = random.Random(9)
+    lives = [("hot", t(h / 10), t(h / 10 + 0.05)) for h in range(200)] + [("cold", t(0), None)]
+    cites = [(i, "hot" if i % 10 else "cold", "Hot ", t(rng.randint(0, 2400) / 100), "") for i in range(3000)]
+    assert found(spark, cites, lives) == sorted(brute(cites, lives))
+
+
+def test_lifetimes_merge_and_do_not_overlap(spark):
+    rows = [("k", t(0), t(10)), ("K ", t(5), t(50)), ("k", t(50), t(60)), ("k", t(90), None), ("k", t(95), t(99)), ("k", t(7), t(7)), ("z", None, t(3))]
+    got = R.lifetimes(R.existence_deltas(spark.createDataFrame(rows, RECS), "jid", "s", "u")).orderBy("since").collect()
+    assert [(r.key, r.since, r.until) for r in got] == [("K", t(0), t(60)), ("K", t(90), None)]
+
+
 def test_empty(spark):
     assert found(spark, [], []) == []
     assert found(spark, [(1, "k", None, t(1), "")], []) == [(1, "a")]

@@ -1,9 +1,12 @@
 import datetime as dt
 import json
+import shutil
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
+from eralex.operators import references
 from eralex.sources import providers, readers, sinks
 from eralex.streaming import ingest as streaming
 
@@ -93,19 +96,39 @@ def test_streaming_ingest(spark, tmp_path):
     run()
     run()
     assert sorted((r.judgment_id, r.ord) for r in spark.read.parquet(clean).collect()) == [("a", 1), ("c", 5)]
-    assert spark.read.parquet(bad).count() == 2
+    lost = {(r.judgment_id, r.ord): r.problems[0] for r in spark.read.parquet(bad).collect()}
+    assert lost == {("a", 2): "duplicate judgment_id", ("a", 4): "duplicate judgment_id", ("b", 3): "empty text field"}  # every row is on one side
 
 
 def test_streaming_references(spark, tmp_path):
     schema = spark.createDataFrame([], "id bigint, a string, at timestamp").schema
     src = str(tmp_path / "src")
-    run = lambda: streaming.reference_stream(spark, src, schema, str(tmp_path / "st"), str(tmp_path / "cp"), "id", ["a"], "at").awaitTermination()
+    rec = spark.createDataFrame([], "jid string, s timestamp, u timestamp").schema
+    recs = str(tmp_path / "recs")
+    run = lambda: streaming.reference_stream(spark, src, schema, str(tmp_path / "st"), str(tmp_path / "cp"), ["a"], "at", (recs, rec, "jid", "s", "u")).awaitTermination()
     at = dt.datetime(2020, 1, 1)
+    spark.createDataFrame([("k", at, None)], rec).coalesce(1).write.parquet(recs)
     spark.createDataFrame([(1, "k", at), (2, "k", at)], schema).coalesce(1).write.mode("append").parquet(src)
     run()
+    spark.createDataFrame([("q", at, at + dt.timedelta(1))], rec).coalesce(1).write.mode("append").parquet(recs)
     spark.createDataFrame([(3, "k", at), (4, "q", at)], schema).coalesce(1).write.mode("append").parquet(src)
     run()
-    assert {(r.key, r.refs) for r in spark.read.parquet(str(tmp_path / "st" / "epoch=1")).collect()} == {("K", 3), ("Q", 1)}
+    state = spark.read.parquet(str(tmp_path / "st" / "batch=1"))
+    assert {(r.key, r.existence, r.refs) for r in state.collect()} == {("K", 1, 3), ("Q", 0, 1)}
+    assert [r.key for r in references.current_orphans(state).collect()] == ["Q"]
+
+
+def test_lost_state_fails(spark, tmp_path):
+    schema = spark.createDataFrame([], "id bigint, a string, at timestamp").schema
+    src, st = str(tmp_path / "src"), tmp_path / "st"
+    run = lambda: streaming.reference_stream(spark, src, schema, str(st), str(tmp_path / "cp"), ["a"], "at").awaitTermination()
+    row = lambda i: spark.createDataFrame([(i, "k", dt.datetime(2020, 1, 1))], schema).write.mode("append").parquet(src)
+    row(1)
+    run()
+    shutil.rmtree(st)
+    row(2)
+    with pytest.raises(Exception, match="missing"):
+        run()
 
 
 def test_windowed_counts(spark, tmp_path):
