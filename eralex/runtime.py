@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows, and most bytes on disk, of a table that is sent to all tasks.
+SMALL_ROWS, SMALL_BYTES = 200_000, 16 << 20
+
+
+def if_small(written: DataFrame) -> DataFrame:
+    """A table of ``cut``, to be broadcast in joins if its checked size is small; larger ones are joined as the planner sees fit."""
+    size = written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(written) if size <= SMALL_BYTES and written.count() <= SMALL_ROWS else written
+
+
 def builder(app: str = "eralex", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession.Builder:
     """A session for one machine, with the settings that tests and the bench share."""
     return (
