@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eralex.runtime import cut
+from eralex.runtime import cut, if_small
 
 MARK, ANY = "#", "<*>"
 
@@ -81,18 +81,19 @@ class Tree:
 
     def __init__(self, df: DataFrame, row_id: str, doc: str, source: str, text: str, letters: int = 12, least: int = 5, share: float = 0.03):
         self.lines = lines = cut(parsed_lines(df, row_id, doc, source, text, letters), "lines")
-        self.sizes = sizes = cut(source_sizes(df, doc, source, least, share), "sizes")
+        self.sizes = sizes = if_small(cut(source_sizes(df, doc, source, least, share), "sizes"))
         word = F.substring_index("line", " ", 1)
         nodes = lines.groupBy("source", "n_words", word.alias("word")).agg(F.count("*").alias("n"))
-        own = cut(_enough(nodes, sizes, "n"), "leads")  # leading words with a child of their own
+        nodes = cut(nodes, "nodes")
+        own = if_small(cut(_enough(nodes, sizes, "n"), "leads"))  # leading words with a child of their own
         rest = nodes.join(own, ["source", "n_words", "word"], "left_anti").groupBy("source", "n_words").agg(F.sum("n").alias("n"))
-        leaves = own.unionByName(_enough(rest, sizes, "n").withColumn("word", F.lit(ANY)))
+        leaves = if_small(cut(own.unionByName(_enough(rest, sizes, "n").withColumn("word", F.lit(ANY))), "leaves"))
         led = lines.withColumn("word", word).join(own.withColumn("own", F.lit(True)), ["source", "n_words", "word"], "left")
         placed = led.withColumn("word", F.when(F.col("own"), F.col("word")).otherwise(ANY)).drop("own").join(leaves, ["source", "n_words", "word"], "left_semi")
         slots = placed.select("source", "n_words", "word", F.posexplode(F.split("line", " ")).alias("slot", "w"))
         kept = _enough(slots.groupBy("source", "n_words", "word", "slot", "w").agg(F.count("*").alias("n")), sizes, "n")
         fixed = kept.groupBy("source", "n_words", "word").agg(F.collect_set(F.concat_ws(" ", F.col("slot").cast("string"), "w")).alias("fixed"))
-        fixed = cut(fixed, "slots")
+        fixed = if_small(cut(fixed, "slots"))
         words = F.transform(F.split("line", " "), lambda w, i: F.when((w != MARK) & F.array_contains("fixed", F.concat_ws(" ", i.cast("string"), w)), w).otherwise(ANY))
         self.placed = placed.join(fixed, ["source", "n_words", "word"]).select("row_id", "line_no", "doc", "source", "k1", "k2", words.alias("words"))
         still = F.filter("words", lambda w: w != ANY)
@@ -102,7 +103,7 @@ class Tree:
     def covering(self) -> DataFrame:
         """(source, template, n_docs_with, n_lines) of templates that cover enough documents."""
         counts = self.placed.groupBy("source", "template", "doc").agg(F.count("*").alias("n")).groupBy("source", "template").agg(F.count("*").alias("n_docs_with"), F.sum("n").alias("n_lines"))
-        return counts.join(self.sizes, "source").where("n_docs_with >= need - 1e-9").drop("need")
+        return if_small(cut(counts.join(self.sizes, "source").where("n_docs_with >= need - 1e-9").drop("need"), "covering"))
 
 
 def covered_lines(df: DataFrame, row_id: str, doc: str, source: str, text: str, **limits) -> DataFrame:
@@ -117,10 +118,10 @@ def repeated_lines(df: DataFrame, row_id: str, doc: str, source: str, text: str,
     found = t.placed.join(t.covering().select("source", "template"), ["source", "template"], "left_semi").select("k1", "k2")
     shape = F.xxhash64("line")
     respaced = t.lines.groupBy("k1", "k2").agg(F.min(shape).alias("a"), F.max(shape).alias("b")).where("a <> b").select("k1", "k2")
-    keys = cut(found.unionByName(respaced).distinct(), "keys")
+    keys = if_small(cut(found.unionByName(respaced).distinct(), "keys"))
     candidates = t.lines.join(keys, ["k1", "k2"], "left_semi")
     counts = candidates.select("source", "k1", "k2", "doc").distinct().groupBy("source", "k1", "k2").agg(F.count("*").alias("n"))
-    repeated = cut(_enough(counts, t.sizes, "n").select("k1", "k2"), "repeated")
+    repeated = if_small(cut(_enough(counts, t.sizes, "n").select("k1", "k2"), "repeated"))
     return t.lines.join(repeated, ["k1", "k2"], "left_semi").select("row_id", "line_no")
 
 
