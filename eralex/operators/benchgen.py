@@ -22,8 +22,8 @@ def dated_items(qa: DataFrame) -> DataFrame:
         F.col("id"), F.col("query").alias("question"), "query_date", F.concat_ws(" Section ", "gold_statute", "gold_section_no").alias("gold_answer"),
         F.array(F.concat_ws("-", "gold_statute", "gold_section_no")).alias("gold_evidence_ids"), F.col("gold_statute").alias("applicable_era"), F.lit(True).alias("is_answerable"),
     )
-    transition = base.withColumn("slice", F.lit("transition")).withColumn("item_id", F.concat(F.lit("nb_"), "id"))
-    statutory = base.where(F.col("id").endswith("_post")).withColumn("slice", F.lit("statutory")).withColumn("item_id", F.concat(F.lit("nb_"), "id", F.lit("_stat")))
+    transition = base.withColumn("slice", F.lit("transition")).withColumn("item_id", F.concat(F.lit("item_"), "id"))
+    statutory = base.where(F.col("id").endswith("_post")).withColumn("slice", F.lit("statutory")).withColumn("item_id", F.concat(F.lit("item_"), "id", F.lit("_stat")))
     cap = lambda df, s: seeded_sample(df, "item_id", CAPS[s], SEED)
     return cap(transition, "transition").unionByName(cap(statutory, "statutory")).drop("id").select(*[c.split()[0] for c in ITEM.split(", ")])
 
@@ -38,7 +38,7 @@ def precedent_items(judgments: DataFrame, chunks: DataFrame, edges: DataFrame) -
     j = judgments.select(key_of("judgment_id").alias("jid"), "case_name", F.date_add("date", 1).alias("query_date")).join(first_holding(chunks), "jid")
     g = validity.good_law(j, edges, "jid", "query_date")
     items = g.select(
-        F.concat(F.lit("nb_prec_"), "jid").alias("item_id"), F.lit("precedent").alias("slice"), F.concat(F.lit("What did the court hold in "), "case_name", F.lit("?")).alias("question"), "query_date",
+        F.concat(F.lit("item_prec_"), "jid").alias("item_id"), F.lit("precedent").alias("slice"), F.concat(F.lit("What did the court hold in "), "case_name", F.lit("?")).alias("question"), "query_date",
         F.col("holding").alias("gold_answer"), F.array("chunk_id").alias("gold_evidence_ids"), F.lit("").alias("applicable_era"), F.lit(True).alias("is_answerable"), "good_law", "reason",
     )
     return items.orderBy("item_id").limit(CAPS["precedent"])
@@ -52,7 +52,7 @@ def multihop_items(judgments: DataFrame, chunks: DataFrame, edges: DataFrame, ma
     g = validity.good_law(j, edges, "jid", "query_date")
     standing = F.when(F.col("good_law"), F.lit("still good law")).otherwise(F.concat(F.lit("no longer good law ("), "reason", F.lit(")")))
     items = g.select(
-        F.concat(F.lit("nb_multihop_"), "jid").alias("item_id"), F.lit("multihop").alias("slice"),
+        F.concat(F.lit("item_multihop_"), "jid").alias("item_id"), F.lit("multihop").alias("slice"),
         F.concat(F.lit("What section currently governs the offence discussed in "), "case_name", F.lit(", and is that case's holding still good law?")).alias("question"), "query_date",
         F.concat(F.lit("BNS Section "), "bns_section", F.lit(" (successor to IPC Section "), "section", F.lit("); the holding in "), "case_name", F.lit(" is "), standing, F.lit(".")).alias("gold_answer"),
         F.array(F.concat(F.lit("BNS-"), "bns_section"), "chunk_id").alias("gold_evidence_ids"), F.lit("BNS").alias("applicable_era"), F.lit(True).alias("is_answerable"), "good_law",
@@ -62,8 +62,8 @@ def multihop_items(judgments: DataFrame, chunks: DataFrame, edges: DataFrame, ma
 
 def trap_items(spark: SparkSession, sections: list[tuple[str, str]], cases: list[str], day: str) -> DataFrame:
     """Questions about sections and cases that do not exist; nothing may be cited for them."""
-    rows = [(f"nb_trap_sec_{s}_{n}", f"What is the punishment prescribed under Section {n} of the {s}?") for s, n in sections]
-    rows += [(f"nb_trap_case_{len(sections) + i}", f"What did the court hold in {c}?") for i, c in enumerate(cases)]
+    rows = [(f"item_trap_sec_{s}_{n}", f"What is the punishment prescribed under Section {n} of the {s}?") for s, n in sections]
+    rows += [(f"item_trap_case_{len(sections) + i}", f"What did the court hold in {c}?") for i, c in enumerate(cases)]
     made = spark.createDataFrame(rows, "item_id string, question string")
     return made.select("item_id", F.lit("trap").alias("slice"), "question", F.lit(day).cast("date").alias("query_date"), F.lit(REFUSAL).alias("gold_answer"), F.array().cast("array<string>").alias("gold_evidence_ids"), F.lit("").alias("applicable_era"), F.lit(False).alias("is_answerable")).limit(CAPS["trap"])
 

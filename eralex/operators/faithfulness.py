@@ -36,7 +36,7 @@ def faithfulness(support: DataFrame) -> DataFrame:
 
 
 def prompts(results: DataFrame, notices: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, prompt). results: (query_id, rank, statute, section_no, text)."""
+    """(query_id, prompt). results: (query_id, rank, statute, section_no, text). The headers are fixed values that results must equal."""
     block = F.concat(F.lit("[Doc "), F.col("rank").cast("string"), F.lit("] "), "statute", F.lit(" Section "), "section_no", F.lit("\n"), "text")
     docs = results.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("docs"))
     j = docs.join(notices.select("query_id", "notices"), "query_id", "left").join(questions.select("query_id", "question"), "query_id")

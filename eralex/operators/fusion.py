@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 RRF_K, HEAD = 60, 20
 
 
-def rrf(*ranked: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): sum of 1 / (RRF_K + rank) over the lists that hold the document."""
+def rrf(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
+    """(query_id, doc_id, score): sum of 1 / (k + rank) over the lists that hold the document."""
     both = reduce(DataFrame.unionByName, [r.select("query_id", "doc_id", "rank") for r in ranked])
-    return both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 9).alias("score"))
+    return both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
 
 
 def rerank_head(ranked: DataFrame, own_score: str, head: int = HEAD) -> DataFrame:

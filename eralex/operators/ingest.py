@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The fields and outcomes that a judgment must have.
 REQUIRED = ["judgment_id", "case_name", "court", "date", "bench", "sections_cited", "text", "disposal"]
 VALID_DISPOSALS = ["allowed", "dismissed", "partly allowed", "remanded"]
 
@@ -14,12 +15,12 @@ def problems(df: DataFrame) -> Column:
     """array<string> of what is wrong with a judgment; missing fields end the checks."""
     missing = F.array_sort(F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]), lambda x: x.isNotNull()))
     checks = F.array(
-        F.when(~F.col("disposal").isin(VALID_DISPOSALS), F.concat(F.lit("unknown disposal: "), "disposal")),
-        F.when(F.size("sections_cited") == 0, F.lit("sections_cited must be a non-empty list")),
-        F.when(F.exists("sections_cited", lambda s: s["statute"].isNull() | s["section_no"].isNull()), F.lit("malformed sections_cited entry")),
-        F.when(F.trim("text") == "", F.lit("empty text field")),
+        F.when(~F.col("disposal").isin(VALID_DISPOSALS), F.concat(F.lit("disposal not known: "), "disposal")),
+        F.when(F.size("sections_cited") == 0, F.lit("no section cited")),
+        F.when(F.exists("sections_cited", lambda s: s["statute"].isNull() | s["section_no"].isNull()), F.lit("cited section without statute or number")),
+        F.when(F.trim("text") == "", F.lit("blank text")),
     )
-    return F.when(F.size(missing) > 0, F.array(F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))).otherwise(F.filter(checks, lambda x: x.isNotNull()))
+    return F.when(F.size(missing) > 0, F.array(F.concat(F.lit("no value: "), F.array_join(missing, ", ")))).otherwise(F.filter(checks, lambda x: x.isNotNull()))
 
 
 def validated(df: DataFrame, order: list[str]) -> DataFrame:
@@ -52,6 +53,11 @@ def equals_if_there(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.where(F.lower(F.trim(column)) == value) if column in df.columns else df
 
 
+def true_if_there(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose flag is set, when the source has that flag; null counts as not set."""
+    return df.where(F.coalesce(F.col(column), F.lit(False))) if column in df.columns else df
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = sorted(set(columns) - set(df.columns))
     if missing:

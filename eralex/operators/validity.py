@@ -14,12 +14,12 @@ DEMOTION = 0.05
 INVALIDATING = ["overruled", "reversed"]
 
 
-def statute_on(d: str | Column) -> Column:
-    return F.when(col(d) < F.lit(CUT_OVER).cast("date"), F.lit("IPC")).otherwise(F.lit("BNS"))
+def statute_on(d: str | Column, cut_over: str = CUT_OVER) -> Column:
+    return F.when(col(d) < F.lit(cut_over).cast("date"), F.lit("IPC")).otherwise(F.lit("BNS"))
 
 
-def demoted(score: Column, wrong: Column) -> Column:
-    return F.when(F.coalesce(wrong, F.lit(False)), score * DEMOTION).otherwise(score)
+def demoted(score: Column, wrong: Column, by: float = DEMOTION) -> Column:
+    return F.when(F.coalesce(wrong, F.lit(False)), score * by).otherwise(score)
 
 
 def rerank(df: DataFrame, score: str, *ties: str) -> DataFrame:
@@ -48,8 +48,8 @@ def good_law(asked: DataFrame, edges: DataFrame, jid: str, day: str) -> DataFram
     return asked.join(hit, [jid, day], "left").withColumn("good_law", F.col("e").isNull()).withColumn("reason", F.col("e.reason")).drop("e")
 
 
-def notice(statute: Column, section: Column, day: Column, successor: Column) -> Column:
-    """What must be said of a provision on a date, or null."""
-    wrong = F.concat(statute, F.lit(" Section "), section, F.lit(" was "), F.when(statute == "IPC", "repealed").otherwise("not yet in force"), F.lit(" as of "), day.cast("string"), F.lit(f" (BNS commencement date: {CUT_OVER})."))
-    moved = F.concat(F.lit("IPC Section "), section, F.lit(f" was repealed w.e.f. {CUT_OVER}; corresponding current provision is BNS Section "), successor, F.lit("."))
-    return F.when(statute != statute_on(day), wrong).when((statute == "IPC") & successor.isNotNull(), moved)
+def notice(statute: Column, section: Column, day: Column, successor: Column, cut_over: str = CUT_OVER) -> Column:
+    """What must be said of a provision on a date, or null. The sentences are fixed values that results must equal."""
+    wrong = F.concat(statute, F.lit(" Section "), section, F.lit(" was "), F.when(statute == "IPC", "repealed").otherwise("not yet in force"), F.lit(" as of "), day.cast("string"), F.lit(f" (BNS commencement date: {cut_over})."))
+    moved = F.concat(F.lit("IPC Section "), section, F.lit(f" was repealed w.e.f. {cut_over}; corresponding current provision is BNS Section "), successor, F.lit("."))
+    return F.when(statute != statute_on(day, cut_over), wrong).when((statute == "IPC") & successor.isNotNull(), moved)

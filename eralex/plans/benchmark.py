@@ -308,18 +308,18 @@ es AS (SELECT 'naive' AS mode, (statute = applicable_era)::INT AS ok FROM pool J
 )
 
 SQL = {
-    "bench_slices": f"""WITH {QA}, it AS (SELECT 'nb_' || id AS item_id, 'transition' AS slice, query AS question, query_date, gold_statute || ' Section ' || gold_section_no AS gold_answer, gold_statute || '-' || gold_section_no AS gold, gold_statute AS applicable_era FROM qa
-  UNION ALL SELECT 'nb_' || id || '_stat', 'statutory', query, query_date, gold_statute || ' Section ' || gold_section_no, gold_statute || '-' || gold_section_no, gold_statute FROM qa WHERE ends_with(id, '_post'))
+    "bench_slices": f"""WITH {QA}, it AS (SELECT 'item_' || id AS item_id, 'transition' AS slice, query AS question, query_date, gold_statute || ' Section ' || gold_section_no AS gold_answer, gold_statute || '-' || gold_section_no AS gold, gold_statute AS applicable_era FROM qa
+  UNION ALL SELECT 'item_' || id || '_stat', 'statutory', query, query_date, gold_statute || ' Section ' || gold_section_no, gold_statute || '-' || gold_section_no, gold_statute FROM qa WHERE ends_with(id, '_post'))
 SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY md5(item_id || ':13'), item_id) AS r FROM it) WHERE r <= 100""",
     "precedent_items": f"""WITH {EDGES}, {_HOLD}, a AS (SELECT upper(trim(judgment_id)) AS jid, case_name, CAST(date + 1 AS DATE) AS query_date, chunk_id FROM cleanj JOIN fh ON fh.jid = upper(trim(judgment_id))), {sql_good_law('a', 'jid', 'query_date')}
-SELECT 'nb_prec_' || jid AS item_id, 'What did the court hold in ' || case_name || '?' AS question, query_date, chunk_id AS gold, good_law, reason FROM judged ORDER BY 1 LIMIT 100""",
+SELECT 'item_prec_' || jid AS item_id, 'What did the court hold in ' || case_name || '?' AS question, query_date, chunk_id AS gold, good_law, reason FROM judged ORDER BY 1 LIMIT 100""",
     "multihop_items": f"""WITH {EDGES}, {_HOLD}, {TRUSTED}, a0 AS (SELECT upper(trim(judgment_id)) AS jid, case_name, list_filter(sections_cited, lambda x: x.statute = 'IPC')[1].section_no AS section, greatest(CAST(date + 730 AS DATE), DATE '2024-07-01') AS query_date FROM cleanj),
 a AS (SELECT a0.*, bns_section, chunk_id FROM a0 JOIN trusted t ON t.ipc_section = upper(replace(section, ' ', '')) JOIN fh USING (jid)), {sql_good_law('a', 'jid', 'query_date')}
-SELECT 'nb_multihop_' || jid AS item_id, 'What section currently governs the offence discussed in ' || case_name || ', and is that case''s holding still good law?' AS question, query_date,
+SELECT 'item_multihop_' || jid AS item_id, 'What section currently governs the offence discussed in ' || case_name || ', and is that case''s holding still good law?' AS question, query_date,
 'BNS Section ' || bns_section || ' (successor to IPC Section ' || section || '); the holding in ' || case_name || ' is ' || CASE WHEN good_law THEN 'still good law' ELSE 'no longer good law (' || reason || ')' END || '.' AS gold_answer,
 'BNS-' || bns_section || ';' || chunk_id AS gold, good_law FROM judged ORDER BY 1 LIMIT 50""",
     "trap_items": "SELECT item_id, 'trap' AS slice, question, DATE '2025-01-01' AS query_date, false AS is_answerable, 0 AS n_gold FROM (VALUES "
-    + ", ".join([f"('nb_trap_sec_{s}_{n}', 'What is the punishment prescribed under Section {n} of the {s}?')" for s, n in TRAP_SECTIONS] + [f"('nb_trap_case_{len(TRAP_SECTIONS) + i}', 'What did the court hold in {c}?')" for i, c in enumerate(TRAP_CASES)])
+    + ", ".join([f"('item_trap_sec_{s}_{n}', 'What is the punishment prescribed under Section {n} of the {s}?')" for s, n in TRAP_SECTIONS] + [f"('item_trap_case_{len(TRAP_SECTIONS) + i}', 'What did the court hold in {c}?')" for i, c in enumerate(TRAP_CASES)])
     + ") t(item_id, question)",
     "item_problems": """WITH b AS (SELECT * FROM bench_items UNION ALL SELECT * FROM bench_items WHERE ends_with(item_id, '7'))
 SELECT item_id, 'unknown slice' AS problem FROM b WHERE slice NOT IN ('statutory', 'transition', 'precedent', 'trap', 'multihop')

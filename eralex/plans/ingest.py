@@ -34,6 +34,17 @@ def latest_per_key(s: SparkSession, d: str) -> DataFrame:
     return windows.latest(m.where("cnr is not null"), ["cnr"], F.desc_nulls_last("day"), "rec_id").select("cnr", "rec_id", "day")
 
 
+def date_texts(s: SparkSession, d: str) -> DataFrame:
+    """Dates as ISO text, unreadable ones as they stand."""
+    return table(s, d, "metadata").select("rec_id", X.date_text("decision_date").alias("day"))
+
+
+def boolean_filter(s: SparkSession, d: str) -> DataFrame:
+    """Filtered by a flag that the source has, and by one that it lacks."""
+    b = table(s, d, "bench_items")
+    return ingest.true_if_there(b, "is_answerable").select("item_id", F.lit(True).alias("flagged")).unionByName(ingest.true_if_there(b, "is_final").select("item_id", F.lit(False).alias("flagged")))
+
+
 def skip_reasons(s: SparkSession, d: str) -> DataFrame:
     """Counts of the first reason for which a record would not be taken."""
     m = table(s, d, "metadata")
@@ -131,7 +142,7 @@ def search_documents(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_clean, ingest_rejected, ingest_summary, latest_per_key, skip_reasons, filter_if_any, filter_if_none, equality_filter, name_fallbacks, running_target, top_judges, seeded_sample,
+        ingest_clean, ingest_rejected, ingest_summary, latest_per_key, date_texts, boolean_filter, skip_reasons, filter_if_any, filter_if_none, equality_filter, name_fallbacks, running_target, top_judges, seeded_sample,
         manifest, resume_anti, flags_json, event_props, search_documents,
     )
 }
@@ -139,11 +150,11 @@ QUERIES = {
 _REQ = "judgment_id case_name court date bench sections_cited text disposal".split()
 _MISSING = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in _REQ) + "], lambda x: x IS NOT NULL))"
 VALIDATED = f"""chk AS (SELECT *, {_MISSING} AS missing, list_filter([
-  CASE WHEN disposal NOT IN ('allowed', 'dismissed', 'partly allowed', 'remanded') THEN 'unknown disposal: ' || disposal END,
-  CASE WHEN len(sections_cited) = 0 THEN 'sections_cited must be a non-empty list' END,
-  CASE WHEN len(list_filter(sections_cited, lambda s: s.statute IS NULL OR s.section_no IS NULL)) > 0 THEN 'malformed sections_cited entry' END,
-  CASE WHEN trim(text) = '' THEN 'empty text field' END], lambda x: x IS NOT NULL) AS probs FROM judgments),
-val AS (SELECT *, CASE WHEN len(missing) > 0 THEN 'missing fields: ' || array_to_string(missing, ', ') ELSE array_to_string(probs, '; ') END AS p0 FROM chk),
+  CASE WHEN disposal NOT IN ('allowed', 'dismissed', 'partly allowed', 'remanded') THEN 'disposal not known: ' || disposal END,
+  CASE WHEN len(sections_cited) = 0 THEN 'no section cited' END,
+  CASE WHEN len(list_filter(sections_cited, lambda s: s.statute IS NULL OR s.section_no IS NULL)) > 0 THEN 'cited section without statute or number' END,
+  CASE WHEN trim(text) = '' THEN 'blank text' END], lambda x: x IS NOT NULL) AS probs FROM judgments),
+val AS (SELECT *, CASE WHEN len(missing) > 0 THEN 'no value: ' || array_to_string(missing, ', ') ELSE array_to_string(probs, '; ') END AS p0 FROM chk),
 num AS (SELECT *, row_number() OVER (PARTITION BY judgment_id, p0 = '' ORDER BY ingested_at NULLS FIRST, case_name NULLS FIRST, text NULLS FIRST) AS rn FROM val),
 cleanj AS (SELECT * FROM num WHERE p0 = '' AND rn = 1)"""
 _DAY = "coalesce(CAST(try_strptime(substr(decision_date, 1, 10), '%Y-%m-%d') AS DATE), CAST(try_strptime(decision_date, '%d-%m-%Y') AS DATE))"
@@ -159,6 +170,8 @@ SQL = {
   WHEN coalesce(regexp_matches(title, '{_SENS}'), false) OR regexp_matches(substr(description, 1, 3000), '{_SENS}') THEN 'sensitive'
   WHEN NOT regexp_matches(description, '(?i)section [0-9]') THEN 'no sections' ELSE 'kept' END AS reason, count(*) AS n FROM metadata GROUP BY 1""",
     "filter_if_any": "SELECT rec_id, available_languages FROM metadata WHERE contains(lower(available_languages), 'english')",
+    "boolean_filter": "SELECT item_id, true AS flagged FROM bench_items WHERE is_answerable UNION ALL SELECT item_id, false FROM bench_items",
+    "date_texts": "SELECT rec_id, coalesce(CAST(coalesce(CAST(try_strptime(substr(decision_date, 1, 10), '%Y-%m-%d') AS DATE), CAST(try_strptime(decision_date, '%d-%m-%Y') AS DATE)) AS VARCHAR), decision_date) AS day FROM metadata",
     "filter_if_none": "SELECT rec_id, available_languages FROM metadata",
     "equality_filter": "SELECT rec_id, court FROM metadata WHERE lower(trim(feed)) = 'official'",
     "name_fallbacks": f"""SELECT rec_id, coalesce(nullif(trim(title), ''), nullif(trim(petitioner), '') || ' v. ' || nullif(trim(respondent), ''), 'Case ' || rec_id) AS case_name,

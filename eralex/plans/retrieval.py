@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralex.functions import embedding as E
 from eralex.functions import text as X
+from eralex.config import Settings
+from eralex.functions import embedding as E
 from eralex.operators import fusion, sparse, validity
 from eralex.runtime import table
 
@@ -30,8 +31,8 @@ def bm25_term_stats(s: SparkSession, d: str) -> DataFrame:
     return sparse.term_stats(sparse.postings(c, "ord", "full"), n).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _bm25(s: SparkSession, d: str, size: int = sparse.POOL) -> DataFrame:
-    return sparse.bm25(_corpus(s, d), "ord", "full", _items(s, d), "query_id", "question", size)
+def _bm25(s: SparkSession, d: str, size: int | None = None) -> DataFrame:
+    return sparse.bm25(_corpus(s, d), "ord", "full", _items(s, d), "query_id", "question", size or Settings.read(s).pool)
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
@@ -49,13 +50,14 @@ def naive_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def validity_topk(s: SparkSession, d: str) -> DataFrame:
-    wrong = F.col("statute") != validity.statute_on("query_date")
-    shown = _dated(s, d).withColumn("score", F.round(validity.demoted(F.col("score"), wrong), 6)).withColumnRenamed("rank", "prior")
+    own = Settings.read(s)
+    wrong = F.col("statute") != validity.statute_on("query_date", own.cut_over)
+    shown = _dated(s, d).withColumn("score", F.round(validity.demoted(F.col("score"), wrong, own.demotion), 6)).withColumnRenamed("rank", "prior")
     return validity.rerank(shown, "score", "prior").where("rank <= 10").select("query_id", F.col("doc_id").alias("ord"), "statute", "score", "rank")
 
 
 def hash_embedding(s: SparkSession, d: str) -> DataFrame:
-    v = E.vectors(_corpus(s, d), ["ord"], "full")
+    v = E.vectors(_corpus(s, d), ["ord"], "full", Settings.read(s).embedding_dim)
     return v.select("ord", F.posexplode("vec").alias("idx", "value")).where("value <> 0").select("ord", "idx", F.round("value", 6).alias("value"))
 
 
@@ -66,32 +68,63 @@ def dense_topk(s: SparkSession, d: str) -> DataFrame:
     return E.search(e, "vec_id", "embedding", q, "query_id", "qv", 10)
 
 
-def _dense(s: SparkSession, d: str, docs: DataFrame, size: int = sparse.POOL) -> DataFrame:
-    q = E.vectors(_items(s, d), ["query_id"], "question").withColumnRenamed("vec", "qv")
-    v = E.vectors(docs, ["doc_id"], "full")
-    return E.search(v, "doc_id", "vec", q, "query_id", "qv", size)
+def _dense(s: SparkSession, d: str, docs: DataFrame) -> DataFrame:
+    own = Settings.read(s)
+    q = E.vectors(_items(s, d), ["query_id"], "question", own.embedding_dim).withColumnRenamed("vec", "qv")
+    v = E.vectors(docs, ["doc_id"], "full", own.embedding_dim)
+    return E.search(v, "doc_id", "vec", q, "query_id", "qv", own.pool)
 
 
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
     docs = _corpus(s, d).select(F.col("ord").alias("doc_id"), "full")
-    fused = fusion.rrf(_bm25(s, d), _dense(s, d, docs))
+    fused = fusion.rrf(_bm25(s, d), _dense(s, d, docs), k=Settings.read(s).rrf_k)
     return validity.rerank(fused, "score", "doc_id").where("rank <= 10").withColumnRenamed("doc_id", "ord")
 
 
-def hybrid_topk(s: SparkSession, d: str) -> DataFrame:
-    """Statutes and judgment chunks: fused ranks, wrong-era statutes and bad-law judgments demoted."""
+RETRIEVERS = ("bm25", "dense", "hybrid")
+
+
+def retrieve(s: SparkSession, d: str, retriever: str = "hybrid", dated: bool = True, top: int = 10) -> DataFrame:
+    """Statutes and judgment chunks by one of ``RETRIEVERS``; dated: wrong-era statutes and bad-law judgments are demoted."""
     from eralex.plans.ingest import clean_judgments
 
+    if retriever not in RETRIEVERS:
+        raise ValueError(f"no retriever {retriever!r}; there are {', '.join(RETRIEVERS)}")
+    own = Settings.read(s)
     raw = table(s, d, "dense_docs")
     docs = raw.select(F.col("ord").alias("doc_id"), "source", "statute", validity.key_of("judgment_id").alias("jid"), F.coalesce("text", F.lit("")).alias("full"))
     items = _items(s, d)
-    lists = fusion.rrf(sparse.bm25(docs, "doc_id", "full", items, "query_id", "question"), _dense(s, d, docs))
-    seen = lists.join(docs.drop("full"), "doc_id").join(items.select("query_id", "query_date"), "query_id")
+    lexical = lambda: sparse.bm25(docs, "doc_id", "full", items, "query_id", "question", own.pool)
+    if retriever == "bm25":
+        pool = lexical().select("query_id", "doc_id", "score")
+    elif retriever == "dense":
+        pool = _dense(s, d, docs).select("query_id", "doc_id", F.col("sim").alias("score"))
+    else:
+        pool = fusion.rrf(lexical(), _dense(s, d, docs), k=own.rrf_k)
+    seen = pool.join(docs.drop("full"), "doc_id").join(items.select("query_id", "query_date"), "query_id")
     edges = validity.citation_edges(table(s, d, "citations"), clean_judgments(s, d))
     judged = validity.good_law(seen, edges, "jid", "query_date")
-    wrong = F.when(F.col("source") == "statute", F.col("statute") != validity.statute_on("query_date")).otherwise(~F.col("good_law"))
-    shown = judged.withColumn("score", F.round(validity.demoted(F.col("score"), wrong), 9)).withColumn("first", F.when(F.col("source") == "statute", 0).otherwise(1))
-    return validity.rerank(shown, "score", "first", "doc_id").where("rank <= 10").select("query_id", F.col("doc_id").alias("ord"), "source", "good_law", "score", "rank")
+    first = F.when(F.col("source") == "statute", 0).otherwise(1) if dated else F.lit(0)
+    wrong = F.when(F.col("source") == "statute", F.col("statute") != validity.statute_on("query_date", own.cut_over)).otherwise(~F.col("good_law"))
+    score = validity.demoted(F.col("score"), wrong, own.demotion) if dated else F.col("score")
+    shown = judged.withColumn("score", F.round(score, 9)).withColumn("first", first)
+    return validity.rerank(shown, "score", "first", "doc_id").where(F.col("rank") <= top).select("query_id", F.col("doc_id").alias("ord"), "source", "good_law", "score", "rank")
+
+
+def hybrid_topk(s: SparkSession, d: str) -> DataFrame:
+    return retrieve(s, d)
+
+
+def lexical_topk(s: SparkSession, d: str) -> DataFrame:
+    return retrieve(s, d, "bm25")
+
+
+def semantic_topk(s: SparkSession, d: str) -> DataFrame:
+    return retrieve(s, d, "dense")
+
+
+def undated_topk(s: SparkSession, d: str) -> DataFrame:
+    return retrieve(s, d, "hybrid", dated=False)
 
 
 def rerank_pool(s: SparkSession, d: str) -> DataFrame:
@@ -99,10 +132,10 @@ def rerank_pool(s: SparkSession, d: str) -> DataFrame:
     pool = _bm25(s, d).where("rank <= 30").join(_corpus(s, d).select(F.col("ord").alias("doc_id"), "full"), "doc_id").join(_items(s, d).select("query_id", "question"), "query_id")
     q = F.array_distinct(X.tokens("question"))
     own = F.round(F.size(F.array_intersect(q, X.tokens("full"))) / F.greatest(F.size(q), F.lit(1)), 6)
-    return fusion.rerank_head(pool.withColumn("overlap", own), "overlap").where("new_rank <= 10").select("query_id", F.col("doc_id").alias("ord"), "rank", "overlap", "new_rank")
+    return fusion.rerank_head(pool.withColumn("overlap", own), "overlap", Settings.read(s).rerank_head).where("new_rank <= 10").select("query_id", F.col("doc_id").alias("ord"), "rank", "overlap", "new_rank")
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_term_stats, bm25_topk, naive_topk, validity_topk, hash_embedding, dense_topk, rrf_fusion, hybrid_topk, rerank_pool)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_term_stats, bm25_topk, naive_topk, validity_topk, hash_embedding, dense_topk, rrf_fusion, hybrid_topk, lexical_topk, semantic_topk, undated_topk, rerank_pool)}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eralex.functions import text as X
-from eralex.operators import chunking, resolve, segment
+from eralex.config import Settings
+from eralex.operators import chunking, corpus, resolve, segment
 from eralex.plans.ingest import VALIDATED, clean_judgments
 from eralex.runtime import table
 
@@ -50,7 +51,7 @@ def resolve_names(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_fixed(s: SparkSession, d: str) -> DataFrame:
-    c = chunking.fixed_windows(table(s, d, "dense_docs").where("text is not null").select("ord", "doc_id", "text"), "doc_id", "text")
+    c = chunking.fixed_windows(table(s, d, "dense_docs").where("text is not null").select("ord", "doc_id", "text"), "doc_id", "text", Settings.read(s).chunk_words)
     return c.select("ord", "chunk_doc_id", "parent_doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -60,9 +61,9 @@ def numbered_sections(s: SparkSession, d: str) -> DataFrame:
 
 
 def titled_sections(s: SparkSession, d: str) -> DataFrame:
-    """Provisions written as "NUM. Title--text" and split again."""
+    """Provisions written as "NUM. Title--text" and split again; the second follows an amendment's "1*[" and a running header."""
     note = F.coalesce(F.nullif(F.trim("marginal_note"), F.lit("")), F.lit("Note"))
-    c = table(s, d, "corpus").where("text is not null").select("ord", F.concat(F.lit("7. "), note, F.lit("--"), "text").alias("t"))
+    c = table(s, d, "corpus").where("text is not null").select("ord", F.concat(F.lit("7. "), note, F.lit("--"), "text", F.lit("\n1*[8A. Part II of Rules 8A. "), note, F.lit("-"), note, F.lit("  applies\nnow")).alias("t"))
     return c.select("ord", F.explode(X.split_titled("t")).alias("x")).select("ord", "x.section_no", "x.title", F.length("x.text").alias("n"))
 
 
@@ -77,6 +78,26 @@ def sections_in_text(s: SparkSession, d: str) -> DataFrame:
     return j.select("judgment_id", F.explode(X.sections_cited(F.concat(lead, "text"))).alias("c")).select("judgment_id", "c.statute", "c.section_no")
 
 
+def cleaned_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages with a cover, footnotes and a section that goes on after them: extracted, cleaned and split."""
+    c = table(s, d, "corpus").where("text is not null")
+    text = F.concat(F.lit("Cover of the code\f"), "text", F.lit("\n------------\n1. Subs. by a later law\nand so on\n13A.\nkept line\f\n77. Last page"))
+    return c.select("ord", segment.clean_pages(text, 1).alias("t")).select("ord", F.length("t").alias("n"), F.md5("t").alias("text_md5"))
+
+
+def built_corpus(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "corpus").where("text is not null")
+    made = corpus.build_corpus({x: c.where(F.col("statute") == x) for x in ("IPC", "BNS")})
+    return made.select("doc_id", "statute", "section_no", "marginal_note", F.md5("text").alias("text_md5"))
+
+
+def unified_docs(s: SparkSession, d: str) -> DataFrame:
+    """Sections and segmented judgments as one document set."""
+    j = clean_judgments(s, d)
+    chunks = segment.segments(j.select("judgment_id", "text"), "judgment_id", "text").join(j.select("judgment_id", "case_name", "court", "date"), "judgment_id")
+    return corpus.unified_docs(table(s, d, "corpus"), chunks).select("doc_id", "source", "statute", "section_no", "judgment_id", "case_name", "court", "date", "rhetorical_unit", F.md5("text").alias("text_md5"))
+
+
 def disposal_read(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "dense_docs").where("text is not null").select(X.disposal_of("text").alias("disposal")).groupBy("disposal").agg(F.count("*").alias("n"))
 
@@ -89,7 +110,7 @@ def line_units(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (segment_lines, heading_split, reasoning_and_holding, case_mentions, signal_class, resolve_names, chunk_fixed, numbered_sections, titled_sections, parse_cells, sections_in_text, disposal_read, line_units)
+    for f in (segment_lines, heading_split, reasoning_and_holding, case_mentions, signal_class, resolve_names, chunk_fixed, numbered_sections, titled_sections, parse_cells, sections_in_text, cleaned_pages, built_corpus, unified_docs, disposal_read, line_units)
 }
 
 
@@ -111,6 +132,21 @@ _HEADED = f"""{VALIDATED}, hd AS (SELECT judgment_id, case_name, court, string_s
   'FACTS: ' || case_name || CASE WHEN length(text) % 2 = 0 THEN chr(10) || 'Point: ' ELSE chr(10) || 'Issue: ' END || court || chr(10) || 'REASONING: ' || string_split(text, chr(10))[1] || chr(10) || 'HOLDING: ' || disposal AS t FROM cleanj)"""
 _SP = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+
+
+def _sections_sql() -> str:
+    """Numbers after the first trigger in the 200 characters before each name of a statute."""
+    parts = []
+    for statute, names in X.STATUTES.items():
+        parts.append(rf"""SELECT judgment_id, '{statute}' AS statute, unnest(nums) AS section_no FROM (
+  SELECT judgment_id, regexp_extract_all(regexp_extract(w, '(?s){X.SECTION_TRIGGER}(.*)', 1), '{X.SECTION_NUMBER}') AS nums FROM (
+    SELECT judgment_id, right(array_to_string([p[j] || n[j] FOR j IN range(1, i)], '') || p[i], {X.BACK_WINDOW}) AS w FROM (
+      SELECT judgment_id, p, n, unnest(range(1, len(n) + 1)) AS i FROM (
+        SELECT judgment_id, string_split_regex(t, '(?i)(?:{names})') AS p, regexp_extract_all(t, '(?i)({names})', 1) AS n FROM lt))))""")
+    return f"""WITH {VALIDATED}, lt AS (SELECT judgment_id, 'Charged under Sections ' || array_to_string([x.section_no FOR x IN sections_cited], ', ') || ' of the Indian Penal Code read with u/s 61 BNS. ' || text AS t FROM cleanj)
+SELECT DISTINCT * FROM ({" UNION ALL ".join(parts)})"""
+
+
 SQL = {
     "segment_lines": rf"""WITH {VALIDATED}, hp AS (SELECT judgment_id, text, list_transform(regexp_extract_all(text, '(?i)(?:^|\n)(FACTS|ISSUE|REASONING|HOLDING):\s*', 1), lambda x: upper(x)) = ['FACTS', 'ISSUE', 'REASONING', 'HOLDING'] AS ok FROM cleanj),
 sp AS (SELECT judgment_id, string_split_regex(text, '(?i)(?:^|\n)(?:FACTS|ISSUE|REASONING|HOLDING):\s*') AS ps FROM hp WHERE ok),
@@ -138,10 +174,19 @@ UNION ALL SELECT ord, doc_id || '::w' || k, doc_id, md5(array_to_string(ws[k * 5
 p AS (SELECT ord, string_split(t, chr(1))[2:] AS ps FROM m), e AS (SELECT ord, unnest(range(len(ps))) AS pos, unnest(ps) AS x FROM p),
 b AS (SELECT ord, pos::INTEGER AS pos, split_part(x, chr(2), 1) AS section_no, trim(regexp_replace(split_part(x, chr(2), 2), '[%s]+', ' ', 'g')) AS body FROM e)
 SELECT ord, pos, section_no, length(body)::INTEGER AS n, length(body) < 10 AS needs_review FROM b""" % _SP,
-    "titled_sections": f"SELECT ord, '7' AS section_no, coalesce(nullif(trim(marginal_note), ''), 'Note') AS title, length(trim(regexp_replace(text, '[{_SP}]+', ' ', 'g')))::INTEGER AS n FROM corpus WHERE text IS NOT NULL",
+    "titled_sections": f"""WITH c AS (SELECT ord, text, coalesce(nullif(trim(marginal_note), ''), 'Note') AS title FROM corpus WHERE text IS NOT NULL)
+SELECT ord, '7' AS section_no, title, length(trim(regexp_replace(text, '[{_SP}]+', ' ', 'g')))::INTEGER AS n FROM c UNION ALL SELECT ord, '8A', title, length(title || ' applies now')::INTEGER FROM c""",
+    "cleaned_pages": "WITH c AS (SELECT ord, text || chr(10) || '13A.' || chr(10) || 'kept line' || chr(10) || chr(10) || '77. Last page' AS t FROM corpus WHERE text IS NOT NULL) SELECT ord, length(t)::INTEGER AS n, md5(t) AS text_md5 FROM c",
+    "built_corpus": "SELECT statute || '-' || section_no AS doc_id, statute, section_no, coalesce(marginal_note, '') AS marginal_note, md5(text) AS text_md5 FROM corpus WHERE text IS NOT NULL AND statute IN ('IPC', 'BNS')",
+    "sections_in_text": _sections_sql(),
     "parse_cells": r"""WITH c AS (SELECT DISTINCT c.section_no || ' . ' || coalesce(disposal, 'x') || '..' AS cell FROM (SELECT unnest(sections_cited) AS c, disposal FROM judgments)),
 x AS (SELECT cell, trim(cell) AS t, '^(\d+[A-Za-z]{0,3})((?:\s*\([A-Za-z0-9]{1,5}\))*)\s*\.?\s*(.*)$' AS p FROM c)
 SELECT cell, CASE WHEN regexp_matches(t, p) THEN regexp_extract(t, p, 1) || replace(regexp_extract(t, p, 2), ' ', '') END AS section, CASE WHEN regexp_matches(t, p) THEN regexp_replace(trim(regexp_extract(t, p, 3)), '\.+$', '') END AS description FROM x""",
     "disposal_read": "SELECT CASE " + " ".join(f"WHEN contains(lower(right(text, 1500)), '{k}') THEN '{v}'" for k, v in X.DISPOSALS) + " ELSE 'dismissed' END AS disposal, count(*) AS n FROM dense_docs WHERE text IS NOT NULL GROUP BY 1",
     "line_units": f"SELECT rhetorical_unit, {_unit('lower(text)')} AS read, count(*) AS n FROM dense_docs WHERE source = 'judgment' AND text IS NOT NULL GROUP BY ALL",
 }
+
+_head, _body = SQL["segment_lines"].split("\nSELECT judgment_id, ", 1)
+SQL["unified_docs"] = f"""{_head}, sg AS (SELECT judgment_id, {_body})
+SELECT doc_id, 'statute' AS source, statute, section_no, NULL AS judgment_id, NULL AS case_name, NULL AS court, NULL::DATE AS date, NULL AS rhetorical_unit, md5(trim(concat_ws(' ', nullif(marginal_note, ''), text))) AS text_md5 FROM corpus
+UNION ALL SELECT chunk_id, 'judgment', NULL, NULL, judgment_id, case_name, court, date, rhetorical_unit, md5(sg.text) FROM sg JOIN (SELECT judgment_id, case_name, court, date FROM cleanj) USING (judgment_id)"""

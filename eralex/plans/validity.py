@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eralex.operators import validity
 from eralex.operators.references import key_of
 from eralex.plans.ingest import VALIDATED, clean_judgments
-from eralex.plans.retrieval import _ERA, _HEAD, sql_bm25, sql_dense, validity_topk
+from eralex.plans.retrieval import _ERA, _HEAD, CORPUS, sql_bm25, sql_dense, validity_topk
 from eralex.runtime import table
 
 
@@ -82,15 +82,27 @@ SQL = {
     "fabricated_rate": """WITH c AS (SELECT upper(trim(citing_judgment_id)) AS citing, nullif(upper(trim(cited_judgment_id)), '') AS cited FROM citations WHERE trim(citing_judgment_id) <> ''),
 k AS (SELECT DISTINCT upper(trim(judgment_id)) AS cited FROM judgments)
 SELECT citing, round(avg(CASE WHEN c.cited IS NOT NULL THEN (k.cited IS NULL)::INT END), 6) AS rate, count(c.cited) AS n FROM c LEFT JOIN k ON c.cited = k.cited GROUP BY citing""",
-    "hybrid_topk": _HEAD.replace('corp AS (SELECT ord AS doc_id, statute, section_no, trim(concat_ws(\' \', nullif(marginal_note, \'\'), text)) AS "full" FROM corpus)', 'corp AS (SELECT ord AS doc_id, source, statute, nullif(upper(trim(judgment_id)), \'\') AS jid, coalesce(text, \'\') AS "full" FROM dense_docs)')
-    + sql_bm25("corp", 50)
-    + ", "
-    + sql_dense("corp")
-    + f""", {EDGES},
-seen AS (SELECT query_id, doc_id, score, source, statute, jid, query_date FROM fused JOIN corp USING (doc_id) JOIN items USING (query_id)), {sql_good_law('seen', 'jid', 'query_date')},
-dem AS (SELECT *, round(CASE WHEN coalesce(CASE WHEN source = 'statute' THEN statute <> {_ERA} ELSE NOT good_law END, false) THEN score * 0.05 ELSE score END, 9) AS s2 FROM judged),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, CASE WHEN source = 'statute' THEN 0 ELSE 1 END, doc_id)::INTEGER AS rank FROM dem)
-SELECT query_id, doc_id AS ord, source, good_law, s2 AS score, rank FROM r WHERE rank <= 10""",
+}
+
+_DENSE_HEAD = _HEAD.replace(CORPUS, 'corp AS (SELECT ord AS doc_id, source, statute, nullif(upper(trim(judgment_id)), \'\') AS jid, coalesce(text, \'\') AS "full" FROM dense_docs)')
+
+
+def _retrieve_sql(pool: str, dated: bool = True) -> str:
+    bad = f"coalesce(CASE WHEN source = 'statute' THEN statute <> {_ERA} ELSE NOT good_law END, false)" if dated else "false"
+    dense = sql_dense("corp").replace("row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id)::INTEGER AS rank", "sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id)::INTEGER AS rank").replace("UNION ALL SELECT * FROM dense", "UNION ALL SELECT query_id, doc_id, rank FROM dense")
+    return f"""{_DENSE_HEAD}{sql_bm25("corp", 50)}, {dense}, {EDGES},
+seen AS (SELECT query_id, doc_id, score, source, statute, jid, query_date FROM ({pool}) x JOIN corp USING (doc_id) JOIN items USING (query_id)), {sql_good_law('seen', 'jid', 'query_date')},
+dem AS (SELECT *, round(CASE WHEN {bad} THEN score * 0.05 ELSE score END, 9) AS s2 FROM judged),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, {"CASE WHEN source = 'statute' THEN 0 ELSE 1 END" if dated else "0"}, doc_id)::INTEGER AS rank FROM dem)
+SELECT query_id, doc_id AS ord, source, good_law, s2 AS score, rank FROM r WHERE rank <= 10"""
+
+
+_FUSED = "SELECT query_id, doc_id, score FROM fused"
+SQL |= {
+    "hybrid_topk": _retrieve_sql(_FUSED),
+    "undated_topk": _retrieve_sql(_FUSED, False),
+    "lexical_topk": _retrieve_sql("SELECT query_id, doc_id, score FROM pool"),
+    "semantic_topk": _retrieve_sql("SELECT query_id, doc_id, sim AS score FROM dense"),
 }
 
 

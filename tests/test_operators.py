@@ -101,7 +101,7 @@ def test_ingest(spark):
     df = spark.createDataFrame(rows, "judgment_id string, case_name string, court string, date date, bench array<string>, sections_cited array<struct<statute:string,section_no:string>>, text string, disposal string, ord int")
     assert [r.case_name for r in ingest.clean(df, ["ord"]).collect()] == ["n"]
     bad = {(r.judgment_id, r.ord): r.problems for r in ingest.rejected(df, ["ord"]).collect()}
-    assert bad == {("a", 2): ["duplicate judgment_id"], ("b", 1): ["missing fields: case_name, court"], ("c", 1): ["unknown disposal: odd", "sections_cited must be a non-empty list", "empty text field"], ("d", 1): ["malformed sections_cited entry"]}
+    assert bad == {("a", 2): ["duplicate judgment_id"], ("b", 1): ["no value: case_name, court"], ("c", 1): ["disposal not known: odd", "no section cited", "blank text"], ("d", 1): ["cited section without statute or number"]}
     with pytest.raises(ValueError, match="nope"):
         ingest.require(df, ["nope"])
     assert ingest.clean(df.where("false"), ["ord"]).count() == 0

@@ -97,7 +97,7 @@ def test_streaming_ingest(spark, tmp_path):
     run()
     assert sorted((r.judgment_id, r.ord) for r in spark.read.parquet(clean).collect()) == [("a", 1), ("c", 5)]
     lost = {(r.judgment_id, r.ord): r.problems[0] for r in spark.read.parquet(bad).collect()}
-    assert lost == {("a", 2): "duplicate judgment_id", ("a", 4): "duplicate judgment_id", ("b", 3): "empty text field"}  # every row is on one side
+    assert lost == {("a", 2): "duplicate judgment_id", ("a", 4): "duplicate judgment_id", ("b", 3): "blank text"}  # every row is on one side
 
 
 def test_streaming_references(spark, tmp_path):
