@@ -17,6 +17,7 @@ class Settings:
     embedding_dim: int = 256
     rerank_head: int = 20
     chunk_words: int = 512
+    max_configs: int = 36
     tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json"
 
     @classmethod

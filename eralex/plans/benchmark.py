@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eralex.config import Settings
 from eralex.functions import embedding as E
-from eralex.functions.text import CLAIM_STOPWORDS
+from eralex.functions.text import CLAIM_STOPWORDS, base_section
 from eralex.operators import benchgen, chunking, faithfulness, fusion, metrics, sparse, validity
+from eralex.operators.ingest import seeded_sample
 from eralex.operators.references import key_of
 from eralex.plans.ingest import clean_judgments
 from eralex.plans.mapping import QA, TRUSTED, qa_pairs, section_mapping
@@ -80,34 +82,42 @@ def _lawful(s: SparkSession, d: str, seen: DataFrame, items: DataFrame) -> DataF
     seen = cut(seen.join(items.select("query_id", "query_date"), "query_id"), "seen")
     judged = validity.good_law(seen, _edges(s, d), "jid", "query_date")
     section = F.coalesce(F.col("source") == "statute", F.lit(False))
-    wrong = F.when(section, F.col("statute") != validity.statute_on("query_date")).otherwise(~F.col("good_law"))
-    return judged.withColumn("first", F.when(section, 0).otherwise(1)).withColumn("lawful", validity.demoted(F.col("score"), wrong))
+    own = Settings.read(s)
+    wrong = F.when(section, F.col("statute") != validity.statute_on("query_date", own.cut_over)).otherwise(~F.col("good_law"))
+    return judged.withColumn("first", F.when(section, 0).otherwise(1)).withColumn("lawful", validity.demoted(F.col("score"), wrong, own.demotion))
 
 
 def _doc(key: str) -> Column:
     return F.split_part(F.col(key), F.lit("|"), F.lit(2))
 
 
+GRID = [(c, r, v) for c in ("structure_aware", "fixed_512") for r in ("bm25", "dense", "hybrid") for v in ("on", "off")]
+
+
 def _ablated(s: SparkSession, d: str) -> DataFrame:
     """(chunking, retriever, validity, query_id, doc, statute, rank): all configurations as columns of one result.
 
-    Each chunking is scored once; fusion and demotion derive the others from its pools.
+    Each chunking is scored once; fusion and demotion derive the others from its pools. Of the grid the first
+    ``max_configs`` configurations are kept.
     """
+    own = Settings.read(s)
     b = table(s, d, "bench_items").withColumnRenamed("item_id", "query_id")
     whole = _searched(s, d)
-    fixed = chunking.fixed_windows(whole, "doc_id", "full").select(F.col("chunk_doc_id").alias("doc_id"), "source", "statute", "jid", "full")
+    fixed = chunking.fixed_windows(whole, "doc_id", "full", own.chunk_words).select(F.col("chunk_doc_id").alias("doc_id"), "source", "statute", "jid", "full")
     out = None
-    q = E.vectors(b, ["query_id"], "question").withColumnRenamed("vec", "qv")
+    q = E.vectors(b, ["query_id"], "question", own.embedding_dim).withColumnRenamed("vec", "qv")
     for name, docs in (("structure_aware", whole), ("fixed_512", fixed)):
-        lex = sparse.bm25(docs, "doc_id", "full", b, "query_id", "question")
+        lex = sparse.bm25(docs, "doc_id", "full", b, "query_id", "question", own.pool)
         lex = cut(lex.select("query_id", "doc_id", "score", "rank"), "pool")
-        den = cut(E.search(E.vectors(docs, ["doc_id"], "full"), "doc_id", "vec", q, "query_id", "qv", sparse.POOL).select("query_id", "doc_id", F.col("sim").alias("score"), "rank"), "pool")
-        hyb = validity.rerank(fusion.rrf(lex, den), "score", "doc_id")
+        den = cut(E.search(E.vectors(docs, ["doc_id"], "full", own.embedding_dim), "doc_id", "vec", q, "query_id", "qv", own.pool).select("query_id", "doc_id", F.col("sim").alias("score"), "rank"), "pool")
+        hyb = validity.rerank(fusion.rrf(lex, den, k=own.rrf_k), "score", "doc_id")
         lists = [x.select("query_id", "doc_id", "score", "rank", F.lit(r).alias("retriever")) for r, x in (("bm25", lex), ("dense", den), ("hybrid", hyb))]
         one = reduce(DataFrame.unionByName, lists).join(docs.select("doc_id", "source", "statute", "jid"), "doc_id").withColumn("chunking", F.lit(name))
         out = one if out is None else out.unionByName(one)
     both = _lawful(s, d, out, b).withColumn("validity", F.explode(F.array(F.lit("on"), F.lit("off"))))
     on = F.col("validity") == "on"
+    if len(GRID) > own.max_configs:
+        both = both.where(F.concat_ws("/", "chunking", "retriever", "validity").isin(["/".join(g) for g in GRID[: own.max_configs]]))
     both = both.withColumn("score", F.round(F.when(on, F.col("lawful")).otherwise(F.col("score")), 9))
     w = W.partitionBy("chunking", "retriever", "validity", "query_id").orderBy(F.desc("score"), F.when(on, F.col("first")), "rank")
     return both.withColumn("new", F.row_number().over(w)).where("new <= 10").select("chunking", "retriever", "validity", "query_id", _doc("doc_id").alias("doc"), "statute", F.col("new").alias("rank"))
@@ -117,7 +127,7 @@ def ir_metrics(s: SparkSession, d: str) -> DataFrame:
     """Dated BM25 over sections and judgment chunks, against the evidence."""
     b = table(s, d, "bench_items").withColumnRenamed("item_id", "query_id")
     docs = _searched(s, d)
-    pool = sparse.bm25(docs, "doc_id", "full", b, "query_id", "question").join(docs.select("doc_id", "source", "statute", "jid"), "doc_id").withColumnRenamed("rank", "prior")
+    pool = sparse.bm25(docs, "doc_id", "full", b, "query_id", "question", Settings.read(s).pool).join(docs.select("doc_id", "source", "statute", "jid"), "doc_id").withColumnRenamed("rank", "prior")
     shown = _lawful(s, d, pool, b).withColumn("lawful", F.round("lawful", 6))
     return metrics.ranking(validity.rerank(shown, "lawful", "first", "prior").withColumn("doc", _doc("doc_id")), _gold(s, d), 10)
 
@@ -158,11 +168,29 @@ def era_accuracy(s: SparkSession, d: str) -> DataFrame:
     return _era_scores(s, d).groupBy("mode").agg(F.round(F.avg("ok"), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
+def _exact_scores(s: SparkSession, d: str) -> DataFrame:
+    """Whether the first result is the very section of the gold, naive and dated, per item whose first evidence is a section."""
+    from eralex.plans.retrieval import naive_topk
+
+    gold = F.get("gold_evidence_ids", F.lit(0))
+    b = table(s, d, "bench_items").where("is_answerable and applicable_era <> ''").select(F.col("item_id").alias("query_id"), F.split_part(gold, F.lit("-"), F.lit(1)).alias("gold_statute"), base_section(F.split_part(gold, F.lit("-"), F.lit(2))).alias("gold_section"))
+    b = b.where(F.col("gold_statute").isin("IPC", "BNS"))
+    c = table(s, d, "corpus").select("ord", base_section("section_no").alias("section"))
+    hit = lambda df: df.where("rank = 1").join(c, "ord").select("query_id", "statute", "section")
+    right = F.coalesce((F.col("statute") == F.col("gold_statute")) & (F.col("section") == F.col("gold_section")), F.lit(False)).cast("int")
+    one = lambda df, m: b.join(hit(df), "query_id", "left").select("query_id", F.lit(m).alias("mode"), right.alias("ok"))
+    return one(naive_topk(s, d), "naive").unionByName(one(validity_topk(s, d), "validity"))
+
+
+def exact_accuracy(s: SparkSession, d: str) -> DataFrame:
+    return _exact_scores(s, d)
+
+
 def baseline_vs_validity(s: SparkSession, d: str) -> DataFrame:
-    """Accuracy of both modes and their difference in one row."""
-    e = _era_scores(s, d)
+    """Exact first hits, section and statute, of both modes and their difference in one row."""
+    e = _exact_scores(s, d)
     of = lambda m: F.avg(F.when(F.col("mode") == m, F.col("ok")))
-    return e.agg(F.round(of("naive"), 6).alias("naive"), F.round(of("validity"), 6).alias("validity"), F.round(of("validity") - of("naive"), 6).alias("delta"))
+    return e.agg(F.round(of("naive"), 6).alias("naive"), F.round(of("validity"), 6).alias("validity"), F.round(of("validity") - of("naive"), 6).alias("delta"), F.count(F.when(F.col("mode") == "naive", 1)).alias("n"))
 
 
 def _flagged(s: SparkSession, d: str) -> DataFrame:
@@ -214,6 +242,16 @@ def citation_rates(s: SparkSession, d: str) -> DataFrame:
     return faithfulness.answer_rates(_answers(s, d).join(n, "answer_id", "left"), _shown(s, d))
 
 
+SAMPLE = 30
+
+
+def sampled_rates(s: SparkSession, d: str) -> DataFrame:
+    """The rates over a seeded sample of the answers."""
+    n = validity_notices(s, d).select(F.col("query_id").alias("answer_id"), F.col("notices").alias("notice"))
+    sample = seeded_sample(_answers(s, d), "answer_id", SAMPLE)
+    return faithfulness.answer_rates(sample.join(n, "answer_id", "left"), _shown(s, d))
+
+
 def prompts(s: SparkSession, d: str) -> DataFrame:
     r = _shown(s, d).withColumnRenamed("answer_id", "query_id").withColumnRenamed("n", "rank")
     q = table(s, d, "bench_items").select(F.col("item_id").alias("query_id"), "question")
@@ -231,8 +269,8 @@ def trap_false_answers(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bench_slices, precedent_items, multihop_items, trap_items, item_problems, slice_counts, ir_metrics, ablation_grid, ablation_ci, ablation_significance, era_accuracy, baseline_vs_validity, bootstrap_ci,
-        paired_bootstrap, holm, claim_support, claim_faithfulness, citation_rates, prompts, trap_false_answers,
+        bench_slices, precedent_items, multihop_items, trap_items, item_problems, slice_counts, ir_metrics, ablation_grid, ablation_ci, ablation_significance, era_accuracy, exact_accuracy, baseline_vs_validity, bootstrap_ci,
+        paired_bootstrap, holm, claim_support, claim_faithfulness, citation_rates, sampled_rates, prompts, trap_false_answers,
     )
 }
 
@@ -251,32 +289,46 @@ _CI = f"""rk AS (SELECT *, row_number() OVER (PARTITION BY {{by}} ORDER BY mean,
 SELECT {{by}}, round(max(obs), 6) AS mean, round(max(CASE WHEN k = {int((1 - 0.95) / 2 * REPS)} THEN mean END), 6) AS low, round(max(CASE WHEN k = {int((1 - (1 - 0.95) / 2) * REPS) - 1} THEN mean END), 6) AS high, max(n) AS n FROM rk GROUP BY {{by}}"""
 
 
+#: Sections of corpus, then the rest of dense_docs, with ids that lead with the order.
+_SRCH = """srch AS (SELECT '0' || lpad(ord::VARCHAR, 12, '0') || '|' || doc_id AS doc_id, 'statute' AS source, coalesce(statute, '') AS statute, NULL::VARCHAR AS jid, trim(concat_ws(' ', nullif(marginal_note, ''), text)) AS "full" FROM corpus
+  UNION ALL SELECT '1' || lpad(ord::VARCHAR, 12, '0') || '|' || doc_id, source, coalesce(statute, ''), nullif(upper(trim(judgment_id)), ''), coalesce(text, '') FROM dense_docs
+  WHERE NOT coalesce(source = 'statute', false) OR NOT coalesce(doc_id IN (SELECT doc_id FROM corpus WHERE doc_id IS NOT NULL), false))"""
+
+
+def _lawful_sql(seen: str) -> str:
+    """CTEs up to ``lw``: ``seen`` (query_id, query_date, jid, source, statute, score) with lawful and first."""
+    return f"""{sql_good_law(seen, "jid", "query_date")},
+lw AS (SELECT *, CASE WHEN coalesce(source = 'statute', false) THEN 0 ELSE 1 END AS first,
+  CASE WHEN coalesce(CASE WHEN coalesce(source = 'statute', false) THEN statute <> {_ERA} ELSE NOT good_law END, false) THEN score * 0.05 ELSE score END AS lawful FROM judged)"""
+
+
 def _ablation_sql() -> str:
     """CTEs up to ``scored``: the whole grid per item."""
     sp = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-    base = f"""c0 AS (SELECT ord, doc_id, statute, trim(concat_ws(' ', nullif(marginal_note, ''), text)) AS "full" FROM corpus),
-c1 AS (SELECT *, regexp_extract_all("full", '[^{sp}]+') AS ws FROM c0),
-fx AS (SELECT ord, doc_id, statute, "full" FROM c1 WHERE len(ws) <= 512 UNION ALL
-  SELECT ord, doc_id || '::w' || k, statute, array_to_string(ws[k * 512 + 1:k * 512 + 512], ' ') FROM (SELECT *, unnest(range((len(ws) - 1) // 512 + 1)) AS k FROM c1 WHERE len(ws) > 512))"""
+    base = f"""{EDGES}, {_SRCH},
+c1 AS (SELECT *, regexp_extract_all("full", '[^{sp}]+') AS ws FROM srch),
+fx AS (SELECT doc_id, source, statute, jid, "full" FROM c1 WHERE len(ws) <= 512 UNION ALL
+  SELECT doc_id || '::w' || k, source, statute, jid, array_to_string(ws[k * 512 + 1:k * 512 + 512], ' ') FROM (SELECT *, unnest(range((len(ws) - 1) // 512 + 1)) AS k FROM c1 WHERE len(ws) > 512))"""
     out = f"WITH {ITEMS}, {base}"
     union = []
-    for tag, src in (("s", "c0"), ("f", "fx")):
-        ctes = f"corp AS (SELECT lpad(ord::VARCHAR, 12, '0') || '|' || doc_id AS doc_id, statute, \"full\" FROM {src}), " + sql_bm25("corp", 50) + ", " + sql_dense("corp")
+    for tag, src in (("s", "srch"), ("f", "fx")):
+        ctes = f"corp AS (SELECT doc_id, source, statute, jid, \"full\" FROM {src}), " + sql_bm25("corp", 50) + ", " + sql_dense("corp")
         ctes = ctes.replace("row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id)::INTEGER AS rank", "sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id)::INTEGER AS rank").replace("UNION ALL SELECT * FROM dense", "UNION ALL SELECT query_id, doc_id, rank FROM dense")
         for name in "corp toks size post dfs idfs qt sc hits few pads pool dv0 dv qv0 qv sims allsims dense fused".split():
             ctes = re.sub(rf"(?<![\w.'])\b{name}\b(?=( AS (MATERIALIZED )?\()|[ ,.;)\n]|$)", f"{name}_{tag}", ctes)
         out += ", " + ctes
         chunk = {"s": "structure_aware", "f": "fixed_512"}[tag]
         for r, x in (("bm25", f"SELECT query_id, doc_id, score, rank FROM pool_{tag}"), ("dense", f"SELECT query_id, doc_id, sim AS score, rank FROM dense_{tag}"), ("hybrid", f"SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused_{tag}")):
-            union.append(f"SELECT '{chunk}' AS chunking, '{r}' AS retriever, x.*, statute FROM ({x}) x JOIN corp_{tag} USING (doc_id)")
+            union.append(f"SELECT '{chunk}' AS chunking, '{r}' AS retriever, x.*, source, statute, jid FROM ({x}) x JOIN corp_{tag} USING (doc_id)")
     return (
         out
-        + ", grid0 AS ("
+        + ", grid0 AS MATERIALIZED (SELECT g.*, items.query_date, items.applicable_era FROM ("
         + " UNION ALL ".join(union)
-        + f"""),
-grid1 AS (SELECT *, unnest(['on', 'off']) AS validity FROM grid0 JOIN items USING (query_id)),
-grid2 AS (SELECT *, round(CASE WHEN validity = 'on' AND statute <> {_ERA} THEN score * 0.05 ELSE score END, 9) AS s2 FROM grid1),
-grid3 AS (SELECT *, row_number() OVER (PARTITION BY chunking, retriever, validity, query_id ORDER BY s2 DESC, rank) AS r2, split_part(doc_id, '|', 2) AS doc FROM grid2),
+        + f""") g JOIN items USING (query_id)),
+{_lawful_sql("grid0")},
+grid1 AS (SELECT *, unnest(['on', 'off']) AS validity FROM lw),
+grid2 AS (SELECT *, round(CASE WHEN validity = 'on' THEN lawful ELSE score END, 9) AS s2 FROM grid1),
+grid3 AS (SELECT *, row_number() OVER (PARTITION BY chunking, retriever, validity, query_id ORDER BY s2 DESC, CASE WHEN validity = 'on' THEN first END, rank) AS r2, split_part(doc_id, '|', 2) AS doc FROM grid2),
 rel AS (SELECT g.*, coalesce(g.applicable_era, '') AS era, list_contains(b.gold_evidence_ids, doc) OR (chunking = 'fixed_512' AND list_contains(b.gold_evidence_ids, split_part(doc, '::w', 1))) AS rel
   FROM grid3 g JOIN bench_items b ON g.query_id = b.item_id WHERE r2 <= 10 AND b.is_answerable AND len(b.gold_evidence_ids) > 0),
 scored AS MATERIALIZED (SELECT chunking, retriever, validity, query_id, max((rel AND r2 <= 5)::INT) AS hit5, max((rel AND r2 <= 10)::INT) AS hit10, coalesce(1.0 / min(CASE WHEN rel THEN r2 END), 0) AS rr,
@@ -307,6 +359,15 @@ _ERASC = (
 es AS (SELECT 'naive' AS mode, (statute = applicable_era)::INT AS ok FROM pool JOIN corp USING (doc_id) JOIN b USING (query_id) WHERE rank = 1 UNION ALL SELECT 'validity', (statute = applicable_era)::INT FROM top JOIN b USING (query_id) WHERE rank = 1)"""
 )
 
+_BASE = "split_part(upper(replace({}, ' ', '')), '(', 1)"
+_EXACT = (
+    _TOP
+    + f""", b AS (SELECT item_id AS query_id, split_part(gold_evidence_ids[1], '-', 1) AS gs, {_BASE.format("split_part(gold_evidence_ids[1], '-', 2)")} AS gn FROM bench_items WHERE is_answerable AND applicable_era <> ''),
+g AS (SELECT * FROM b WHERE gs IN ('IPC', 'BNS')),
+fr AS (SELECT 'naive' AS mode, query_id, statute, section_no FROM pool JOIN corp USING (doc_id) WHERE rank = 1 UNION ALL SELECT 'validity', query_id, statute, section_no FROM top WHERE rank = 1),
+es AS (SELECT g.query_id, m.mode, coalesce(fr.statute = gs AND {_BASE.format("fr.section_no")} = gn, false)::INT AS ok FROM g CROSS JOIN (VALUES ('naive'), ('validity')) m(mode) LEFT JOIN fr ON fr.query_id = g.query_id AND fr.mode = m.mode)"""
+)
+
 SQL = {
     "bench_slices": f"""WITH {QA}, it AS (SELECT 'item_' || id AS item_id, 'transition' AS slice, query AS question, query_date, gold_statute || ' Section ' || gold_section_no AS gold_answer, gold_statute || '-' || gold_section_no AS gold, gold_statute AS applicable_era FROM qa
   UNION ALL SELECT 'item_' || id || '_stat', 'statutory', query, query_date, gold_statute || ' Section ' || gold_section_no, gold_statute || '-' || gold_section_no, gold_statute FROM qa WHERE ends_with(id, '_post'))
@@ -327,9 +388,12 @@ UNION ALL SELECT item_id, 'trap item with evidence' FROM b WHERE slice = 'trap'
 UNION ALL SELECT item_id, 'no gold evidence' FROM b WHERE slice <> 'trap' AND coalesce(len(gold_evidence_ids), 0) = 0
 UNION ALL SELECT item_id, 'duplicate item_id' FROM b GROUP BY item_id HAVING count(*) > 1""",
     "slice_counts": "SELECT d.slice, count(item_id) AS n, count(*) FILTER (WHERE is_answerable) AS n_answerable FROM (SELECT unnest(['statutory', 'transition', 'precedent', 'trap', 'multihop', 'unknown']) AS slice) d LEFT JOIN bench_items b ON b.slice = d.slice GROUP BY d.slice",
-    "ir_metrics": _TOP
-    + """, g AS (SELECT item_id AS query_id, gold_evidence_ids AS gold FROM bench_items WHERE is_answerable AND len(gold_evidence_ids) > 0),
-r AS (SELECT g.query_id, count(DISTINCT c.doc_id) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM g JOIN top t USING (query_id) JOIN corpus c ON c.ord = t.doc_id WHERE list_contains(gold, c.doc_id) GROUP BY ALL)
+    "ir_metrics": f"WITH {EDGES}, {ITEMS}, {_SRCH}, "
+    + sql_bm25("srch", 50)
+    + f""", seen AS (SELECT query_id, doc_id, score, rank AS prior, source, statute, jid, query_date FROM pool JOIN srch USING (doc_id) JOIN items USING (query_id)), {_lawful_sql("seen")},
+top AS (SELECT *, split_part(doc_id, '|', 2) AS doc FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lawful, 6) DESC, first, prior) AS rank FROM lw) WHERE rank <= 10),
+g AS (SELECT item_id AS query_id, gold_evidence_ids AS gold FROM bench_items WHERE is_answerable AND len(gold_evidence_ids) > 0),
+r AS (SELECT g.query_id, count(DISTINCT t.doc) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM g JOIN top t USING (query_id) WHERE list_contains(gold, t.doc) GROUP BY ALL)
 SELECT query_id, round(coalesce(hits, 0) / len(gold), 6) AS recall, round(coalesce(1.0 / first, 0.0), 6) AS mrr, round(coalesce(dcg, 0.0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(len(gold), 10) + 1)]), 6) AS ndcg FROM g LEFT JOIN r USING (query_id)""",
     "ablation_grid": _GRID
     + """, lg AS (SELECT chunking, retriever, validity, unnest(['hit5', 'hit10', 'rr', 'dcg', 'era_ok']) AS metric, unnest([hit5::DOUBLE, hit10::DOUBLE, rr::DOUBLE, dcg::DOUBLE, era_ok::DOUBLE]) AS x FROM scored)
@@ -342,7 +406,8 @@ SELECT chunking, retriever, validity, metric, round(avg(x), 6) AS mean, round(st
 hl AS (SELECT *, 0.05 / (count(*) OVER () - (row_number() OVER (ORDER BY p, test) - 1)) AS th FROM pv)
 SELECT test, p, round(th, 6) AS threshold, bool_and(p <= th) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING) AS significant FROM hl""",
     "era_accuracy": _ERASC + " SELECT mode, round(avg(ok), 6) AS accuracy, count(*) AS n FROM es GROUP BY mode",
-    "baseline_vs_validity": _ERASC + " SELECT round(avg(ok) FILTER (WHERE mode = 'naive'), 6) AS naive, round(avg(ok) FILTER (WHERE mode = 'validity'), 6) AS validity, round(avg(ok) FILTER (WHERE mode = 'validity') - avg(ok) FILTER (WHERE mode = 'naive'), 6) AS delta FROM es",
+    "exact_accuracy": _EXACT + " SELECT * FROM es",
+    "baseline_vs_validity": _EXACT + " SELECT round(avg(ok) FILTER (WHERE mode = 'naive'), 6) AS naive, round(avg(ok) FILTER (WHERE mode = 'validity'), 6) AS validity, round(avg(ok) FILTER (WHERE mode = 'validity') - avg(ok) FILTER (WHERE mode = 'naive'), 6) AS delta, count(*) FILTER (WHERE mode = 'naive') AS n FROM es",
     "bootstrap_ci": "WITH sc0 AS (SELECT rater, doc_id AS o, max(flagged) AS v FROM review_labels WHERE flagged IS NOT NULL GROUP BY ALL), " + _BOOT.format(by="rater") + ", " + _CI.format(by="rater"),
     "paired_bootstrap": "WITH sc0 AS (SELECT 'all' AS \"set\", doc_id AS o, max(flagged) - min(flagged) AS v FROM review_labels WHERE flagged IS NOT NULL GROUP BY doc_id), "
     + _BOOT.format(by='"set"')
@@ -358,7 +423,7 @@ SELECT test, p, round(th, 6) AS threshold, bool_and(p <= th) OVER (ORDER BY p, t
 }
 
 
-def _rates_sql() -> tuple[str, str]:
+def _rates_sql() -> tuple[str, str, str]:
     from eralex.plans.validity import SQL as V
 
     notices = V["validity_notices"]
@@ -372,7 +437,8 @@ SELECT count(*) AS n, round(avg(good::INT), 6) AS citation_accuracy, round(avg((
     prompt = f"""{full}, pr AS (SELECT answer_id AS query_id, string_agg('[Doc ' || n || '] ' || statute || ' Section ' || section_no || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS docs FROM sh GROUP BY ALL),
 pq AS (SELECT pr.query_id, 'Documents:' || chr(10) || chr(10) || docs || CASE WHEN notices IS NOT NULL THEN chr(10) || chr(10) || 'SYSTEM-VERIFIED VALIDITY NOTICES:' || chr(10) || notices ELSE '' END || chr(10) || chr(10) || 'Question: ' || question AS p FROM pr LEFT JOIN nt USING (query_id) JOIN items USING (query_id))
 SELECT query_id, length(p)::INTEGER AS n_chars, md5(p) AS prompt_md5 FROM pq"""
-    return rates, prompt
+    sampled = rates.replace("FROM ans a LEFT JOIN nt", f"FROM (SELECT * FROM ans ORDER BY md5(answer_id || ':42'), answer_id LIMIT {SAMPLE}) a LEFT JOIN nt")
+    return rates, prompt, sampled
 
 
-SQL["citation_rates"], SQL["prompts"] = _rates_sql()
+SQL["citation_rates"], SQL["prompts"], SQL["sampled_rates"] = _rates_sql()
