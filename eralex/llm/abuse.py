@@ -8,7 +8,7 @@ choosing which passages of a flagged document carry the flag; passages of unflag
 documents are all negative. Learning rates are per coordinate, and the L1 term leaves few weights,
 which are broadcast sparsely (at most 2^20 of them whatever the input).
 
-Fitting uses at most ``LABELLED`` documents and ``PASSAGES`` passages (by hash order);
+Fitting uses at most ``LABELLED`` documents of ``CHARS`` characters in all and ``PASSAGES`` passages (by hash order);
 scoring covers every document and its whole text in one scan without a shuffle.
 
 Defined results
@@ -28,10 +28,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABELLED, PASSAGES = 8_000, 40_000
+LABELLED, CHARS, PASSAGES = 8_000, 64_000_000, 40_000
 #: Least share of new features in a passage that carries a flag.
 NOVEL = 0.4
 BITS = 20
@@ -325,8 +326,9 @@ def labels(votes: DataFrame, doc_id: str, flag: str) -> DataFrame:
 def fit(documents: DataFrame, doc_id: str, text: str, votes: DataFrame, votes_id: str, flag: str, bound: int = LABELLED) -> Model:
     picked = labels(votes, votes_id, flag).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(picked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(bound)
+    read = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))  # over ``bound`` rows
     texts, ys = [], []
-    for r in rows.toLocalIterator():
+    for r in rows.withColumn("__read", read).where(F.col("__read") <= CHARS).toLocalIterator():
         texts.append(r["text"] or "")
         ys.append(r["y"])
     return train(texts, ys)

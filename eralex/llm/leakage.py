@@ -1,12 +1,14 @@
 """Evaluation texts leaking into training text, by suffix arrays over training shards.
 
-Each shard of training text becomes one array of word numbers, and the suffixes that can
-begin a match are sorted. Every suffix of every test passage is looked up by binary search;
-hits on one diagonal are chained into the longest verbatim match with its places.
-
-Words are numbered by the vocabulary of the test passages, all others get 0. A suffix with
-a 0 among its first ``n`` words cannot match any test suffix and is left out of the
-array, so sorting costs little and the result is the same. Shards are the Arrow batches of the
+Each shard of training text becomes one array of word numbers, and its suffix array is built by
+prefix doubling: suffixes are ranked by their first word, then by pairs of ranks, until whole suffixes are
+in order. Every suffix of every test passage is looked up by binary search; the suffixes that share
+its first ``n`` words are neighbours in the array, and hits on one diagonal are one longest verbatim match with
+its places.
+
+Words are numbered by the vocabulary of the test passages, all others get 0 and end a suffix. A stretch of
+fewer than ``n`` known words cannot hold a match and is left out of the array, so sorting
+costs little and the result is the same. Shards are the Arrow batches of the
 scan: the training text is read once and never shuffled. The test set is the stated query
 set; it is broadcast in blocks of ``block_words`` words, which bounds its memory.
 
@@ -48,21 +50,16 @@ class TestSuffixes:
             ids += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words] + [0]
             owner += [len(self.names) - 1] * (len(words) + 1)
         self.ids, self.owner, self.start = np.array(ids, np.uint32), np.array(owner, np.int64), np.array(start, np.int64)
-        places = suffixes(self.ids, n)
-        keys = prefix_keys(self.ids, places, n)
-        order = np.argsort(keys, kind="stable")
-        self.places = places[order]
-        self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.places = suffix_array(self.ids, n)
+        self.keys, self.first, self.count = np.unique(prefix_keys(self.ids, self.places, n), return_index=True, return_counts=True)
 
     def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in ids, place in the passages, words) of each longest verbatim match."""
         none = (np.zeros(0, np.int64),) * 3
-        places = suffixes(ids, self.n)
+        places = suffix_array(ids, self.n)
         if not len(places) or not len(self.keys):
             return none
         keys = prefix_keys(ids, places, self.n)
-        order = np.argsort(keys, kind="stable")  # the shard's suffix array
-        keys, places = keys[order], places[order]
         lo, hi = np.searchsorted(keys, self.keys), np.searchsorted(keys, self.keys, "right")
         p, t = [], []
         for j in np.flatnonzero(hi > lo):
@@ -81,12 +78,33 @@ class TestSuffixes:
         return p[first], t[first], np.diff(np.append(first, len(p))) + self.n - 1
 
 
-def suffixes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Places whose next n words are all known."""
-    if len(ids) < n:
+def suffix_array(ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the suffixes of at least n known words, in the order of their words up to the next unknown one."""
+    known = np.concatenate(([False], ids != 0, [False]))
+    turns = np.flatnonzero(known[1:] != known[:-1])
+    start, end = turns[::2], turns[1::2]
+    long = end - start >= n
+    start, end = start[long], end[long]
+    if not len(start):
         return np.zeros(0, np.int64)
-    unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-    return np.flatnonzero(unknown[n:] == unknown[:-n])
+    size = end - start
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    places = np.repeat(start, size) + inner
+    left = np.repeat(size, size) - inner  # words up to the end of the stretch
+    rank = np.zeros(len(ids) + 1, np.int64)
+    _, first = np.unique(ids[places], return_inverse=True)
+    rank[places] = first + 1
+    k, top, most = 1, int(first.max()) + 2, int(size.max())
+    while k < most:
+        pair = rank[places] * top + np.where(left > k, rank[np.minimum(places + k, len(ids))], 0)
+        distinct, both = np.unique(pair, return_inverse=True)
+        rank[places] = both + 1
+        top = len(distinct) + 1
+        if len(distinct) == len(places):
+            break
+        k *= 2
+    order = np.argsort(rank[places], kind="stable")
+    return places[order][left[order] >= n]
 
 
 def prefix_keys(ids: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:

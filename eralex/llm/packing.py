@@ -139,7 +139,11 @@ def pack(counts: DataFrame, capacities: dict[str, int], windows: int = 64) -> Da
     counts: (doc_id, n_tokens); written once, because every capacity reads it and the
     number of blocks depends on its total.
     """
-    counts = cut(counts, "token-counts")
+    # equal rows are told apart by their number among themselves, so a container holds the same documents however the table lies
+    same = counts.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("c"))
+    tens = same.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / 1_000))))
+    each = F.sequence(F.col("k") * 1_000, F.least(F.col("k") * 1_000 + 999, F.col("c") - 1))
+    counts = cut(tens.select("doc_id", "n_tokens", F.explode(each).alias("row")), "token-counts")
     total = counts.agg(F.sum("n_tokens")).head()[0] or 0
     sized = None
     for name, cap in sorted(capacities.items()):
@@ -147,7 +151,7 @@ def pack(counts: DataFrame, capacities: dict[str, int], windows: int = 64) -> Da
         pieces = F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / cap)).cast("array<int>")
         one = (
             counts.where("n_tokens > 0")
-            .select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row"), F.explode(pieces).alias("piece_no"))
+            .select("doc_id", "n_tokens", "row", F.explode(pieces).alias("piece_no"))
             .select(
                 F.lit(name).alias("pack"),
                 F.lit(cap).alias("capacity"),
@@ -161,7 +165,7 @@ def pack(counts: DataFrame, capacities: dict[str, int], windows: int = 64) -> Da
         sized = one if sized is None else sized.unionByName(one)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece_no"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "piece_no", "n_tokens"], kind="stable").reset_index(drop=True)
         of = [0] * len(pdf)
         for j, part in enumerate(fill(pdf["n_tokens"].tolist(), int(pdf["capacity"].iloc[0]))):
             for i in part:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -30,6 +31,18 @@ def test_longest_match_and_places(spark):
     assert sorted(got) == [(1, 0, 6), (8, 0, 4)]
 
 
+def test_suffix_array_is_in_order():
+    import numpy as np
+
+    r = random.Random(3)
+    for size, kinds in ((200, 3), (500, 2), (300, 40), (0, 2), (30, 1)):
+        ids = np.array([r.choice(range(kinds + 1)) if kinds > 1 else 1 for _ in range(size)], np.uint32)
+        whole = lambda p: tuple(itertools.takewhile(bool, ids[p:].tolist()))
+        want = sorted(whole(p) for p in range(size) if len(whole(p)) >= 4)
+        got = L.suffix_array(ids, 4).tolist()
+        assert [whole(p) for p in got] == want and len(set(got)) == len(got)
+
+
 def test_empty_sets(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id int, text string")
     assert L.find_leaks(df, "doc_id", "text", [], 2).count() == 0

@@ -46,6 +46,17 @@ def test_operator(spark):
     assert sum(r["pack"] == "s" and r.doc_id == 0 for r in got) == 2 and not any(r.doc_id in (901, 902) for r in got)
 
 
+def test_containers_do_not_depend_on_the_layout(spark):
+    r = random.Random(2)
+    rows = [(r.randint(0, 60), r.randint(1, 90)) for _ in range(400)]
+    runs = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id int, n_tokens long").repartition(parts)
+        runs.append(sorted(tuple(x) for x in P.pack(df, {"s": 100}, windows=8).collect()))
+        rows.reverse()
+    assert runs[0] == runs[1] and len(runs[0]) == 400
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id int, text string")
     assert P.pack(P.token_counts(df, "doc_id", "text"), {"s": 100}).count() == 0
