@@ -93,6 +93,15 @@ def bootstrap_ci(scores: DataFrame, by: list[str], order: str, value: str, reps:
     return r.groupBy(*by).agg(F.round(F.max("obs"), 6).alias("mean"), F.round(F.max(F.when(F.col("k") == low, F.col("mean"))), 6).alias("low"), F.round(F.max(F.when(F.col("k") == high, F.col("mean"))), 6).alias("high"), F.max("n").alias("n"))
 
 
+def paired_differences(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, diff) of two configurations scored on the same items; items that only one of them has are an error."""
+    both = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b"), F.lit(True).alias("there")), key, "full")
+    out = both.select(key, (F.col("a") - F.col("b")).alias("diff"))
+    if not both.where("there is null or a is null").isEmpty():
+        raise ValueError("the two configurations were not scored on the same items")
+    return out
+
+
 def paired_bootstrap(diffs: DataFrame, by: list[str], order: str, value: str, reps: int) -> DataFrame:
     """(by..., diff, p): share of replicates at least as far from the observed difference as that is from 0."""
     r = replicates(diffs, by, order, value, reps)

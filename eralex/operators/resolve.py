@@ -25,17 +25,20 @@ def name_index(judgments: DataFrame) -> DataFrame:
 def resolve(names: DataFrame, index: DataFrame) -> DataFrame:
     """names: (name, year), distinct -> (name, year, jid, tier); jid is null where no or several judgments fit.
 
-    If one name contains the other, it contains every gram of the shorter. Each name
-    therefore offers its first gram by hash as a needle and all its grams as hay, and pairs meet
-    on (year, gram) instead of on the year alone.
+    If one name contains the other, it contains every gram of the shorter. Each name therefore
+    offers one gram as a needle and all its grams as hay, and pairs meet on (year, gram). The needle is the gram
+    that the fewest names of the year hold, so "State of" brings nobody together.
     """
     exact = names.join(index, ["name", "year"]).withColumn("tier", F.lit(1))
     rest = names.join(index, ["name", "year"], "left_anti")
-    first = lambda g: F.element_at(F.array_sort(F.transform(g, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("g")))), 1)["g"]
-    a = rest.withColumn("grams", _grams(F.col("name"))).where(F.size("grams") > 0)
-    b = index.withColumn("grams", _grams(F.col("name"))).where(F.size("grams") > 0).withColumnRenamed("name", "known")
-    in_known = a.select("name", "year", first(F.col("grams")).alias("g")).join(b.select("known", "year", "jid", F.explode("grams").alias("g")), ["year", "g"]).where(F.col("known").contains(F.col("name")))
-    in_name = a.select("name", "year", F.explode("grams").alias("g")).join(b.select("known", "year", "jid", first(F.col("grams")).alias("g")), ["year", "g"]).where(F.col("name").contains(F.col("known")))
+    a = rest.withColumn("g", F.explode(_grams(F.col("name"))))
+    b = index.withColumn("g", F.explode(_grams(F.col("name")))).withColumnRenamed("name", "known")
+    held_by_names, held_by_known = a.groupBy("year", "g").agg(F.count("*").alias("n")), b.groupBy("year", "g").agg(F.count("*").alias("n"))
+    # a name without a gram that the other side holds fits nothing, and falls out here
+    needle = lambda side, held, *own: side.join(held, ["year", "g"]).groupBy("year", *own).agg(F.min(F.struct("n", "g")).alias("x")).select("year", *own, "x.g")
+    lost = a.join(held_by_known, ["year", "g"], "left_anti").select("name", "year").distinct()  # has a gram that no known name has
+    in_known = needle(a, held_by_known, "name").join(lost, ["name", "year"], "left_anti").join(b.select("known", "year", "jid", "g"), ["year", "g"]).where(F.col("known").contains(F.col("name")))
+    in_name = a.select("name", "year", "g").join(needle(b, held_by_names, "known", "jid"), ["year", "g"]).where(F.col("name").contains(F.col("known")))
     fits = in_known.select("name", "year", "jid").unionByName(in_name.select("name", "year", "jid")).groupBy("name", "year").agg(F.countDistinct("jid").alias("n"), F.min("jid").alias("jid"))
     fuzzy = rest.join(fits.where("n = 1"), ["name", "year"], "left").select("name", "year", "jid", F.when(F.col("jid").isNotNull(), 2).otherwise(0).alias("tier"))
     return exact.select("name", "year", "jid", "tier").unionByName(fuzzy)

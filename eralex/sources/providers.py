@@ -64,6 +64,41 @@ class Busy(Exception):
         self.wait = wait
 
 
+Fetcher = Callable[[str], bytes]
+
+
+def fetch_with(df: DataFrame, make: Callable[[], Fetcher], keep: list[str], address: str, tries: int = 1, pause: float = 3.0, batch: int = 32) -> DataFrame:
+    """The columns ``keep``, content and error of each address: the adapter for files that a service holds.
+
+    A fetcher is given by the caller and made once per worker; it raises ``Busy`` to be asked again. A
+    failure is a row with its error, so one missing file never ends a run.
+    """
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
+
+    def one(fetch: Fetcher, where: str | None) -> tuple[bytes | None, str | None]:
+        if not where:
+            return None, "no address"
+        for i in range(tries):
+            try:
+                return fetch(where), None
+            except Busy as e:
+                if i + 1 < tries:
+                    time.sleep(pause * 2**i if e.wait is None else e.wait)
+            except Exception as e:  # noqa: BLE001
+                return None, f"{type(e).__name__}: {e}"
+        return None, "busy"
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fetch = make()
+        for whole in it:
+            for k in range(0, len(whole), batch):  # a few files in memory at a time
+                b = whole.iloc[k : k + batch]
+                got = [one(fetch, x) for x in b[address]]
+                yield b[keep].assign(content=[x for x, _ in got], error=[e for _, e in got])
+
+    return df.select(*dict.fromkeys([*keep, address])).mapInPandas(run, schema)
+
+
 def generate_with(df: DataFrame, make: Callable[[], Generator], keep: list[str], prompt: str, tries: int = 5, pause: float = 3.0) -> DataFrame:
     """The columns ``keep`` and the answer; null after the last try. Waits double from try to try unless told."""
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("answer", T.StringType())])

@@ -106,9 +106,11 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
     return both.where("right is not null").select("path", "pair", "left", "right")
 
 
-def documents_text(spark: SparkSession, pattern: str, extract: Callable[[bytes], str | None], tasks: int | None = None) -> DataFrame:
+def documents_text(spark: SparkSession, pattern: str, extract: Callable[[bytes], str | None], tasks: int | None = None, done=None) -> DataFrame:
     """(path, text) of binary files by a given extractor; null where it fails.
 
+    done: an accumulator that grows by one with each file, to watch the progress of a long run.
+
     The extractor is any parser the cluster has; ``bounded`` gives it a time limit. Files are
     spread over ``tasks`` tasks, as one slow file must not hold up its neighbours.
     """
@@ -123,11 +125,20 @@ def documents_text(spark: SparkSession, pattern: str, extract: Callable[[bytes],
                     out.append((path, extract(content)))
                 except Exception:  # noqa: BLE001
                     out.append((path, None))
+                if done is not None:
+                    done.add(1)
             yield pd.DataFrame(out, columns=["path", "text"])
 
     return files.mapInPandas(run, "path string, text string")
 
 
+def document_pages(spark: SparkSession, pattern: str, extract: Callable[[bytes], str | None], start_page: int = 0, **how) -> DataFrame:
+    """(path, text) of documents whose extractor divides pages by form feeds: from ``start_page`` on, without footnotes."""
+    from eralex.operators.segment import clean_pages
+
+    return documents_text(spark, pattern, extract, **how).select("path", clean_pages("text", start_page).alias("text"))
+
+
 def bounded(command: list[str], seconds: float) -> Callable[[bytes], str | None]:
     """An extractor that pipes bytes through a child process and kills it after the time limit."""
     import subprocess

@@ -11,10 +11,34 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_split(df: DataFrame, condition: Column, kept: str, rest: str) -> None:
-    """Rows that meet the condition and the others, each to its folder; null counts as not met."""
+    """Rows that meet the condition and the others, each to its folder; null counts as not met. Without other rows theirs is not written."""
     marked = df.withColumn("__kept", F.coalesce(condition, F.lit(False)))
     marked.where("__kept").drop("__kept").write.mode("overwrite").parquet(kept)
-    marked.where("not __kept").drop("__kept").write.mode("overwrite").parquet(rest)
+    others = marked.where("not __kept").drop("__kept")
+    if not others.isEmpty():
+        others.write.mode("overwrite").parquet(rest)
+
+
+def write_vectors(df: DataFrame, key: str, vec: str, docs: str, vectors: str) -> None:
+    """Documents and their vectors side by side, joined by the key."""
+    df.drop(vec).write.mode("overwrite").parquet(docs)
+    df.select(key, vec).write.mode("overwrite").parquet(vectors)
+
+
+def write_review(accepted: DataFrame, pending: DataFrame, trusted: str, review: str) -> None:
+    """Decisions join the trusted mappings, and what is still open replaces the list to review.
+
+    Both are new folders beside the ones that were read, so an interrupted run loses nothing.
+    """
+    accepted.write.mode("append").parquet(trusted)
+    pending.write.mode("overwrite").parquet(review)
+
+
+def report(df: DataFrame, rows: int = 100, digits: int = 4) -> str:
+    """The first rows of a small result as text lines of even columns; ``df`` should be sorted."""
+    shown = [[f"{v:.{digits}f}" if isinstance(v, float) else "-" if v is None else str(v) for v in r] for r in df.limit(rows).collect()]
+    wide = [max(len(x) for x in c) for c in zip(df.columns, *shown)]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, wide)).rstrip() for r in [df.columns, *shown])
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

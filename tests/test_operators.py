@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from eralex.functions import embedding as E
-from eralex.operators import benchgen, chunking, faithfulness, fusion, ingest, mapping, metrics, resolve, segment, sparse, validity, windows
+from eralex.operators import benchgen, chunking, corpus, faithfulness, fusion, ingest, mapping, metrics, resolve, segment, sparse, validity, windows
+
+from eralex.plans import retrieval
 
 D = dt.date
 
@@ -202,3 +204,39 @@ def test_faithfulness(spark):
     assert got.n_claims == 3 and got.n_cited == 2
     none = spark.createDataFrame([("b", "No marks.")], "id string, t string")
     assert faithfulness.faithfulness(faithfulness.claim_support(none, "id", "t", docs)).head().precision is None
+
+
+def test_paired_differences_need_the_same_items(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 0.5)], "q string, v double")
+    assert {r.q: r["diff"] for r in metrics.paired_differences(a, a.where("true"), "q", "v").collect()} == {"x": 0.0, "y": 0.0}
+    with pytest.raises(ValueError, match="same items"):
+        metrics.paired_differences(a, a.where("q = 'x'"), "q", "v")
+
+
+def test_names_by_their_rarest_gram(spark):
+    """Containment in both directions against brute force, with names that share their beginning."""
+    import random
+
+    r = random.Random(6)
+    words = ["state of torsa", "kelvin", "mercer", "union", "harbour board", "abcde", "ann"]
+    name = lambda: " v. ".join(r.choice(words) for _ in range(r.randint(1, 3)))
+    known = {(name(), str(r.randint(2000, 2002))): f"J{i}" for i in range(60)}
+    asked = {(name(), str(r.randint(2000, 2002))) for _ in range(80)} | {("ann", "2000"), ("zzzzzz", "2001")}
+    ix = spark.createDataFrame([(n, y, j) for (n, y), j in known.items()], "name string, year string, jid string")
+    got = {(x.name, x.year): (x.jid, x.tier) for x in resolve.resolve(spark.createDataFrame(sorted(asked), "name string, year string"), ix).collect()}
+    for n, y in asked:
+        hits = {j for (k, z), j in known.items() if z == y and len(k) >= 5 and len(n) >= 5 and (k in n or n in k)}
+        want = (known[(n, y)], 1) if (n, y) in known else (hits.copy().pop(), 2) if len(hits) == 1 else (None, 0)
+        assert got[(n, y)] == want, (n, y)
+
+
+def test_unified_documents_of_nothing_fail(spark):
+    none = spark.createDataFrame([], "doc_id string, statute string, section_no string, marginal_note string, text string")
+    chunks = spark.createDataFrame([], "chunk_id string, text string, judgment_id string, case_name string, court string, date date, rhetorical_unit string")
+    with pytest.raises(ValueError, match="no statute"):
+        corpus.unified_docs(none, chunks)
+
+
+def test_unknown_retriever_fails(spark, sf):
+    with pytest.raises(ValueError, match="no retriever"):
+        retrieval.retrieve(spark, sf, "psychic")

@@ -85,6 +85,44 @@ def test_providers(spark):
     assert providers.generate_with(df.where("i = 1"), lambda: lambda t: (_ for _ in ()).throw(providers.Busy(0.0)), ["i"], "t", tries=2).head().answer is None
 
 
+def test_fetching(spark):
+    def make():
+        tried = []
+
+        def fetch(where):
+            tried.append(where)
+            if where == "slow" and tried.count("slow") < 3:
+                raise providers.Busy(0.01)
+            if where == "gone":
+                raise FileNotFoundError(where)
+            return where.encode()
+
+        return fetch
+
+    df = spark.createDataFrame([(1, "a"), (2, "gone"), (3, None), (4, "slow")], "i int, at string").coalesce(1)
+    got = {r.i: (r.content and bytes(r.content), r.error) for r in providers.fetch_with(df, make, ["i"], "at", tries=3).collect()}
+    assert got == {1: (b"a", None), 2: (None, "FileNotFoundError: gone"), 3: (None, "no address"), 4: (b"slow", None)}
+
+
+def test_pages_and_progress(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"cover\f1. Text\n-----------\nfootnote\n2.\nmore\fend")
+    done = spark.sparkContext.accumulator(0)
+    got = readers.document_pages(spark, str(tmp_path / "*.bin"), lambda b: b.decode(), 1, done=done).collect()
+    assert [r.text for r in got] == ["1. Text\n2.\nmore\nend"] and done.value == 1
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", [0.5, 1.0]), (2, None, [0.0, 1.0])], "i int, t string, vec array<double>")
+    sinks.write_vectors(df, "i", "vec", str(tmp_path / "d"), str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "d")).columns == ["i", "t"] and spark.read.parquet(str(tmp_path / "v")).count() == 2
+    sinks.write_split(df, F.lit(True), str(tmp_path / "k"), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+    for _ in range(2):
+        sinks.write_review(df.select("i"), df.where("i = 2"), str(tmp_path / "t"), str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4 and spark.read.parquet(str(tmp_path / "r")).count() == 1
+    assert sinks.report(df.select("i", "t", F.col("vec")[0].alias("x")).orderBy("i")) == "i  t  x\n1  a  0.5000\n2  -  0.0000"
+
+
 def test_streaming_ingest(spark, tmp_path):
     schema = "judgment_id string, case_name string, court string, date date, bench array<string>, sections_cited array<struct<statute:string,section_no:string>>, text string, disposal string, ord int"
     row = lambda i, o, text="t": (i, "n", "c", dt.date(2020, 1, 1), ["x"], SEC, text, "allowed", o)
