@@ -58,6 +58,38 @@ def best(sim: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return np.nonzero(ok)[0], picked[top[ok]], value[ok]
 
 
+class Top:
+    """The k best of each query over all batches of a task; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.own = k, np.full((queries, k), -np.inf), None
+
+    def add(self, sim: np.ndarray, own: np.ndarray) -> None:
+        """sim: queries by documents; own: ids of the documents."""
+        if not len(own):
+            return
+        own = own.astype(str) if own.dtype == object else own
+        if self.own is None:
+            self.own = np.zeros(self.score.shape, own.dtype)
+        some = np.flatnonzero(sim.max(1) >= self.score[:, -1])  # queries that may gain
+        if not len(some):
+            return
+        row, column, value = best(sim[some], own, self.k)
+        within = np.arange(len(row)) - np.searchsorted(row, row)
+        score, ids = np.full((len(some), self.k), -np.inf), np.zeros((len(some), self.k), own.dtype)
+        score[row, within], ids[row, within] = value, own[column]
+        score, ids = np.concatenate([self.score[some], score], 1), np.concatenate([self.own[some], ids], 1)
+        order = np.lexsort((ids, -score), axis=-1)[:, : self.k]
+        if ids.dtype.itemsize > self.own.dtype.itemsize:
+            self.own = self.own.astype(ids.dtype)
+        self.score[some], self.own[some] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+    def rows(self) -> tuple[np.ndarray, list, np.ndarray]:
+        """(query, id, score) of what is kept."""
+        ok = np.isfinite(self.score)
+        return np.nonzero(ok)[0], [] if self.own is None else self.own[ok].tolist(), self.score[ok]
+
+
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
 
 
@@ -78,9 +110,9 @@ def vectors(df: DataFrame, keep: list[str], text: str, dim: int = DIM) -> DataFr
 def search(docs: DataFrame, doc_id: str, vec: str, queries: DataFrame, query_id: str, query_vec: str, k: int, block: int = 2_000, without_self: bool = False) -> DataFrame:
     """(query_id, doc_id, sim, rank): the k most similar documents of every query, exact.
 
-    The stated queries are multiplied in blocks with each batch of documents; a batch sends on
-    only its k best for each query, so the shuffle carries k rows per query and batch.
-    Null and zero vectors have similarity 0. Ties go to the smaller id.
+    The stated queries are multiplied in blocks with each batch of documents; a task keeps its k best
+    for each query and sends on only those, so the shuffle carries k rows per query and task.
+    Null and zero vectors have similarity 0; a document without an id is left out. Ties go to the smaller id.
     """
     spark = docs.sparkSession
     rows = [(r[0], r[1]) for r in queries.select(query_id, query_vec).toLocalIterator()]
@@ -98,6 +130,7 @@ def search(docs: DataFrame, doc_id: str, vec: str, queries: DataFrame, query_id:
         def run(batches, shared=shared):
             ids, q = shared.value
             names = np.array(ids)
+            top = Top(len(ids), k)
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -107,11 +140,13 @@ def search(docs: DataFrame, doc_id: str, vec: str, queries: DataFrame, query_id:
                 sim = np.round(q @ (m / np.where(n == 0, 1, n)).T, 6)
                 if without_self:
                     sim[names[:, None] == own[None]] = -np.inf
-                row, column, value = best(sim, own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(names[row].tolist(), out_arrow), b.column(0).take(pa.array(column)), pa.array(value + 0.0)], names=out_schema.names)
+                top.add(sim, own)
+            row, found_ids, value = top.rows()
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(names[row].tolist(), out_arrow), pa.array(found_ids, doc_arrow), pa.array(value + 0.0)], names=out_schema.names)
 
-        out_arrow = ARROW[queries.schema[query_id].dataType.simpleString()]
-        one = docs.select(doc_id, vec).mapInArrow(run, out_schema)
+        out_arrow, doc_arrow = (ARROW[x.simpleString()] for x in (queries.schema[query_id].dataType, docs.schema[doc_id].dataType))
+        one = docs.where(F.col(doc_id).isNotNull()).select(doc_id, vec).mapInArrow(run, out_schema)
         found = one if found is None else found.unionByName(one)
     w = W.partitionBy(query_id).orderBy(F.desc("sim"), doc_id)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eralex.functions.text import normal_name
+from eralex.runtime import cut
 
 GRAM = 5
 
@@ -29,6 +30,7 @@ def resolve(names: DataFrame, index: DataFrame) -> DataFrame:
     offers one gram as a needle and all its grams as hay, and pairs meet on (year, gram). The needle is the gram
     that the fewest names of the year hold, so "State of" brings nobody together.
     """
+    index, names = cut(index, "known"), cut(names, "names")  # both are read several times
     exact = names.join(index, ["name", "year"]).withColumn("tier", F.lit(1))
     rest = names.join(index, ["name", "year"], "left_anti")
     a = rest.withColumn("g", F.explode(_grams(F.col("name"))))

@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eralex.functions.embedding import ARROW, best
+from eralex.functions.embedding import ARROW, Top
 from eralex.functions.text import STOPWORDS, tokens
+from eralex.runtime import cut
 
 K1, B, EPSILON, POOL = 1.5, 0.75, 0.25, 50
 _WORD = re.compile("[a-z0-9]+")
@@ -40,12 +41,18 @@ def term_stats(post: DataFrame, n_docs: int) -> DataFrame:
 
 
 def query_weights(docs: DataFrame, text: str, queries: DataFrame, query_id: str, question: str) -> tuple[list, dict[str, int], np.ndarray, float]:
-    """(query ids, terms, weights of terms by queries, mean length): what a task needs to score any document."""
-    n, avgdl = corpus_size(docs, text)
+    """(query ids, terms, weights of terms by queries, mean length): what a task needs to score any document.
+
+    One scan of the documents: the empty term, which no token is, stands for the document itself.
+    """
     asked = [(r[0], Counter(r[1] or ())) for r in queries.select(query_id, tokens(question)).toLocalIterator()]
     terms = {t: i for i, t in enumerate(sorted({t for _, c in asked for t in c}))}
-    each = docs.select(F.explode(F.array_distinct(tokens(F.coalesce(text, F.lit(""))))).alias("term"))
-    raw = each.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    tok = docs.select(tokens(F.coalesce(text, F.lit(""))).alias("t"))
+    each = tok.select(F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
+    stats = cut(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")), "terms")
+    whole = stats.where("term = ''").head()
+    n, avgdl = (whole.df, whole.dl / whole.df) if whole else (0, 0.0)
+    raw = stats.where("term <> ''").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     listed = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string").withColumn("asked", F.lit(True))
     r = raw.join(listed, "term", "left").agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("own")).head()
     weights = np.zeros((len(terms), len(asked)))
@@ -57,36 +64,43 @@ def query_weights(docs: DataFrame, text: str, queries: DataFrame, query_id: str,
 
 
 def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, question: str, size: int = POOL, block: int = 2_000) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best of all documents, those of score 0 included.
+    """(query_id, doc_id, score, rank): the best of all documents, those of score 0 included; a document without an id is left out.
 
-    The stated queries are scored in blocks against each batch of documents: term frequencies
-    of a batch times the weights of the queries is one matrix product. A batch
-    sends on its ``size`` best for each query, so no posting is ever shuffled.
+    The stated queries are scored in blocks, each with the weights of its own terms only. Term frequencies of
+    a slice of documents, over the terms that the slice holds, times those weights is one matrix product.
+    A task keeps its ``size`` best for each query and sends on only those, so no posting is ever shuffled.
     """
     spark = docs.sparkSession
     out_schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
+    docs = docs.where(F.col(doc_id).isNotNull())
     names, terms, weights, avgdl = query_weights(docs, text, queries, query_id, question)
-    kind = ARROW[queries.schema[query_id].dataType.simpleString()]
-    stop = frozenset(STOPWORDS)
+    kinds = [ARROW[x.dataType.simpleString()] for x in out_schema.fields[:2]]
+    stop, listed = frozenset(STOPWORDS), list(terms)
     found = None
     for at in range(0, len(names), block):
-        shared = spark.sparkContext.broadcast((names[at : at + block], terms, weights[:, at : at + block]))
+        own = weights[:, at : at + block]
+        used = np.flatnonzero(own.any(1))
+        shared = spark.sparkContext.broadcast((names[at : at + block], {listed[t]: k for k, t in enumerate(used)}, own[used]))
 
         def run(batches, shared=shared):
             ids, terms, w = shared.value
-            ids, v = np.array(ids), len(terms)
-            number = {**terms, **dict.fromkeys(stop, v + 1)}.get
+            v = len(terms)
+            number = {**terms, **dict.fromkeys(stop - terms.keys(), v + 1)}.get
+            top = Top(len(ids), size)
             for whole in batches:
                 for lo in range(0, whole.num_rows, 1_000):
                     b = whole.slice(lo, 1_000)
                     parts = [np.fromiter(map(number, _WORD.findall((t or "").lower()), repeat(v)), np.int64) for t in b.column(1).to_pylist()]
-                    at = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-                    tf = np.bincount(at * (v + 2) + np.concatenate(parts), minlength=len(parts) * (v + 2)).reshape(len(parts), v + 2).astype(float)
-                    dl = tf.sum(1) - tf[:, v + 1]
-                    tf = tf[:, :v]
-                    sim = np.round(w.T @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[:, None] / (avgdl or 1.0)))).T, 6) + 0.0
-                    row, column, value = best(sim, b.column(0).to_numpy(zero_copy_only=False), size)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row].tolist(), kind), b.column(0).take(pa.array(column)), pa.array(value)], names=out_schema.names)
+                    of, term = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
+                    dl = np.bincount(of[term <= v], minlength=len(parts)).astype(float)  # stop words have no length
+                    of, term = of[term < v], term[term < v]
+                    here, column = np.unique(term, return_inverse=True)
+                    tf = np.bincount(of * len(here) + column, minlength=len(parts) * len(here)).reshape(len(parts), len(here)).astype(float)
+                    norm = K1 * (1 - B + B * dl[:, None] / (avgdl or 1.0))
+                    top.add(np.round(w[here].T @ (tf * (K1 + 1) / (tf + norm)).T, 6) + 0.0, b.column(0).to_numpy(zero_copy_only=False))
+            row, own, value = top.rows()
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in row], kinds[0]), pa.array(own, kinds[1]), pa.array(value)], names=out_schema.names)
 
         one = docs.select(doc_id, text).mapInArrow(run, out_schema)
         found = one if found is None else found.unionByName(one)
