@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralex.config import Settings
 from eralex.llm import abuse, chunking, encoding, fusion, leakage, packing, personal, scans, templates
 from eralex.runtime import table
 
@@ -101,12 +102,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 # Problem 8
 
 
+def _tokenizer(spark: SparkSession) -> str:
+    """Path of the vocabulary file: ``eralex.tokenizer`` of the session, else ``ERALEX_TOKENIZER``, else the default."""
+    return spark.conf.get("eralex.tokenizer", None) or os.environ.get("ERALEX_TOKENIZER") or packing.TOKENIZER
+
+
 def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
     return {r[0]: r[1] for r in table(spark, d, "size_limits").where("limit_name like 'pack%'").select("limit_name", "capacity").collect()}
 
 
 def p8_assignments(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(packing.token_counts(table(spark, d, "documents"), "doc_id", "text", Settings.read(spark).tokenizer), _capacities(spark, d))
+    return packing.pack(packing.token_counts(table(spark, d, "documents"), "doc_id", "text", _tokenizer(spark)), _capacities(spark, d))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
