@@ -18,7 +18,6 @@ class Settings:
     rerank_head: int = 20
     chunk_words: int = 512
     max_configs: int = 36
-    tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json"
 
     @classmethod
     def read(cls, spark: SparkSession | None = None) -> Settings:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eralex.runtime import cut
+
 DIM = 256
 _WORD = re.compile("[a-z0-9]+")
 
@@ -115,13 +118,10 @@ def search(docs: DataFrame, doc_id: str, vec: str, queries: DataFrame, query_id:
     Null and zero vectors have similarity 0; a document without an id is left out. Ties go to the smaller id.
     """
     spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in queries.select(query_id, query_vec).toLocalIterator()]
     out_schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("sim", T.DoubleType())])
-    if not rows:
-        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(0))
-    found = None
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
+    asked = queries.select(query_id, query_vec).toLocalIterator()
+    found, part = None, list(itertools.islice(asked, block))
+    while part:
         dim = max(len(v or ()) for _, v in part)
         q = np.array([np.asarray(v, float) if v is not None else np.zeros(dim) for _, v in part])
         norm = np.linalg.norm(q, axis=1, keepdims=True)
@@ -147,6 +147,12 @@ def search(docs: DataFrame, doc_id: str, vec: str, queries: DataFrame, query_id:
 
         out_arrow, doc_arrow = (ARROW[x.simpleString()] for x in (queries.schema[query_id].dataType, docs.schema[doc_id].dataType))
         one = docs.where(F.col(doc_id).isNotNull()).select(doc_id, vec).mapInArrow(run, out_schema)
+        part = list(itertools.islice(asked, block))
+        if part or found is not None:  # of several blocks only one is held at a time
+            one = cut(one, "found")
+            shared.unpersist()
         found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(0))
     w = W.partitionBy(query_id).orderBy(F.desc("sim"), doc_id)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

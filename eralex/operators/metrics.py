@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MODULUS, FACTOR, BLOCK = 2_147_483_647, 48_271, 250
+MODULUS, FACTOR, BLOCK, STRIDE = 2_147_483_647, 48_271, 250, 1 << 20
 
 
 def parent_of(doc_id: Column) -> Column:
@@ -56,40 +56,49 @@ def summary(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return long.groupBy(*by, "metric").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"), F.count("x").alias("n"), F.count(F.when(F.col("x").isNull(), 1)).alias("n_excluded"))
 
 
-def draw(rep: int, i: np.ndarray, n: int) -> np.ndarray:
+def draw(rep: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
     """Deterministic indices below n for a replicate and its draws, equal in every engine."""
     x = (rep * 1000 + i + 1) * FACTOR % MODULUS
     x = (x * FACTOR + rep) % MODULUS
     return (x * FACTOR + i) % MODULUS % n
 
 
-def replicates(scores: DataFrame, by: list[str], order: str, value: str, reps: int) -> DataFrame:
-    """(by..., rep, mean, n, obs): bootstrap means. The scores of one evaluation are one small array per configuration.
+def replicates(scores: DataFrame, by: list[str], value: str, reps: int) -> DataFrame:
+    """(by..., rep, mean, n, obs): bootstrap means.
 
-    Blocks of replicates are spread over the tasks; a replicate is one vector of draws.
+    A configuration is the histogram of its scores: distinct values and how often they occur, added up with
+    map-side combine, so no list of all scores is ever made. A draw is a place among the scores in their order by
+    value. Blocks of replicates are spread over the tasks; a replicate draws in vectors of ``STRIDE``.
     """
-    arr = scores.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"].cast("double")).alias("a"))
-    arr = arr.withColumn("n", F.size("a").cast("long")).withColumn("obs", F.aggregate("a", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    parts = arr.select(*by, "n", "obs", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK))).alias("start"), "a").repartition(4 * scores.sparkSession.sparkContext.defaultParallelism)
+    bars = scores.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    hist = bars.groupBy(*by).agg(F.sum("__c").alias("n"), (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("obs"), F.array_sort(F.collect_list(F.struct("__v", "__c"))).alias("__h"))
+    flat = hist.select(*by, "n", "obs", F.transform("__h", lambda x: x["__v"]).alias("values"), F.transform("__h", lambda x: x["__c"]).alias("counts"))
+    parts = flat.select(*by, "n", "obs", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK))).alias("start"), "values", "counts").repartition(4 * scores.sparkSession.sparkContext.defaultParallelism)
     kept = len(by) + 2
     schema = T.StructType([*parts.schema.fields[:kept], T.StructField("rep", T.LongType()), T.StructField("total", T.DoubleType())])
 
     def run(batches):
         for b in batches:
             for row in range(b.num_rows):
-                start = b.column(kept)[row].as_py()
-                a = b.column(kept + 1)[row].values.to_numpy(zero_copy_only=False)
-                own, i = range(start, min(start + BLOCK, reps)), np.arange(len(a), dtype=np.int64)
-                same = pa.array(np.full(len(own), row))
-                total = np.array([a[draw(rep, i, len(a))].sum() for rep in own])
+                start, n = b.column(kept)[row].as_py(), b.column(kept - 2)[row].as_py()
+                values = b.column(kept + 1)[row].values.to_numpy(zero_copy_only=False)
+                upto = np.cumsum(b.column(kept + 2)[row].values.to_numpy(zero_copy_only=False))
+                own = range(start, min(start + BLOCK, reps))
+                same, total = pa.array(np.full(len(own), row)), np.zeros(len(own))
+                several = max(1, STRIDE // max(1, n))  # replicates at once
+                for k in range(0, len(own), several):
+                    rep = np.arange(own[k], own[min(k + several, len(own)) - 1] + 1, dtype=np.int64)[:, None]
+                    for lo in range(0, n, STRIDE):
+                        i = np.arange(lo, min(lo + STRIDE, n), dtype=np.int64)[None]
+                        total[k : k + several] += values[np.searchsorted(upto, draw(rep, i, n), "right")].sum(1)
                 yield pa.RecordBatch.from_arrays([*[c.take(same) for c in b.columns[:kept]], pa.array(own, pa.int64()), pa.array(total, from_pandas=True)], names=schema.names)
 
     return parts.mapInArrow(run, schema).select(*by, "rep", F.round(F.col("total") / F.col("n"), 9).alias("mean"), "n", "obs")
 
 
-def bootstrap_ci(scores: DataFrame, by: list[str], order: str, value: str, reps: int, level: float = 0.95) -> DataFrame:
+def bootstrap_ci(scores: DataFrame, by: list[str], value: str, reps: int, level: float = 0.95) -> DataFrame:
     low, high = int((1 - level) / 2 * reps), int((1 - (1 - level) / 2) * reps) - 1
-    r = replicates(scores, by, order, value, reps).withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("mean", "rep")) - 1)
+    r = replicates(scores, by, value, reps).withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("mean", "rep")) - 1)
     return r.groupBy(*by).agg(F.round(F.max("obs"), 6).alias("mean"), F.round(F.max(F.when(F.col("k") == low, F.col("mean"))), 6).alias("low"), F.round(F.max(F.when(F.col("k") == high, F.col("mean"))), 6).alias("high"), F.max("n").alias("n"))
 
 
@@ -102,9 +111,9 @@ def paired_differences(a: DataFrame, b: DataFrame, key: str, value: str) -> Data
     return out
 
 
-def paired_bootstrap(diffs: DataFrame, by: list[str], order: str, value: str, reps: int) -> DataFrame:
+def paired_bootstrap(diffs: DataFrame, by: list[str], value: str, reps: int) -> DataFrame:
     """(by..., diff, p): share of replicates at least as far from the observed difference as that is from 0."""
-    r = replicates(diffs, by, order, value, reps)
+    r = replicates(diffs, by, value, reps)
     far = F.abs(F.col("mean") - F.col("obs")) >= F.abs("obs") - 1e-12
     return r.groupBy(*by).agg(F.round(F.max("obs"), 6).alias("diff"), F.round(F.avg(far.cast("double")), 6).alias("p"))
 

@@ -144,14 +144,14 @@ def ablation_grid(s: SparkSession, d: str) -> DataFrame:
 
 
 def ablation_ci(s: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap_ci(_items_scored(s, d), CONFIG, "query_id", "hit10", REPS)
+    return metrics.bootstrap_ci(_items_scored(s, d), CONFIG, "hit10", REPS)
 
 
 def ablation_significance(s: SparkSession, d: str) -> DataFrame:
     """Validity on against off per chunking and retriever, with step-down correction."""
     i = _items_scored(s, d)
     diff = i.groupBy("chunking", "retriever", "query_id").agg((F.max(F.when(F.col("validity") == "on", F.col("hit10"))) - F.max(F.when(F.col("validity") == "off", F.col("hit10")))).alias("diff"))
-    p = metrics.paired_bootstrap(diff, ["chunking", "retriever"], "query_id", "diff", REPS)
+    p = metrics.paired_bootstrap(diff, ["chunking", "retriever"], "diff", REPS)
     return metrics.holm(p.withColumn("test", F.concat_ws("/", "chunking", "retriever")), "test", "p")
 
 
@@ -199,13 +199,13 @@ def _flagged(s: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     """Interval of the share of flagged documents per rater."""
-    return metrics.bootstrap_ci(_flagged(s, d), ["rater"], "doc_id", "flagged", REPS)
+    return metrics.bootstrap_ci(_flagged(s, d), ["rater"], "flagged", REPS)
 
 
 def paired_bootstrap(s: SparkSession, d: str) -> DataFrame:
     """Difference between the highest and the lowest vote on a document."""
     v = table(s, d, "review_labels").where("flagged is not null").groupBy("doc_id").agg((F.max("flagged") - F.min("flagged")).alias("diff")).withColumn("set", F.lit("all"))
-    return metrics.paired_bootstrap(v, ["set"], "doc_id", "diff", REPS)
+    return metrics.paired_bootstrap(v, ["set"], "diff", REPS)
 
 
 P_VALUES = [("a", 0.072), ("b", 0.072), ("c", 0.27), ("d", 0.004), ("e", 0.6254), ("f", 0.009)]
@@ -281,7 +281,7 @@ _TOP = (
     + f""", dm AS (SELECT query_id, doc_id, statute, section_no, rank AS prior, round(CASE WHEN statute <> {_ERA} THEN score * 0.05 ELSE score END, 6) AS score FROM pool JOIN corp USING (doc_id) JOIN items USING (query_id)),
 top AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prior)::INTEGER AS rank FROM dm) WHERE rank <= 10)"""
 )
-_BOOT = f"""ar AS (SELECT {{by}}, list(v::DOUBLE ORDER BY o) AS a, count(*) AS n, avg(v::DOUBLE) AS obs FROM sc0 GROUP BY {{by}}),
+_BOOT = f"""ar AS (SELECT {{by}}, list(v::DOUBLE ORDER BY v) AS a, count(*) AS n, avg(v::DOUBLE) AS obs FROM sc0 GROUP BY {{by}}),
 dr AS (SELECT {{by}}, n, obs, a, rep, unnest(range(n)) AS i FROM (SELECT *, unnest(range({REPS})) AS rep FROM ar)),
 ix AS (SELECT {{by}}, n, obs, a, rep, (((((rep * 1000 + i + 1) * 48271) % 2147483647 * 48271 + rep) % 2147483647 * 48271 + i) % 2147483647) % n AS k FROM dr),
 rp AS (SELECT {{by}}, rep, any_value(n) AS n, any_value(obs) AS obs, round(sum(a[k + 1]) / any_value(n), 9) AS mean FROM ix GROUP BY {{by}}, rep)"""

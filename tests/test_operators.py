@@ -183,9 +183,9 @@ def test_holm_is_step_down(spark):
 
 def test_bootstrap(spark):
     s = spark.createDataFrame([("c", f"i{i:02}", 1.0 if i < 30 else 0.0) for i in range(60)], "c string, i string, v double")
-    r = metrics.bootstrap_ci(s, ["c"], "i", "v", 400).head()
+    r = metrics.bootstrap_ci(s, ["c"], "v", 400).head()
     assert r["mean"] == 0.5 and 0.3 < r["low"] < 0.5 < r["high"] < 0.7
-    flat = metrics.bootstrap_ci(s.withColumn("v", F.lit(1.0)), ["c"], "i", "v", 50).head()
+    flat = metrics.bootstrap_ci(s.withColumn("v", F.lit(1.0)), ["c"], "v", 50).head()
     assert (flat["low"], flat["high"]) == (1.0, 1.0)
 
 
