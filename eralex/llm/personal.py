@@ -391,20 +391,24 @@ class Crf:
         return out
 
 
-_EMAIL = re.compile(r"[\w.+\-]+\s?(?:@|\(at\)|\[at\])\s?[\w\-]+(?:\.[\w\-]+)+", re.I)
+_DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)"
+_EMAIL = re.compile(rf"[\w.+\-]+(?:{_DOT}[\w+\-]+)*\s?(?:@|[\[(]\s?at\s?[\])])\s?[\w\-]+(?:{_DOT}[\w\-]+)+", re.I)
 _IDS = re.compile(r"(?<![\w-])(?:\d{4}(?:[\s\-]{0,2})\d{4}(?:[\s\-]{0,2})\d{4}|[A-Z]{5}\d{4}[A-Z]|[A-Z]{1,3}\d{7}|[A-Z]{2}-?\d{2}[ -]?\d{4}[ -]?\d{7})(?![\w-]|\s?gram)")
-_FIRM = re.compile(r"\s*(?:&|and)\s+(?:sons|co)\b|\s*(?:charitable|trust|brothers|textiles|pvt|ltd|limited|foundation|associates|industries|university|bank|board|authority|mills|court)\b", re.I)
+_FIRM_WORDS = "charitable|trust|brothers|textiles|pvt|ltd|limited|foundation|associates|industries|university|bank|board|authority|mills|court|traders|builders|enterprises|agencies|foods|steel|hospital|transport|finance|corporation|sugar|company|school|college|society|association|union|co-operative|press|motors|stores"
+_FIRM = re.compile(rf"\s*(?:&|and)\s+(?:sons|co)\b|\s*(?:{_FIRM_WORDS})\b", re.I)
+_ENDS_AS_FIRM = re.compile(rf"\b(?:{_FIRM_WORDS})$", re.I)
 _TITLE = re.compile(r"(?:justice|judge|j\.|m/s\.?|versus|\bvs?\.?)\s*$", re.I)
 _PLAIN = frozenset("any every each whoever where an the a no all such this that whether person if when upon in on of for and or by with his her their its".split())
 _HONOUR = re.compile(r"^(?:shri|smt|mr|mrs|ms|dr|kum|sri|late|minor|master|pw-?\d+|s/o|d/o|w/o|r/o)\b\.?\s*", re.I)
-_PERSON = re.compile(r"(?:[^\W\d_]\.\s*){1,3}[^\W\d_]{3,}|[^\W\d_]{3,}(?:-\n[^\W\d_]+)?[,]?\s+(?:[^\W\d_]\.\s*)?[^\W\d_]{3,}(?:-\n[^\W\d_]+)?")
+_WORD = r"[^\W\d_][^\W_]+"
+_PERSON = re.compile(rf"(?:[^\W\d_]\.\s*){{1,3}}{_WORD}|{_WORD}(?:-\n[^\W\d_]+)?[,]?\s+(?:[^\W\d_]\.\s*)?{_WORD}(?:-\n[^\W\d_]+)?")
 
 
 def exact(text: str, a: int, b: int, label: int) -> list[tuple[int, int]]:
     """Spans inside a labelled stretch that have the form of their type."""
     piece = text[a:b]
     if label == EMAIL:
-        return [(m.start(), m.end()) for m in _EMAIL.finditer(text, max(0, a - 40), min(len(text), b + 40)) if m.end() > a and m.start() < b]
+        return [(m.start(), m.end()) for m in _EMAIL.finditer(text, max(0, a - 80), min(len(text), b + 80)) if m.end() > a and m.start() < b]
     if label == PHONE:
         while a > 0 and text[a - 1] in "+(":
             a -= 1
@@ -419,14 +423,14 @@ def exact(text: str, a: int, b: int, label: int) -> list[tuple[int, int]]:
         a += m.end()
     for m in _PERSON.finditer(text, a, b):
         after, before = text[m.end() : m.end() + 24], text[max(0, m.start() - 12) : m.start()]
-        if set(re.findall(r"[^\W\d_]{2,}", m.group().lower())) & _PLAIN or _FIRM.match(after) or re.match(r"\s+(?:v|vs|versus)\b", after, re.I) or _TITLE.search(before):
+        if set(re.findall(r"[^\W\d_]{2,}", m.group().lower())) & _PLAIN or _FIRM.match(after) or _ENDS_AS_FIRM.search(m.group()) or re.match(r"\s+(?:v|vs|versus)\b", after, re.I) or _TITLE.search(before):
             continue
         got.append(m.span())
     return got
 
 
 @lru_cache(maxsize=4)
-def train(size: int = 4_000, epochs: int = 6, seed: int = 5, skips: bool = True) -> Crf:
+def train(size: int = 5_500, epochs: int = 6, seed: int = 5, skips: bool = True) -> Crf:
     """Potentials fitted jointly to synthetic documents by the gradient of the loopy likelihood (AdaGrad)."""
     rng = np.random.default_rng(seed)
     maker = synthetic.Maker(seed)

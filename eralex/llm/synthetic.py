@@ -30,7 +30,7 @@ NUMBERS = """Aadhaar {i}|PAN {i} is not linked.|Passport {i} had expired.|Voter
 #: Sentences and lines without a private person.
 NONE = """Justice {s} dissented.|Mr. Justice {s} and Justice {s} concurred.|Before {g} {s}, Chief Justice|{s}, J. wrote for the court.|Hon'ble {h} Justice {g} {s}|as {s} J. put it long ago|In {s} v. State of {p} nobody raised it.|{nn} v. {nn}|{nn} vs. {f}|{f} v. {nn}|see {nn} v. {nn} ({y})|{f} v. {f} ({y})|{k}  {nn} v. {f}|{nn} v. {nn}    Appeal {k}/{y}|{f} v. {nn}  {k}|{UU} V. {UU}|{FF} V. {UU}|{UU} V. {FF}|{k}    {f} v. {f}
 {f} built the dam.|A cheque of {f} was returned.|{f} is a tenant.|The permit of {f} lapsed.|Tender no. {k}/{y} worth Rs. {m}|Invoice {b8}|Case No. {k} of {y}|Writ Petition (Civil) No. {k} of {y}|FIR {k}/{y}|Crl. M.C. {k}/{y}|weighing {b5} kg|reference AB-{b8}|lot {b10} was spoiled|budget line {b4}|between Rs. {m} and Rs. {m}|Rs. 12,34,{b3}.00|cnr number {p4}{b12}|bar code {b12} of the carton|serial {b10}-{b2}|on {date}|dated {date} and {date}|{date}, {p}
-Section {k}({k2}) of the Motor Vehicles Act, {y}|The Limitation Act, {y}, governs.|High Court of {p}|District and Sessions Court, {p}|Government of {p}|Ministry of Rural Roads|Form {k}, Schedule II|Annexure B to the Annual Report|First Information Report|Special Leave Petition|Learned Senior Advocate from {p}|Learned Additional Advocate General|Public Works Department, {p} Division|the Deputy Commissioner of Police, {p}|Mines and Minerals Rules, {y}|Central Bureau of Statistics|New {p} Municipal Corporation|the {s} Commission of {y}|the {s} Memorial Library|{s} Road was under water.|the plot, the flat and the lane|a colony of ants|the street was dark
+Section {k}({k2}) of the Motor Vehicles Act, {y}|The Limitation Act, {y}, governs.|High Court of {p}|District and Sessions Court, {p}|Government of {p}|Ministry of Rural Roads|Form {k}, Schedule II|Annexure B to the Annual Report|First Information Report|Special Leave Petition|Learned Senior Advocate from {p}|Learned Additional Advocate General|Public Works Department, {p} Division|the Deputy Commissioner of Police, {p}|Mines and Minerals Rules, {y}|rule ({k}) shall apply|as sub-rule ({k}) demands|see clauses ({k}) and ({k2})|items ({k}) to ({k})|(see Table {k})|Central Bureau of Statistics|New {p} Municipal Corporation|the {s} Commission of {y}|the {s} Memorial Library|{s} Road was under water.|the plot, the flat and the lane|a colony of ants|the street was dark
 CERTIFIED TRUE COPY|PAGE {k} OF {k}|NOT FOR CIRCULATION|Printed by the Copying Branch|Typed and checked by Branch Officer {k}|Share this page|All contents belong to the publisher, {y}|Website visited on {date}|Digitised from the old record room|END OF JUDGMENT|Reportable|Read out in court|ORDER|Heard.|Annexure P-{k}|Exhibit D-{k} bears no date.|Para {k}|{k}. {Lead} {say}|Penalty for short measure Any grocer who sells short|{w} of licences Every hawker who strays|{w} to arrest Whoever hides a deserter|Appeals An officer may prefer an appeal|{Lead} {w} {w2} applied""".replace("\n", "|").split("|")
 _SUBJECTS = "a neighbour|the shopkeeper|one constable|the head nurse|a surveyor|the buyer|her employer|the broker|the lift operator|an auditor|the landlady|the second bidder|the warehouse owner|their accountant|the plumber|the railway clerk|the gatekeeper|the lessee|the mill|the society|the hawker|the patwari|a postman|the contractor|the cashier|the headmaster|the union|the sarpanch|counsel|the defendant|the plaintiff|the bailiff".split("|")
 _VERBS = "signed|returned|lost|kept|posted|weighed|burnt|photographed|denied seeing|handed over|misplaced|copied|repaired|hid|mortgaged|painted|questioned|refused|counted|sealed|forged|bought|opened|described|stamped|inspected|valued".split("|")
@@ -86,13 +86,13 @@ class Maker:
         """Words of a person with their list bits."""
         r, x = self.r, self.r.random()
         g, s = self.given(), self.surname()
-        if x < 0.15:
+        if x < 0.2:
             out = [(s[0] + ",", s[1]), g]
-        elif x < 0.38:
+        elif x < 0.42:
             out = [*[(f"{c}.", 0) for c in r.sample("ABCDEGHIJKLMNPRSTUVY", r.choice([1, 2, 2]))], s]
-        elif x < 0.44:
-            out = [g, (f"{r.choice('ABCDGHKMNPRSTV')}.", 0), s]
         elif x < 0.47:
+            out = [g, (f"{r.choice('ABCDGHKMNPRSTV')}.", 0), s]
+        elif x < 0.5:
             out = [g, self.given(), s]
         else:
             out = [g, s]
@@ -116,7 +116,7 @@ class Maker:
         if r.random() < 0.85:
             a += f", {self.place()} {pin}"
         a = a.strip(" -")
-        return a.upper() if r.random() < 0.12 else a
+        return a.upper() if r.random() < 0.2 else a
 
     def slot(self, k: str, entity: dict) -> tuple[list[tuple[str, int]], int]:
         r = self.r
@@ -171,9 +171,12 @@ class Maker:
             return [(w, 0) for w in r.choice([f"{self.digits(4)} {self.digits(4)} {self.digits(4)}", f"{self.digits(4)}-{self.digits(4)}-{self.digits(4)}", self.digits(12), letters(5) + self.digits(4) + letters(1), letters(1) + self.digits(7), letters(3) + self.digits(7), f"{letters(2)}-{self.digits(2)}-{r.randint(1990, 2024)}-{self.digits(7)}", f"{letters(2)}{self.digits(2)} {r.randint(1990, 2024)}{self.digits(7)}"]).split(" ")], IDENTITY
         if k == "e":
             g, s = self.given()[0], self.surname()[0]
-            who = r.choice([f"{g}{self.digits(2)}", f"{g}.{s}", f"{s}_{g}", f"{g[0]}{s}", f"{g}.{s}+post", f"{g}-{s}", f"{g[0]}.{s[0]}", f"{g[0]}.{s}", g, f"info{self.digits(2)}"]).lower()
+            who = r.choice([f"{g}{self.digits(2)}", f"{g}.{s}", f"{s}_{g}", f"{g[0]}{s}", f"{g}.{s}+post", f"{s}.{g}+{self._stem(1)}", f"{g}-{s}", f"{g[0]}.{s[0]}", f"{g[0]}.{s}", g, f"info{self.digits(2)}"]).lower()
             host = self._stem(2) + r.choice([".com", ".org", ".in", ".net", ".co.in", ".example", ".test", ".invalid", ".example.com", ".gov.in"])
             e = f"{who}{r.choice(['@', '@', '@', '@', ' @ ', '(at)', '[at]'])}{host}"
+            if r.random() < 0.12:  # written out against harvesters
+                a, d = r.choice([(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", ".")])
+                e = re.sub(r"\s?(?:@|\(at\)|\[at\])\s?", a, e).replace(".", d)
             return [(w, 0) for w in (e.upper() if r.random() < 0.35 else e).split(" ")], EMAIL
         return [(w, 0) for w in self.address().split(" ")], ADDRESS
 
