@@ -40,6 +40,24 @@ def term_stats(post: DataFrame, n_docs: int) -> DataFrame:
     return df.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
+def _document_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(term, df, dl) of each batch: documents that hold a term; under the empty term all documents and their tokens."""
+    stop = frozenset(STOPWORDS)
+
+    def run(batches):
+        for b in batches:
+            df: Counter = Counter()
+            dl = 0
+            for t in b.column(0).to_pylist():
+                n = Counter(_WORD.findall((t or "").lower()))
+                own = n.keys() - stop
+                df.update(own)
+                dl += sum(n.values()) - sum(n[w] for w in n.keys() & stop)
+            yield pa.RecordBatch.from_arrays([pa.array(["", *df], pa.string()), pa.array([b.num_rows, *df.values()], pa.int64()), pa.array([dl] + [0] * len(df), pa.int64())], names=["term", "df", "dl"])
+
+    return docs.select(text).mapInArrow(run, "term string, df long, dl long")
+
+
 def query_weights(docs: DataFrame, text: str, queries: DataFrame, query_id: str, question: str) -> tuple[list, dict[str, int], np.ndarray, float]:
     """(query ids, terms, weights of terms by queries, mean length): what a task needs to score any document.
 
@@ -47,11 +65,9 @@ def query_weights(docs: DataFrame, text: str, queries: DataFrame, query_id: str,
     """
     asked = [(r[0], Counter(r[1] or ())) for r in queries.select(query_id, tokens(question)).toLocalIterator()]
     terms = {t: i for i, t in enumerate(sorted({t for _, c in asked for t in c}))}
-    tok = docs.select(tokens(F.coalesce(text, F.lit(""))).alias("t"))
-    each = tok.select(F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
-    stats = cut(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")), "terms")
+    stats = cut(_document_counts(docs, text).groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")), "terms")
     whole = stats.where("term = ''").head()
-    n, avgdl = (whole.df, whole.dl / whole.df) if whole else (0, 0.0)
+    n, avgdl = (whole.df, whole.dl / whole.df) if whole and whole.df else (0, 0.0)
     raw = stats.where("term <> ''").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     listed = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string").withColumn("asked", F.lit(True))
     r = raw.join(listed, "term", "left").agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("own")).head()

@@ -112,7 +112,8 @@ def _ablated(s: SparkSession, d: str) -> DataFrame:
         den = cut(E.search(E.vectors(docs, ["doc_id"], "full", own.embedding_dim), "doc_id", "vec", q, "query_id", "qv", own.pool).select("query_id", "doc_id", F.col("sim").alias("score"), "rank"), "pool")
         hyb = validity.rerank(fusion.rrf(lex, den, k=own.rrf_k), "score", "doc_id")
         lists = [x.select("query_id", "doc_id", "score", "rank", F.lit(r).alias("retriever")) for r, x in (("bm25", lex), ("dense", den), ("hybrid", hyb))]
-        one = reduce(DataFrame.unionByName, lists).join(docs.select("doc_id", "source", "statute", "jid"), "doc_id").withColumn("chunking", F.lit(name))
+        pools = reduce(DataFrame.unionByName, lists).withColumn("parent", metrics.parent_of(F.col("doc_id")))  # a window is of its text's source
+        one = pools.join(whole.select(F.col("doc_id").alias("parent"), "source", "statute", "jid"), "parent").drop("parent").withColumn("chunking", F.lit(name))
         out = one if out is None else out.unionByName(one)
     both = _lawful(s, d, out, b).withColumn("validity", F.explode(F.array(F.lit("on"), F.lit("off"))))
     on = F.col("validity") == "on"
