@@ -51,6 +51,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece_no = 0").select("ord")
 
 
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each text add up to: its words once, none over the limit, every overlap as it must be."""
+    limit, overlap = _chunk_limit(spark, d)
+    p = p4_pieces(spark, d)
+    shared = F.when(F.col("piece_no") == 0, 0).otherwise(overlap)
+    return p.groupBy("ord").agg(
+        F.sum(F.col("n_words") - F.col("overlap_words")).alias("n_words"), F.max("n_pieces").cast("long").alias("n_pieces_said"), F.count("*").alias("n_pieces"),
+        F.count(F.when(F.col("n_words") > limit, 1)).alias("n_over"), F.count(F.when(F.col("overlap_words") != shared, 1)).alias("n_other_overlap"),
+    ).select("ord", "n_words", (F.col("n_pieces") == F.col("n_pieces_said")).alias("complete"), "n_over", "n_other_overlap")
+
+
 # Problem 5
 
 
@@ -119,6 +130,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(p8_assignments(spark, d), _capacities(spark, d))
 
 
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per pack: documents placed, containers over the capacity, and documents within it that were split."""
+    caps = _capacities(spark, d)
+    a = p8_assignments(spark, d)
+    cap = F.create_map(*[F.lit(x) for kv in sorted(caps.items()) for x in kv])[F.col("pack")]
+    docs = a.groupBy("pack", "doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).groupBy("pack").agg(F.count("*").alias("n_docs"), F.count(F.when((F.col("n") > 1) & (F.col("tokens") <= cap), 1)).alias("n_split"))
+    over = a.groupBy("pack", "container_id").agg(F.sum("n_tokens").alias("tokens")).groupBy("pack").agg(F.count(F.when(F.col("tokens") > cap, 1)).alias("n_over"))
+    return docs.join(over, "pack").select("pack", "n_docs", "n_split", "n_over")
+
+
 # Problem 9
 
 
@@ -159,7 +180,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_repaired, p6_found, p6_templates, p6_clean, p7_found, p7_survivors, p8_assignments, p8_containers, p9_found, p9_matches, p9_clean, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p3_found, p3_redacted, p4_found, p4_pieces, p4_coverage, p5_found, p5_repaired, p6_found, p6_templates, p6_clean, p7_found, p7_survivors, p8_assignments, p8_containers, p8_coverage, p9_found, p9_matches, p9_clean, p10_found, p10_scores, p10_rates)}
 
 _SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LINES = r"""parts AS (SELECT ord, doc_id, court, string_split(text, chr(10)) AS ls FROM dense_docs
@@ -194,6 +215,17 @@ leaks AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN pg USING (g))"""
 
 SQL = {
     "p4_found": f"SELECT ord FROM dense_docs WHERE len(regexp_extract_all(text, '[^{_SPACES}]+')) > (SELECT capacity FROM size_limits WHERE limit_name = 'dense_chunk')",
+    "p4_coverage": f"""WITH w AS (SELECT ord, len(regexp_extract_all(text, '[^{_SPACES}]+')) AS n FROM dense_docs)
+SELECT ord, n AS n_words, true AS complete, 0 AS n_over, 0 AS n_other_overlap FROM w WHERE n > (SELECT capacity FROM size_limits WHERE limit_name = 'dense_chunk')""",
+    "p8_coverage": "SELECT limit_name AS pack, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) > 0) AS n_docs, 0 AS n_split, 0 AS n_over FROM size_limits WHERE limit_name LIKE 'pack%'",
+    "p9_matches": r"""WITH p AS (SELECT item_id, 'question' AS field, question AS t FROM bench_items UNION ALL SELECT item_id, 'gold_answer', gold_answer FROM bench_items),
+pw AS (SELECT item_id, field, regexp_extract_all(lower(t), '[\p{L}\p{Nd}]+') AS w FROM p WHERE t IS NOT NULL),
+pg AS (SELECT item_id, field, i, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM pw)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents),
+dg AS (SELECT doc_id, i, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM dw)),
+hit AS (SELECT doc_id, item_id, field, dg.i AS d, pg.i AS p FROM dg JOIN pg USING (g)),
+isl AS (SELECT *, d - row_number() OVER (PARTITION BY doc_id, item_id, field, d - p ORDER BY d) AS k FROM hit)
+SELECT doc_id, item_id, field, min(d) - 1 AS doc_word, min(p) - 1 AS item_word, count(*) + 11 AS n_words FROM isl GROUP BY doc_id, item_id, field, d - p, k""",
     "p6_found": f"WITH {_LINES} SELECT ord, line_no FROM hit",
     "p6_clean": f"""WITH {_LINES},
 gone AS (SELECT ord, count(*) AS n_removed, list(line_no) AS nos FROM hit GROUP BY ord),
