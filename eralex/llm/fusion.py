@@ -92,11 +92,16 @@ def grouped(df: DataFrame, groups: DataFrame, key: Column, source: str, seen: st
     return several.join(alike.groupBy("key").agg(F.collect_list(item).alias("items")), "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<field:string,sources:string,n_values:bigint,n:bigint,shown:string>>")))
 
 
-def alone(df: DataFrame, groups: DataFrame, key: Column, source: str, seen: str, fields: dict[str, Column]) -> DataFrame:
-    """Groups of one row, its values as their items; columns as of ``grouped``."""
-    rows = _members(df, key, source, seen, fields).join(groups.where("n_records = 1").select(F.col("key").alias("__key"), "group_rec_id", "best_rec_id", "best_date", "n_records"), "__key")
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col("__source").alias("sources"), F.lit(1).cast("long").alias("n_values"), F.lit(1).cast("long").alias("n"), F.when(v.cast("string").rlike(r"\S"), F.col(f).cast("string")).alias("shown")) for f, v in fields.items()])
-    return rows.select(F.col("__key").alias("key"), "group_rec_id", "best_rec_id", "best_date", "n_records", F.filter(each, lambda x: x["shown"].isNotNull()).alias("items"))
+def alone(df: DataFrame, groups: DataFrame, key: Column, source: str, date: str, seen: str, fields: dict[str, Column], accuracy: dict[str, float]) -> DataFrame:
+    """Groups of one row as they stand; every value has the probability of a lone claim of its source."""
+    spark = df.sparkSession
+    lone = lambda a: round(posteriors(pattern_of([("", 1)]), {"": a}, {})[0][2], 6)
+    trust = spark.createDataFrame([(x, lone(a)) for x, a in accuracy.items()], "__source string, __p double")
+    one = groups.where("n_records = 1").select(F.col("key").alias("__key"), "group_rec_id", "best_rec_id", "best_date", "n_records")
+    rows = _members(df, key, source, seen, fields).join(one, "__key").join(trust, "__source", "left")
+    shown = {f: F.col("best_date") if f == date else F.when(v.cast("string").rlike(r"\S"), F.col(f).cast("string")) for f, v in fields.items()}
+    claimed = F.coalesce(*[v for f, v in shown.items() if f != date], F.lit(None).cast("string")).isNotNull()
+    return rows.select(F.col("__key").alias("key"), "group_rec_id", "best_rec_id", "n_records", *[v.alias(f) for f, v in shown.items()], F.when(claimed, F.coalesce("__p", F.lit(lone(0.8)))).alias("min_posterior"))
 
 
 def pattern_of(sets: list[tuple[str, int]]) -> str:
@@ -208,29 +213,29 @@ def fuse(df: DataFrame, key_column: str, row_id: str, source: str, date: str, se
     first = cut(standing(df, key, row_id, date, seen, complete), "standing")
     groups = cut(grouped(df, first, key, source, seen, fields), "groups")
     accuracy, dependent = estimate(cut(patterns(groups), "patterns"), rounds)
-    if single:
-        groups = groups.unionByName(alone(df, first, key, source, seen, fields))
     names = list(fields)
     kind = df.schema[row_id].dataType.simpleString()
     schema = T._parse_datatype_string(f"key string, group_rec_id {kind}, best_rec_id {kind}, n_records long, {', '.join(f'`{f}` string' for f in names)}, min_posterior double")
 
     def run(batches):
-        known = defaultdict(lambda: 0.8, accuracy)  # a source of single rows only
-        scored = lru_cache(maxsize=100_000)(lambda p: {s: q for s, _, q in posteriors(p, known, dependent)})
+        scored = lru_cache(maxsize=100_000)(lambda p: {x: q for x, _, q in posteriors(p, accuracy, dependent)})
         for batch in batches:
             out: dict[str, list] = {f: [] for f in names}
             least = []
-            for items, best in zip(batch.column("items").to_pylist(), batch.column("best_date").to_pylist()):
+            items = batch.column("items")
+            flat = [items.values.field(i).to_pylist() for i in range(5)]
+            offsets = items.offsets.to_pylist()
+            for k, best in enumerate(batch.column("best_date").to_pylist()):
                 by = defaultdict(list)
-                for x in items:
-                    by[x["field"]].append(x)
+                for i in range(offsets[k], offsets[k + 1]):
+                    by[flat[0][i]].append(i)
                 low = None
                 for f in names:
                     if f == date:
                         out[f].append(best)
                     elif claims := by.get(f):
-                        post = scored(pattern_of([(x["sources"], x["n_values"]) for x in claims]))
-                        p, _, shown = max((post[x["sources"]], x["n"], x["shown"]) for x in claims)
+                        post = scored(pattern_of([(flat[1][i], flat[2][i]) for i in claims]))
+                        p, _, shown = max((post[flat[1][i]], flat[3][i], flat[4][i]) for i in claims)
                         out[f].append(shown)
                         low = p if low is None else min(low, p)
                     else:
@@ -239,4 +244,5 @@ def fuse(df: DataFrame, key_column: str, row_id: str, source: str, date: str, se
             given = [batch.column(c) for c in ("key", "group_rec_id", "best_rec_id", "n_records")]
             yield pa.RecordBatch.from_arrays([*given, *[pa.array(out[f], pa.string()) for f in names], pa.array(least, pa.float64())], names=schema.names)
 
-    return groups.mapInArrow(run, schema)
+    fused = groups.mapInArrow(run, schema)
+    return fused.unionByName(alone(df, first, key, source, date, seen, fields, accuracy)) if single else fused
