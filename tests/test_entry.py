@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 from compare import compare, duck
 
 CHEAP = """tokenize_counts bm25_term_stats ingest_clean ingest_rejected latest_per_key skip_reasons overruling_edges fabricated_rate weighted_vote_trusted weighted_vote_review segment_lines heading_split
-case_mentions chunk_fixed numbered_sections holm bootstrap_ci trap_items p1_found p1_orphan_report p1_current_orphans running_target dense_topk""".split()
+case_mentions chunk_fixed numbered_sections holm bootstrap_ci trap_items p1_found p1_orphan_report p1_current_orphans running_target dense_topk
+sections_in_text unified_docs built_corpus cleaned_pages date_texts boolean_filter lexical_topk exact_accuracy sampled_rates ir_metrics""".split()
 
 
 def test_entry_runs(spark):
