@@ -50,13 +50,20 @@ def group_key(c: str) -> Column:
 
 def valid_date(c: str, seen: str) -> Column:
     """ISO prefix, else the whole as dd-MM-yyyy; null after the UTC day of ``seen``."""
-    parsed = F.coalesce(F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"), F.try_to_date(c, "dd-MM-yyyy"))
+    # only what has the form is parsed: a failing parse costs as much as hundreds of rows
+    iso = F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
+    parsed = F.coalesce(iso, F.when(F.col(c).rlike(r"^\d{2}-\d{2}-\d{4}$"), F.try_to_date(c, "dd-MM-yyyy")))
     day = F.to_date(F.to_utc_timestamp(seen, F.current_timezone()))
     return F.when(parsed > day, None).otherwise(parsed)
 
 
-def filled(c: str) -> Column:
-    return F.coalesce(F.col(c).rlike(r"\S"), F.lit(False))
+_BLANK = " \t\n\x0b\f\r"
+
+
+def filled(c: str | Column) -> Column:
+    """Neither null nor blank."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.length(F.trim(c.cast("string"), F.lit(_BLANK))) > 0, F.lit(False))
 
 
 def standing(df: DataFrame, key: Column, row_id: str, date: str, seen: str, complete: list[str]) -> DataFrame:
@@ -84,7 +91,7 @@ def grouped(df: DataFrame, groups: DataFrame, key: Column, source: str, seen: st
     several = groups.where("n_records > 1")
     rows = _members(df, key, source, seen, fields).join(several.select(F.col("key").alias("__key")), "__key", "left_semi")
     each = F.array(*[F.struct(F.lit(i).alias("f"), v.cast("string").alias("value"), F.col(f).cast("string").alias("raw")) for i, (f, v) in enumerate(fields.items())])
-    claim = rows.select(F.col("__key").alias("key"), F.col("__source").alias("source"), F.col(seen).alias("seen"), each.alias("each")).select("key", "source", "seen", F.explode("each").alias("x")).where(F.col("x.value").rlike(r"\S"))
+    claim = rows.select(F.col("__key").alias("key"), F.col("__source").alias("source"), F.col(seen).alias("seen"), each.alias("each")).select("key", "source", "seen", F.explode("each").alias("x")).where(filled(F.col("x.value")))
     values = claim.groupBy("key", "x.f", F.xxhash64("x.value").alias("value")).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"), F.max(F.struct("seen", "x.raw")).alias("shown"))
     alike = values.groupBy("key", "f", "sources").agg(F.count("*").alias("n_values"), F.max(F.struct("n", F.col("shown.raw").alias("raw"))).alias("best"))
     names = F.array(*[F.lit(f) for f in fields])
@@ -99,7 +106,7 @@ def alone(df: DataFrame, groups: DataFrame, key: Column, source: str, date: str,
     trust = spark.createDataFrame([(x, lone(a)) for x, a in accuracy.items()], "__source string, __p double")
     one = groups.where("n_records = 1").select(F.col("key").alias("__key"), "group_rec_id", "best_rec_id", "best_date", "n_records")
     rows = _members(df, key, source, seen, fields).join(one, "__key").join(trust, "__source", "left")
-    shown = {f: F.col("best_date") if f == date else F.when(v.cast("string").rlike(r"\S"), F.col(f).cast("string")) for f, v in fields.items()}
+    shown = {f: F.col("best_date") if f == date else F.when(filled(f), F.col(f).cast("string")) for f in fields}
     claimed = F.coalesce(*[v for f, v in shown.items() if f != date], F.lit(None).cast("string")).isNotNull()
     return rows.select(F.col("__key").alias("key"), "group_rec_id", "best_rec_id", "n_records", *[v.alias(f) for f, v in shown.items()], F.when(claimed, F.coalesce("__p", F.lit(lone(0.8)))).alias("min_posterior"))
 
