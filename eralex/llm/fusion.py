@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eralex.runtime import cut
+from eralex.runtime import cut, if_small
 
 #: Number of wrong values an item may have, prior of copying, share copied by a copier.
 N_FALSE, ALPHA, COPIED = 10, 0.2, 0.8
@@ -89,7 +89,9 @@ def grouped(df: DataFrame, groups: DataFrame, key: Column, source: str, seen: st
     fields: name -> expression of the comparable form.
     """
     several = groups.where("n_records > 1")
-    rows = _members(df, key, source, seen, fields).join(several.select(F.col("key").alias("__key")), "__key", "left_semi")
+    # joined by a hash: rows laid out by the key itself would be aggregated where they lie, a hot group in one task
+    keys = if_small(cut(several.select(F.xxhash64("key").alias("__h")), "several"))
+    rows = _members(df, key, source, seen, fields).withColumn("__h", F.xxhash64("__key")).join(keys, "__h", "left_semi")
     each = F.array(*[F.struct(F.lit(i).alias("f"), v.cast("string").alias("value"), F.col(f).cast("string").alias("raw")) for i, (f, v) in enumerate(fields.items())])
     claim = rows.select(F.col("__key").alias("key"), F.col("__source").alias("source"), F.col(seen).alias("seen"), each.alias("each")).select("key", "source", "seen", F.explode("each").alias("x")).where(filled(F.col("x.value")))
     values = claim.groupBy("key", "x.f", F.xxhash64("x.value").alias("value")).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"), F.max(F.struct("seen", "x.raw")).alias("shown"))
@@ -104,7 +106,7 @@ def alone(df: DataFrame, groups: DataFrame, key: Column, source: str, date: str,
     spark = df.sparkSession
     lone = lambda a: round(posteriors(pattern_of([("", 1)]), {"": a}, {})[0][2], 6)
     trust = spark.createDataFrame([(x, lone(a)) for x, a in accuracy.items()], "__source string, __p double")
-    one = groups.where("n_records = 1").select(F.col("key").alias("__key"), "group_rec_id", "best_rec_id", "best_date", "n_records")
+    one = if_small(cut(groups.where("n_records = 1").select(F.col("key").alias("__key"), "group_rec_id", "best_rec_id", "best_date", "n_records"), "alone"))
     rows = _members(df, key, source, seen, fields).join(one, "__key").join(trust, "__source", "left")
     shown = {f: F.col("best_date") if f == date else F.when(filled(f), F.col(f).cast("string")) for f in fields}
     claimed = F.coalesce(*[v for f, v in shown.items() if f != date], F.lit(None).cast("string")).isNotNull()
