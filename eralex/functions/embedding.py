@@ -110,6 +110,16 @@ def vectors(df: DataFrame, keep: list[str], text: str, dim: int = DIM) -> DataFr
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a column as rows; a missing vector is zero."""
+    flat = column.flatten()
+    if not column.null_count and not flat.null_count and len(flat) == dim * len(column):
+        lengths = np.diff(column.offsets.to_numpy())
+        if (lengths == dim).all():
+            return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dim)
+    return np.array([np.asarray(v, float) if v is not None else np.zeros(dim) for v in column.to_pylist()])
+
+
 def search(docs: DataFrame, doc_id: str, vec: str, queries: DataFrame, query_id: str, query_vec: str, k: int, block: int = 2_000, without_self: bool = False) -> DataFrame:
     """(query_id, doc_id, sim, rank): the k most similar documents of every query, exact.
 
@@ -135,7 +145,7 @@ def search(docs: DataFrame, doc_id: str, vec: str, queries: DataFrame, query_id:
                 if not b.num_rows:
                     continue
                 own = b.column(0).to_numpy(zero_copy_only=False)
-                m = np.array([np.asarray(v, float) if v is not None else np.zeros(q.shape[1]) for v in b.column(1).to_pylist()])
+                m = _matrix(b.column(1), q.shape[1])
                 n = np.linalg.norm(m, axis=1, keepdims=True)
                 sim = np.round(q @ (m / np.where(n == 0, 1, n)).T, 6)
                 if without_self:
